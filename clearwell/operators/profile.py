@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..columns import (
-    COLUMNS_PER_AGGREGATE, as_list, as_text, col, dtype_label, is_nested, is_numeric, is_text,
+    COLUMNS_PER_AGGREGATE, as_list, as_text, col, dtype_label, is_numeric, is_text,
     percent, present, profiled_fields, quoted,
 )
-from ..functions import name_hint_column, trim_space
+from ..functions import name_hint_column, trim_space, value_key
 from .frequency import distinct_counts
 from .quantiles import exact_median
 
@@ -41,9 +41,8 @@ def _measures(field, approx: bool, which: set[str]) -> dict[str, Column]:
         for name, fn in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp)):
             out[name] = F.lit(None).cast(_NUMBER) if numeric is None else fn(numeric)
     if approx:
-        out["unique_count"] = (
-            F.approx_count_distinct(as_text(field) if is_nested(field) else c, 0.01)
-        )
+        # A 16,384-bucket sketch: about 0.8 percent standard error, one binary buffer.
+        out["unique_count"] = F.hll_sketch_estimate(F.hll_sketch_agg(value_key(as_text(field)), 14))
         out["median"] = (
             F.percentile_approx(c.cast(_NUMBER), 0.5, 10000)
             if is_numeric(field) else F.lit(None).cast(_NUMBER)
@@ -54,8 +53,10 @@ def _measures(field, approx: bool, which: set[str]) -> dict[str, Column]:
 def _column_scan(df: DataFrame, fields, by: Sequence[str], which: set[str], approx=False) -> DataFrame:
     """``by..., position, column_name, dtype, rows, <metrics>``, one row per column."""
     parts = []
-    for start in range(0, len(fields), COLUMNS_PER_AGGREGATE):
-        chunk = list(enumerate(fields))[start:start + COLUMNS_PER_AGGREGATE]
+    place = {f.name: i for i, f in enumerate(profiled_fields(df, None, by))}
+    placed = [(place[f.name], f) for f in fields]
+    for start in range(0, len(placed), COLUMNS_PER_AGGREGATE):
+        chunk = placed[start:start + COLUMNS_PER_AGGREGATE]
         measures = {i: _measures(f, approx, which) for i, f in chunk}
         wide = df.groupBy(*[col(b) for b in by]).agg(
             F.count(F.lit(1)).alias("__rows"),

@@ -33,12 +33,16 @@ def table_metrics(df: DataFrame, by=()) -> DataFrame:
     return complete.join(double, same, "left").drop(*names.values())
 
 
-def collect_metrics(df: DataFrame, by=(), approx: bool = False) -> Metrics:
-    """All metric tables, still lazy."""
+def collect_metrics(df: DataFrame, by=(), approx: bool = False, distinct: bool = True) -> Metrics:
+    """All metric tables, still lazy.
+
+    Issues need neither distinct counts nor medians; ``distinct=False`` saves
+    their shuffle and scans.
+    """
     by = tuple(as_list(by))
     return Metrics(
         table=table_metrics(df, by),
-        columns=column_profile(df, by=by, approx=approx),
+        columns=column_profile(df, by=by, approx=approx, distinct=distinct),
         types=mixed_types(type_counts(df, by=by), by),
         contents=validate_contents(df, by=by),
         numeric=validate_numeric(df, by=by),
@@ -85,14 +89,14 @@ SUMMARY_COLUMNS = (
 )
 
 
-def batch_row(df: DataFrame, name: str, mode: str = "direct", sheet: str = "", approx: bool = False) -> DataFrame:
+def batch_row(df: DataFrame, name: str, mode: str = "direct", sheet: str = "") -> DataFrame:
     """The summary row of one source."""
-    m = collect_metrics(df, approx=approx)
+    m = collect_metrics(df, distinct=False)
     counts = severity_counts(issues(m))
     return m.table.crossJoin(F.broadcast(counts)).select(  # one row each
         F.lit(name).alias("source_name"), F.lit("ok").alias("status"), F.lit("").alias("error"),
         F.lit(sheet).alias("sheet_name"), F.lit(mode).alias("analysis_mode"),
-        F.lit(approx).alias("approximate_statistics"), "rows", "columns",
+        F.lit(False).alias("approximate_statistics"), "rows", "columns",
         F.col("null_cells").alias("total_null_cells"), F.col("null_percent").alias("null_percent_overall"),
         "duplicate_rows", "duplicate_percent",
         F.col("critical").alias("critical_issues"), F.col("severe").alias("severe_issues"),
@@ -105,7 +109,7 @@ def error_row(spark: SparkSession, name: str, error: str, sheet: str = "") -> Da
     return spark.createDataFrame([row], SUMMARY_COLUMNS)
 
 
-def summarize_batch(spark: SparkSession, sources: dict, approx: bool = False) -> DataFrame:
+def summarize_batch(spark: SparkSession, sources: dict) -> DataFrame:
     """One row per source; a source that cannot be read becomes an error row.
 
     ``sources``: name -> DataFrame, or a function of the session that returns one.
@@ -114,7 +118,7 @@ def summarize_batch(spark: SparkSession, sources: dict, approx: bool = False) ->
     for name, source in sources.items():
         try:
             df = source(spark) if callable(source) else source
-            parts.append(batch_row(df, name, approx=approx))
+            parts.append(batch_row(df, name))
         except Exception as error:  # noqa: BLE001 - one bad source must not stop the others
             parts.append(error_row(spark, name, str(error).split("\n")[0]))
     if not parts:
@@ -122,16 +126,16 @@ def summarize_batch(spark: SparkSession, sources: dict, approx: bool = False) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def summarize_grouped(df: DataFrame, by: str = "source_name", approx: bool = False) -> DataFrame:
+def summarize_grouped(df: DataFrame, by: str = "source_name") -> DataFrame:
     """Summary rows of many sources of one layout, in one job grouped by source."""
-    m = collect_metrics(df, by, approx)
+    m = collect_metrics(df, by, distinct=False)
     counts = severity_counts(issues(m), by).withColumnRenamed(by, "__by")
     joined = m.table.join(counts, col(by).eqNullSafe(F.col("__by")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
     return joined.select(
         col(by).alias("source_name"), F.lit("ok").alias("status"), F.lit("").alias("error"),
         F.lit("").alias("sheet_name"), F.lit("grouped").alias("analysis_mode"),
-        F.lit(approx).alias("approximate_statistics"), "rows", "columns",
+        F.lit(False).alias("approximate_statistics"), "rows", "columns",
         F.col("null_cells").alias("total_null_cells"), F.col("null_percent").alias("null_percent_overall"),
         "duplicate_rows", "duplicate_percent", zero("critical").alias("critical_issues"),
         zero("severe").alias("severe_issues"), zero("warnings").alias("warning_issues"),

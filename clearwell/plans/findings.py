@@ -227,10 +227,25 @@ def suggested_filters(m: Metrics) -> DataFrame:
     name = c("column_name")
     q = F.concat(F.lit("`"), name, F.lit("`"))
     serious = lambda cond: F.when(cond, S.SEVERE).otherwise(S.NOTICE)
-    bad_columns = m.columns.where(c("null_percent") >= S.NULL_SEVERE_PERCENT)
-    dropped = bad_columns.groupBy(*[col(b) for b in by]).agg(
-        # One entry per column of the source.
-        F.array_join(F.array_sort(F.collect_list(name)), "`, `").alias("names"), F.count(F.lit(1)).alias("n")
+    # One entry per column of the source, in schema order.
+    ordered = F.array_sort(F.collect_list(F.struct("position", q.alias("q"), "null_percent")))
+    listed = m.columns.groupBy(*[col(b) for b in by]).agg(ordered.alias("cols"))
+    heavy = F.filter("cols", lambda x: x["null_percent"] >= S.NULL_SEVERE_PERCENT)
+    quoted = lambda cols: F.array_join(F.transform(cols, lambda x: x["q"]), ", ")
+    per_source = listed.select(
+        *[col(b).alias(f"__b{i}") for i, b in enumerate(by)],
+        quoted(F.col("cols")).alias("all_columns"),
+        F.array_join(F.transform("cols", lambda x: F.concat(x["q"], F.lit(" IS NOT NULL"))), " AND ").alias("complete"),
+        quoted(heavy).alias("heavy_columns"),
+    )
+    if by:
+        same = reduce(lambda a, b: a & b, [col(b).eqNullSafe(c(f"__b{i}")) for i, b in enumerate(by)])
+        tables = m.table.join(per_source, same, "left")
+    else:
+        tables = m.table.crossJoin(F.broadcast(per_source))  # one row each
+    first_rows = F.concat(
+        F.lit("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "), c("all_columns"),
+        F.lit(" ORDER BY rownum) AS rn FROM tabla) WHERE rn = 1"),
     )
     return _union([
         _rows(m.columns, by, [
@@ -243,16 +258,19 @@ def suggested_filters(m: Metrics) -> DataFrame:
              _filter("cleanup_filters", "WHITESPACE_CLEANUP", name, S.NOTICE, c("blank_percent"),
                      F.concat(F.lit("trim("), q, F.lit(") != ''")))),
         ]),
-        _rows(m.table, by, [
+        _rows(tables, by, [
             (c("duplicate_rows") > 0,
              _filter("duplicates_filters", "REMOVE_DUPLICATES", None, serious(c("duplicate_percent") > 5),
                      c("duplicate_percent"), "SELECT DISTINCT * FROM tabla")),
             (c("duplicate_rows") > 0,
              _filter("duplicates_filters", "REMOVE_DUPLICATES_ADVANCED", None, S.SEVERE, c("duplicate_percent"),
-                     "SELECT * FROM tabla QUALIFY row_number() OVER (PARTITION BY ALL ORDER BY rownum) = 1")),
+                     first_rows)),
             (F.lit(True),
              _filter("data_quality_filters", "COMPLETE_ROWS", None, serious(c("complete_percent") < 50),
-                     F.lit(100.0) - c("complete_percent"), "SELECT * FROM tabla WHERE all columns IS NOT NULL")),
+                     F.lit(100.0) - c("complete_percent"), c("complete"))),
+            (c("heavy_columns") != "",
+             _filter("data_quality_filters", "EXCLUDE_PROBLEM_COLUMNS", None, S.NOTICE, F.lit(None),
+                     F.concat(F.lit("SELECT * EXCEPT ("), c("heavy_columns"), F.lit(") FROM tabla")))),
         ]),
         _rows(m.types, by, [
             (c("is_problematic"),
@@ -273,11 +291,6 @@ def suggested_filters(m: Metrics) -> DataFrame:
              _filter("cleanup_filters", "SPECIAL_CHARS_CLEANUP", name, S.NOTICE, c("unsafe_percent"),
                      F.concat(F.lit("NOT "), q, F.lit(" RLIKE '[<>{}\"|^`~]'")))),
         ]),
-        _rows(dropped, by, [
-            (c("n") > 0,
-             _filter("data_quality_filters", "EXCLUDE_PROBLEM_COLUMNS", None, S.NOTICE, F.lit(None),
-                     F.concat(F.lit("SELECT * EXCEPT (`"), c("names"), F.lit("`) FROM tabla")))),
-        ]),
     ])
 
 

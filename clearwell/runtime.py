@@ -13,18 +13,22 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if is_local(spark):
-        folder = tempfile.mkdtemp(prefix="clearwell-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="clearwell-")
+        return _own_folders[app]
     return None
 
 
