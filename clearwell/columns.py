@@ -122,5 +122,6 @@ def percent(part, whole) -> Column:
     return F.coalesce(F.try_divide(part * F.lit(100.0), whole), F.lit(0.0))
 
 
-def lit_string(value) -> Column:
-    return F.lit(value).cast("string")
+def sql_text(value: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + "".join(c if c.isalnum() and c.isascii() else f"\\u{ord(c):04x}" if ord(c) < 65536 else f"\\U{ord(c):08x}" for c in value) + "'"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from .cleaning import strip_accents
-from .text import _c, trim_space
+from .text import _c, let, reusable, trim_space
 
 _WORDS = sorted((w for names in S.MONTH_NAMES.values() for w in names), key=len, reverse=True)
 _MONTH = "|".join(_WORDS)
@@ -27,26 +27,21 @@ _TIME = (
 )
 ISO = rf"^{_YEAR}-{_DAY}-{_DAY}$"
 DATETIME = rf"^{_YEAR}-{_DAY}-{_DAY}[t ]{_TIME}$"
-COMPACT = r"^(?!0000)[0-9]{8}$"
 
 # The three families of layouts, by what they start with.
 _YEAR_FIRST = rf"^({_YEAR})(?:([-/.])({_DAY})\2({_DAY})|([0-9]{{2}})([0-9]{{2}}))(?:[t ]{_TIME})?$"
 _DAY_FIRST = rf"^({_DAY})([-/. ])({_DAY}|{_MONTH})\2({_YEAR}|[0-9]{{2}})$"
 _WORD_FIRST = rf"^({_MONTH}) ({_DAY}),? ({_YEAR})$"
 
+# The layouts almost all dates have; they are read without the steps below.
+_PLAIN_ISO = rf"^{_YEAR}-{_DAY}-{_DAY}$|^{_YEAR}([/.]){_DAY}\1{_DAY}$|^(?!0000)[0-9]{{8}}$"
+_PLAIN_PARTS = r"^([0-9]{4})[-/.]?([0-9]{1,2})[-/.]?([0-9]{1,2})$"
+_PLAIN_LAST = rf"^({_DAY})([-/.])({_DAY})\2({_YEAR})$"
+
 # Shortest and longest text a supported layout can have.
 SHORTEST, LONGEST = 6, 48
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used.
-
-    A conditional expression has no common subexpressions, so without this the
-    tree below would repeat the preparation of the text dozens of times.
-    """
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _prepared(c) -> Column:
     """Trimmed lower-case text, or null for texts that cannot be a date."""
     c = _c(c)
@@ -88,31 +83,18 @@ def _as_date(iso: Column) -> Column:
 
 
 def _label(t: Column, parsed: Column) -> Column:
-    day_first = _as_date(F.regexp_replace(t, _DAY_FIRST, "$4-$3-$1")).isNotNull()
-
-    def dmy(sep):
-        return t.rlike(rf"^{_DAY}{sep}{_DAY}{sep}{_YEAR}$")
-
-    numeric = (
-        F.when(t.rlike(ISO), "%Y-%m-%d")
-        .when(dmy("/"), F.when(day_first, "%d/%m/%Y").otherwise("%m/%d/%Y"))
-        .when(dmy("-"), F.when(day_first, "%d-%m-%Y").otherwise(S.OTHER_DATE_FORMAT))
-        .when(t.rlike(rf"^{_YEAR}/{_DAY}/{_DAY}$"), "%Y/%m/%d")
-        .when(dmy(r"\."), F.when(day_first, "%d.%m.%Y").otherwise(S.OTHER_DATE_FORMAT))
-        .when(t.rlike(COMPACT), "%Y%m%d")
-    )
+    """Format of a date that has none of the plain layouts."""
     written = (
         F.when(t.rlike(rf"^{_DAY} ({_SHORT}) {_YEAR}$"), "%d %b %Y")
         .when(t.rlike(rf"^{_DAY} ({_FULL}) {_YEAR}$"), "%d %B %Y")
         .when(t.rlike(rf"^({_SHORT}) {_DAY}, {_YEAR}$"), "%b %d, %Y")
         .when(t.rlike(rf"^({_FULL}) {_DAY}, {_YEAR}$"), "%B %d, %Y")
     )
-    known = F.when(t.rlike("[a-z]"), written).otherwise(numeric)
-    return F.when(parsed.isNotNull(), F.coalesce(known, F.lit(S.OTHER_DATE_FORMAT)))
+    return F.when(parsed.isNotNull(), F.coalesce(written, F.lit(S.OTHER_DATE_FORMAT)))
 
 
 def _iso(t: Column, day_first: bool = True) -> Column:
-    return _let(_let(_arranged(t, day_first), _numbered), lambda x: _as_date(_dated(x)))
+    return let(let(_arranged(t, day_first), _numbered), lambda x: _as_date(_dated(x)))
 
 
 def _read(t: Column) -> Column:
@@ -120,40 +102,74 @@ def _read(t: Column) -> Column:
     return F.when(t.isNotNull(), F.coalesce(_iso(t), F.when(swappable, _iso(t, day_first=False))))
 
 
+def _plain(v: Column, other: Column, year_first, year_last) -> Column:
+    """``year_first`` and ``year_last`` for the plain layouts, ``other`` for the rest."""
+    return F.when(v.rlike(_PLAIN_ISO), year_first).when(v.rlike(_PLAIN_LAST), year_last).otherwise(other)
+
+
+def _year_first(v: Column) -> Column:
+    return F.regexp_replace(v, _PLAIN_PARTS, "$1-$2-$3").try_cast("date")
+
+
+def _year_last(v: Column, day_first: bool) -> Column:
+    return F.regexp_replace(v, _PLAIN_LAST, "$4-$3-$1" if day_first else "$4-$1-$3").try_cast("date")
+
+
+@reusable
 def parse_date(c) -> Column:
     """Date behind a text, day first when both orders are possible, else null.
 
     Reads ISO, ``d/M/y``, ``d-M-y``, ``d.M.y``, ``yyyyMMdd``, ISO date-times and
     months written in Spanish or English. Two-digit years from 69 are 19xx.
     """
-    return _let(_prepared(c), _read)
+    v = trim_space(c)
+    return _plain(
+        v, let(_prepared(c), _read), _year_first(v), F.coalesce(_year_last(v, True), _year_last(v, False))
+    )
 
 
+@reusable
 def parse_timestamp(c) -> Column:
     """As :func:`parse_date`, but a time of day is kept."""
-    return _let(
+    return let(
         _prepared(c),
         lambda t: F.when(t.rlike(DATETIME), F.upper(t).try_cast("timestamp")).otherwise(_read(t).cast("timestamp")),
     )
 
 
+@reusable
 def has_time_part(c) -> Column:
     return _prepared(c).rlike(DATETIME)
 
 
+@reusable
 def date_format_label(c) -> Column:
     """Label of the first known format a value is written in.
 
     ``<formato_no_estandar>`` for a readable date in none of them; null when the
     value is no date.
     """
-    return _let(_prepared(c), lambda t: _let(_read(t), lambda parsed: _label(t, parsed)))
+    v = trim_space(c)
+    year_first = F.when(
+        _year_first(v).isNotNull(),
+        F.when(v.contains("-"), "%Y-%m-%d").when(v.contains("/"), "%Y/%m/%d")
+        .when(v.contains("."), S.OTHER_DATE_FORMAT).otherwise("%Y%m%d"),
+    )
+    year_last = F.when(
+        _year_last(v, True).isNotNull(),
+        F.when(v.contains("/"), "%d/%m/%Y").when(v.contains("-"), "%d-%m-%Y").otherwise("%d.%m.%Y"),
+    ).when(
+        _year_last(v, False).isNotNull(), F.when(v.contains("/"), "%m/%d/%Y").otherwise(S.OTHER_DATE_FORMAT)
+    )
+    written = let(_prepared(c), lambda t: let(_read(t), lambda parsed: _label(t, parsed)))
+    return _plain(v, written, year_first, year_last)
 
 
 # Two leading numbers up to 12 around / or -, whatever follows.
 _AMBIGUOUS = r"^\s*\+?0*(1[0-2]|[0-9])\s*[/-]\s*\+?0*(1[0-2]|[0-9])\s*([/-]|$)"
 
 
+@reusable
 def is_ambiguous_date(c) -> Column:
     """The first two parts around ``/`` or ``-`` could both be a month."""
     return _c(c).rlike(_AMBIGUOUS)

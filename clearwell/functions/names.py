@@ -8,8 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from .text import reusable
 
 
+@reusable
 def name_hint_column(name) -> Column:
     """Hint for a column of column names, so it also runs over whole catalogs."""
     low = F.lower(F.col(name) if isinstance(name, str) else name)

@@ -7,6 +7,9 @@ where that keeps them linear on long texts.
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +39,45 @@ _DAY_MONTH_YEAR = r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$"
 KEY_BYTES = 64
 
 
+_built: dict[tuple, tuple] = {}
+
+
+def reusable(fn):
+    """Build the expression over a named column once per JVM.
+
+    An expression is independent of any DataFrame. Building a large one takes
+    thousands of calls into the JVM, which would be most of the time of a job
+    over a small table.
+    """
+
+    @wraps(fn)
+    def build(*args):
+        context = SparkContext._active_spark_context
+        if context is None or not all(isinstance(a, (str, int, tuple)) for a in args):
+            return fn(*args)
+        gateway = context._gateway
+        kept = _built.get((fn, args))
+        if kept is None or kept[0] is not gateway:
+            kept = _built[(fn, args)] = (gateway, fn(*args))
+        return kept[1]
+
+    return build
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used.
+
+    A conditional expression has no common subexpressions, so without this a
+    tree that refers to an intermediate value many times repeats all of it.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@reusable
 def trim_space(c) -> Column:
     """Trim every Unicode space, tab and line break, not only blanks."""
     return F.btrim(_c(c), F.lit(S.WHITESPACE))
@@ -58,6 +96,7 @@ def truncate(c, length: int = 50) -> Column:
     ).otherwise(c)
 
 
+@reusable
 def is_email(c) -> Column:
     return _email(trim_space(c))
 
@@ -66,14 +105,17 @@ def _email(v: Column) -> Column:
     return v.contains("@") & v.rlike(EMAIL)
 
 
+@reusable
 def is_phone(c) -> Column:
     return F.translate(_c(c), S.WHITESPACE + PHONE_DECORATION, "").rlike(PHONE)
 
 
+@reusable
 def is_url(c) -> Column:
     return trim_space(c).rlike(URL)
 
 
+@reusable
 def is_date(c) -> Column:
     """Six numeric layouts, day or month first, and a real calendar date."""
     return _date(trim_space(c))
@@ -106,10 +148,12 @@ def in_range(c, low=None, high=None) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+@reusable
 def has_special_chars(c) -> Column:
     return _c(c).rlike(SPECIAL)
 
 
+@reusable
 def has_edge_spaces(c) -> Column:
     return _c(c) != trim_space(c)
 
@@ -123,11 +167,13 @@ def special_char_count(c) -> Column:
     return F.length(F.regexp_replace(_c(c), r"[\p{L}\p{N} ]+", ""))
 
 
+@reusable
 def value_type(c) -> Column:
     """Type of a single value; the first match wins."""
     return value_type_of(c, trim_space(c))
 
 
+@reusable
 def value_type_of(c, v) -> Column:
     """:func:`value_type` of ``c`` when its trimmed form ``v`` is at hand."""
     c, v = _c(c), _c(v)
@@ -143,6 +189,7 @@ def value_type_of(c, v) -> Column:
     )
 
 
+@reusable
 def content_type_of(v, priority=("email", "phone", "url", "date", "numeric")) -> Column:
     """What a trimmed value could be, in the order used to judge a whole column."""
     v = _c(v)
@@ -154,6 +201,7 @@ def content_type_of(v, priority=("email", "phone", "url", "date", "numeric")) ->
     return chain.otherwise("other")
 
 
+@reusable
 def value_key(c) -> Column:
     """Text of bounded width that is equal exactly when the values are equal.
 

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..columns import (
-    COLUMNS_PER_AGGREGATE, as_list, as_text, col, dtype_label, is_numeric, is_text,
-    percent, present, profiled_fields, quoted,
+    COLUMNS_PER_AGGREGATE, as_list, as_text, col, dtype_label, is_nested, is_numeric, is_text,
+    percent, present, profiled_fields, quoted, sql_text,
 )
-from ..functions import name_hint_column, trim_space, value_key
+from ..functions import name_hint_column, trim_space
 from .frequency import distinct_counts
 from .quantiles import exact_median
 
@@ -42,9 +42,11 @@ def _measures(field, approx: bool, which: set[str]) -> dict[str, Column]:
             out[name] = F.lit(None).cast(_NUMBER) if numeric is None else fn(numeric)
     if approx:
         # A 16,384-bucket sketch: about 0.8 percent standard error, one binary buffer.
-        out["unique_count"] = F.hll_sketch_estimate(F.hll_sketch_agg(value_key(as_text(field)), 14))
+        # It is fed hashes, so that no value has to be turned into text.
+        hashed = F.when(c.isNotNull(), F.xxhash64(as_text(field) if is_nested(field) else c))
+        out["unique_count"] = F.hll_sketch_estimate(F.hll_sketch_agg(hashed, 14))
         out["median"] = (
-            F.percentile_approx(c.cast(_NUMBER), 0.5, 10000)
+            F.percentile_approx(c.cast(_NUMBER), 0.5, 2000)
             if is_numeric(field) else F.lit(None).cast(_NUMBER)
         )
     return out
@@ -62,17 +64,12 @@ def _column_scan(df: DataFrame, fields, by: Sequence[str], which: set[str], appr
             F.count(F.lit(1)).alias("__rows"),
             *[m.alias(f"__{i}_{name}") for i, ms in measures.items() for name, m in ms.items()],
         )
-        rows = [
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(dtype_label(f)).alias("dtype"),
-                F.col("__rows").alias("rows"),
-                *[F.col(f"__{i}_{name}").alias(name) for name in measures[i]],
-            )
+        rows = ", ".join(
+            f"named_struct('position', {i}, 'column_name', {sql_text(f.name)}, 'dtype', {sql_text(dtype_label(f))}, "
+            + "'rows', __rows, " + ", ".join(f"'{name}', __{i}_{name}" for name in measures[i]) + ")"
             for i, f in chunk
-        ]
-        parts.append(wide.select(*[col(b) for b in by], F.inline(F.array(*rows))))
+        )
+        parts.append(wide.select(*[col(b) for b in by], F.expr(f"inline(array({rows}))")))
     return reduce(DataFrame.unionByName, parts)
 
 

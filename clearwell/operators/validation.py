@@ -5,16 +5,15 @@ classified once before the shuffle, and the shuffle carries one small row of
 counts per column and task.
 """
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import settings as S
 from ..columns import (
-    as_list, as_text, col, is_numeric, is_temporal, is_text, lit_string, long_form, order_key, percent,
-    present, profiled_fields,
+    as_list, as_text, col, is_numeric, is_temporal, is_text, long_form, order_key, percent,
+    present, profiled_fields, sql_text,
 )
 from ..functions import (
     date_format_label, has_edge_spaces, has_special_chars, has_sql_unsafe_chars, is_ambiguous_date, is_email, is_phone, is_url,
@@ -39,13 +38,14 @@ def _first_values(cells: DataFrame, group: list[str], keys: list[str], sample: i
     return cells.withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= sample).drop("__n")
 
 
-def _winner(counts: list[str], total: str) -> Column:
+def _winner(total: str) -> Column:
     """The content type that reaches the share; only one can."""
-    chain = None
-    for name in counts:
-        hit = (F.col(total) > 0) & (F.try_divide(F.col(f"n_{name}"), F.col(total)) >= S.CONTENT_SHARE)
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return chain
+    tests = " ".join(f"WHEN n_{t} >= {S.CONTENT_SHARE} * {total} THEN '{t}'" for t in CONTENT_TYPES)
+    return F.expr(f"CASE WHEN {total} = 0 THEN NULL {tests} END")
+
+
+def _content_counts() -> list[Column]:
+    return [F.expr(f"count_if(content = '{t}') AS n_{t}") for t in CONTENT_TYPES]
 
 
 def detect_content_types(df: DataFrame, columns=None, by=(), sample: int | None = None, row_key=None,
@@ -66,9 +66,9 @@ def detect_content_types(df: DataFrame, columns=None, by=(), sample: int | None
     typed = trimmed.withColumn("content", content_type_of("__v", priority))
     counts = typed.groupBy(*[col(g) for g in group]).agg(
         F.count(F.lit(1)).alias("total_values"),
-        *[F.count_if(F.col("content") == t).alias(f"n_{t}") for t in CONTENT_TYPES],
+        *_content_counts(),
     )
-    return counts.withColumn("content_type", _winner(list(CONTENT_TYPES), "total_values"))
+    return counts.withColumn("content_type", _winner("total_values"))
 
 
 def _classified(df: DataFrame, fields, by, keys) -> DataFrame:
@@ -110,13 +110,13 @@ def _counts(df: DataFrame, columns, by) -> DataFrame:
     group = [*by, "column_name"]
     counts = _classified(df, fields, by, ()).groupBy(*[col(g) for g in group]).agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col("content") == t).alias(f"n_{t}") for t in CONTENT_TYPES],
-        F.count("format").alias("n_dates"),
-        F.count_if("ambiguous").alias("n_ambiguous"),
-        *[F.count_if(F.col("format") == f).alias(f"f_{i}") for i, f in enumerate(_FORMATS)],
+        *_content_counts(),
+        F.expr("count(format) AS n_dates"),
+        F.expr("count_if(ambiguous) AS n_ambiguous"),
+        *[F.expr(f"count_if(format = '{f}') AS f_{i}") for i, f in enumerate(_FORMATS)],
     )
     not_text = [f.name for f in fields if not is_text(f)]
-    winner = _winner(list(CONTENT_TYPES), "total")
+    winner = _winner("total")
     if not_text:
         winner = F.when(~F.col("column_name").isin(not_text), winner)
     return counts.withColumn("content_type", winner)
@@ -131,38 +131,34 @@ def validate_contents(df: DataFrame, validators=VALIDATORS, columns=None, by=())
     by = as_list(by)
     names = [f.name for f in profiled_fields(df, columns, by)]
     counts = _counts(df, columns, by)
-    counts = counts.withColumn("best", F.greatest(*[F.col(f"f_{i}") for i in range(len(_FORMATS))]))
-    best = F.col("best")
-    commonest = None
-    for i, f in enumerate(_FORMATS):
-        hit = (F.col(f"f_{i}") == best) & (best > 0)
-        commonest = F.when(hit, f) if commonest is None else commonest.when(hit, f)
-    in_use = reduce(lambda a, b: a + b, [(F.col(f"f_{i}") > 0).cast("int") for i in range(len(_FORMATS))])
+    marks = [f"f_{i}" for i in range(len(_FORMATS))]
+    counts = counts.selectExpr(
+        "*", f"greatest({', '.join(marks)}) AS best",
+        " + ".join(f"CAST({m} > 0 AS INT)" for m in marks) + " AS in_use",
+    ).selectExpr(
+        "*", "CASE " + " ".join(f"WHEN best > 0 AND {m} = best THEN '{f}'" for m, f in zip(marks, _FORMATS)) + " END AS commonest",
+        "try_divide(best, n_dates) AS consistency",
+    )
     rows = []
     for v in as_list(validators):
-        valid = F.col("n_dates") if v == "date" else F.col(f"n_{v}")
-        by_content = F.coalesce(F.col("content_type") == v, F.lit(False))
-        by_name = F.col("column_name").isin([n for n in names if named_like(n, v)])
-        consistency = F.try_divide(best, F.col("n_dates")) if v == "date" else F.lit(None).cast("double")
-        invalid = F.col("total") - valid
-        problematic = invalid > 0
-        if v == "date":
-            problematic = problematic | F.coalesce(consistency < S.DATE_CONSISTENCY, F.lit(False)) | (F.col("n_ambiguous") > 0)
         is_date = v == "date"
-        rows.append(F.struct(
-            F.lit(v).alias("validator"),
-            valid.alias("valid_count"),
-            invalid.alias("invalid_count"),
-            percent(invalid, F.col("total")).alias("invalid_percent"),
-            problematic.alias("is_problematic"),
-            by_content.alias("detected_by_content"),
-            (in_use if is_date else F.lit(None).cast("int")).alias("formats"),
-            (commonest if is_date else lit_string(None)).alias("most_common_format"),
-            consistency.alias("format_consistency"),
-            (F.col("n_ambiguous") if is_date else F.lit(None).cast("bigint")).alias("ambiguous_count"),
-            (by_content | by_name).alias("applies"),
-        ))
-    found = counts.select(*[col(b) for b in by], "column_name", F.inline(F.array(*rows)))
+        valid = "n_dates" if is_date else f"n_{v}"
+        invalid = f"(total - {valid})"
+        problem = f"{invalid} > 0"
+        if is_date:
+            problem += f" OR coalesce(consistency < {S.DATE_CONSISTENCY}, false) OR n_ambiguous > 0"
+        named = [n for n in names if named_like(n, v)]
+        by_name = f"column_name IN ({', '.join(sql_text(n) for n in named)})" if named else "false"
+        by_content = f"coalesce(content_type = '{v}', false)"
+        shown = (lambda e, t: e) if is_date else (lambda e, t: f"CAST(NULL AS {t})")
+        rows.append(
+            f"named_struct('validator', '{v}', 'valid_count', {valid}, 'invalid_count', {invalid}, "
+            f"'invalid_percent', coalesce(try_divide({invalid} * 100D, total), 0D), 'is_problematic', {problem}, "
+            f"'detected_by_content', {by_content}, 'formats', {shown('in_use', 'INT')}, "
+            f"'most_common_format', {shown('commonest', 'STRING')}, 'format_consistency', {shown('consistency', 'DOUBLE')}, "
+            f"'ambiguous_count', {shown('n_ambiguous', 'BIGINT')}, 'applies', {by_content} OR {by_name})"
+        )
+    found = counts.select(*[col(b) for b in by], "column_name", F.expr(f"inline(array({', '.join(rows)}))"))
     return found.where("applies").drop("applies").select(
         *[col(b) for b in by], "validator", "column_name", "valid_count", "invalid_count", "invalid_percent",
         "is_problematic", "detected_by_content", "formats", "most_common_format", "format_consistency",
@@ -307,7 +303,7 @@ def validation_summary(contents: DataFrame, numeric: DataFrame, text: DataFrame,
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _lenient_date(values: pd.Series) -> pd.Series:
     from dateutil import parser
 

@@ -33,21 +33,29 @@ def table_metrics(df: DataFrame, by=()) -> DataFrame:
     return complete.join(double, same, "left").drop(*names.values())
 
 
-def collect_metrics(df: DataFrame, by=(), approx: bool = False, distinct: bool = True) -> Metrics:
-    """All metric tables, still lazy.
+def collect_metrics(df: DataFrame, by=(), approx: bool = False) -> Metrics:
+    """All metric tables, still lazy."""
+    by = tuple(as_list(by))
+    m = issue_metrics(df, by)
+    m.columns = column_profile(df, by=by, approx=approx)
+    m.numeric = validate_numeric(df, by=by)
+    m.text = validate_text(df, by=by)
+    m.unsafe = unsafe_chars(df, by=by)
+    return m
+
+
+def issue_metrics(df: DataFrame, by=()) -> Metrics:
+    """The metric tables behind :func:`issues`.
 
-    Issues need neither distinct counts nor medians; ``distinct=False`` saves
-    their shuffle and scans.
+    Issues need neither distinct counts nor medians, which saves a shuffle of
+    all values and three scans.
     """
     by = tuple(as_list(by))
     return Metrics(
         table=table_metrics(df, by),
-        columns=column_profile(df, by=by, approx=approx, distinct=distinct),
+        columns=column_profile(df, by=by, distinct=False),
         types=mixed_types(type_counts(df, by=by), by),
         contents=validate_contents(df, by=by),
-        numeric=validate_numeric(df, by=by),
-        text=validate_text(df, by=by),
-        unsafe=unsafe_chars(df, by=by),
         by=by,
     )
 
@@ -91,7 +99,7 @@ SUMMARY_COLUMNS = (
 
 def batch_row(df: DataFrame, name: str, mode: str = "direct", sheet: str = "") -> DataFrame:
     """The summary row of one source."""
-    m = collect_metrics(df, distinct=False)
+    m = issue_metrics(df)
     counts = severity_counts(issues(m))
     return m.table.crossJoin(F.broadcast(counts)).select(  # one row each
         F.lit(name).alias("source_name"), F.lit("ok").alias("status"), F.lit("").alias("error"),
@@ -128,7 +136,7 @@ def summarize_batch(spark: SparkSession, sources: dict) -> DataFrame:
 
 def summarize_grouped(df: DataFrame, by: str = "source_name") -> DataFrame:
     """Summary rows of many sources of one layout, in one job grouped by source."""
-    m = collect_metrics(df, by, distinct=False)
+    m = issue_metrics(df, by)
     counts = severity_counts(issues(m), by).withColumnRenamed(by, "__by")
     joined = m.table.join(counts, col(by).eqNullSafe(F.col("__by")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))

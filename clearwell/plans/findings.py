@@ -25,14 +25,15 @@ class Metrics:
     columns: DataFrame
     types: DataFrame
     contents: DataFrame
-    numeric: DataFrame
-    text: DataFrame
-    unsafe: DataFrame
+    numeric: DataFrame | None = None
+    text: DataFrame | None = None
+    unsafe: DataFrame | None = None
     by: tuple[str, ...] = ()
 
     def map(self, change) -> Metrics:
-        return Metrics(*[change(getattr(self, n)) for n in (
-            "table", "columns", "types", "contents", "numeric", "text", "unsafe")], by=self.by)
+        names = ("table", "columns", "types", "contents", "numeric", "text", "unsafe")
+        tables = {n: getattr(self, n) for n in names}
+        return Metrics(**{n: t if t is None else change(t) for n, t in tables.items()}, by=self.by)
 
 
 def _rows(df: DataFrame, by, options: list[tuple[Column, dict[str, Column]]]) -> DataFrame:

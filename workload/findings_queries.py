@@ -84,14 +84,14 @@ _VIEWS = ("dirty_customer", "dirty_orders", "dirty_contacts", "dirty_nulls")
 
 for _name in _VIEWS:
     def _run(spark, d, _name=_name):
-        return N.issues(A.collect_metrics(source(spark, d, _name), distinct=False)).drop("detail")
+        return N.issues(A.issue_metrics(source(spark, d, _name))).drop("detail")
     query(_issues(_name), f"issues_{_name}")(_run)
 
 
 @query("SELECT CAST(count(*) FILTER (level = 'critical') AS BIGINT) AS critical, CAST(count(*) FILTER (level = 'severe') AS BIGINT) AS severe, "
        "CAST(count(*) FILTER (level = 'warnings') AS BIGINT) AS warnings FROM (" + _issues("dirty_customer") + ")")
 def severity_counts(spark, d):
-    return N.severity_counts(N.issues(A.collect_metrics(source(spark, d, "dirty_customer"), distinct=False)))
+    return N.severity_counts(N.issues(A.issue_metrics(source(spark, d, "dirty_customer"))))
 
 
 def _advice(name: str) -> str:
