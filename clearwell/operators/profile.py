@@ -46,7 +46,7 @@ def _measures(field, approx: bool, which: set[str]) -> dict[str, Column]:
         hashed = F.when(c.isNotNull(), F.xxhash64(as_text(field) if is_nested(field) else c))
         out["unique_count"] = F.hll_sketch_estimate(F.hll_sketch_agg(hashed, 14))
         out["median"] = (
-            F.percentile_approx(c.cast(_NUMBER), 0.5, 2000)
+            F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(c.cast(_NUMBER), 800), F.lit(0.5))
             if is_numeric(field) else F.lit(None).cast(_NUMBER)
         )
     return out
@@ -177,16 +177,18 @@ def _attach(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     return left.join(renamed, condition, "left").drop(*[f"__k{i}" for i in range(len(names))])
 
 
-def column_profile(df: DataFrame, columns=None, by=(), approx: bool = False, distinct: bool = True) -> DataFrame:
+def column_profile(df: DataFrame, columns=None, by=(), approx: bool = False, distinct: bool = True,
+                   sizes: bool = False) -> DataFrame:
     """The full metric table: one row per column.
 
     ``approx`` swaps the exact distinct counts and medians for sketches inside
     the same aggregate, so the whole profile is a single pass.
-    ``distinct=False`` leaves both out.
+    ``distinct=False`` leaves both out. ``sizes`` adds the bytes of each column,
+    which takes turning every value into text.
     """
     by = as_list(by)
     fields = profiled_fields(df, columns, by)
-    which = {"blanks", "bytes", "stats"}
+    which = {"blanks", "stats"} | ({"bytes"} if sizes else set())
     scan = _nulls(_column_scan(df, fields, by, which, approx and distinct))
     if distinct and not approx:
         scan = _attach(scan, distinct_counts(df, [f.name for f in fields], by), by)
@@ -212,7 +214,7 @@ def column_profile(df: DataFrame, columns=None, by=(), approx: bool = False, dis
         "unique_count",
         (F.lit(0.0) if not fields else
          F.when(F.col("unique_count").isNotNull(), F.coalesce(cardinality, F.lit(0.0)))).alias("cardinality_ratio"),
-        "min", "max", "mean", "median", "std", "bytes",
+        "min", "max", "mean", "median", "std", *(["bytes"] if sizes else []),
         F.lit(approx).alias("is_approximate"),
     )
 
