@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,7 +16,7 @@ from ..operators.profile import column_profile, row_completeness
 from ..operators.validation import (
     unsafe_chars, validate_contents, validate_numeric, validate_text, validation_summary,
 )
-from ..runtime import settle
+from ..runtime import settle, shared_folder
 from .findings import (
     Metrics, issues, recommendations, severity_counts, suggested_filters,
 )
@@ -117,21 +118,28 @@ def error_row(spark: SparkSession, name: str, error: str, sheet: str = "") -> Da
     return spark.createDataFrame([row], SUMMARY_COLUMNS)
 
 
-def summarize_batch(spark: SparkSession, sources: dict) -> DataFrame:
+def summarize_batch(spark: SparkSession, sources: dict, parallel: int = 4) -> DataFrame:
     """One row per source; a source that cannot be read becomes an error row.
 
     ``sources``: name -> DataFrame, or a function of the session that returns one.
+    Each source is a job of its own, so a file that breaks in the middle spoils
+    only its row; ``parallel`` jobs run side by side. For many sources of one
+    layout :func:`summarize_grouped` is a single job.
     """
-    parts = []
-    for name, source in sources.items():
+
+    def row(item) -> DataFrame:
+        name, source = item
         try:
             df = source(spark) if callable(source) else source
-            parts.append(batch_row(df, name))
+            return settle(batch_row(df, name))
         except Exception as error:  # noqa: BLE001 - one bad source must not stop the others
-            parts.append(error_row(spark, name, str(error).split("\n")[0]))
-    if not parts:
+            return error_row(spark, name, str(error).split("\n")[0])
+
+    if not sources:
         raise ValueError("no sources")
-    return reduce(DataFrame.unionByName, parts)
+    shared_folder(spark)
+    with ThreadPoolExecutor(parallel) as pool:
+        return reduce(DataFrame.unionByName, pool.map(row, sources.items()))
 
 
 def summarize_grouped(df: DataFrame, by: str = "source_name") -> DataFrame:

@@ -103,24 +103,26 @@ def malformed_rows(spark: SparkSession, paths, sep: str, examples: int = 5) -> t
     actual_columns, content``. Blank lines are no rows.
     """
     lines = read_lines(spark, paths)
-    headers = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "id")).alias("header"),
-                                        F.min(F.struct("block", "id")).alias("top"))
-    # One row per file; the join is on the path, left to the optimizer.
-    expected = headers.select(F.col("path").alias("__p"), _width(F.col("header"), sep).alias("expected_columns"), "top")
-    rows = (
-        lines.where(F.length("value") > 0).withColumn("actual_columns", _width(F.col("value"), sep))
-        .join(F.broadcast(expected) if _few(paths) else expected, F.col("path") == F.col("__p"))
-        .where(F.struct("block", "id") > F.col("top"))
+    rows = lines.where(F.length("value") > 0).withColumn("actual_columns", _width(F.col("value"), sep))
+    # Lines are counted by width first, so only (file, width) pairs meet the headers.
+    widths = rows.groupBy("path", "actual_columns").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min(F.struct("block", "id")).alias("first")
     )
-    counts = rows.groupBy("path").agg(
-        F.first("expected_columns").alias("header_columns"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("actual_columns") < F.col("expected_columns")).alias("short_rows"),
-        F.count_if(F.col("actual_columns") > F.col("expected_columns")).alias("long_rows"),
+    expected = widths.groupBy("path").agg(F.min_by("actual_columns", "first").alias("expected_columns"))
+    judged = widths.join(expected, "path")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("cnt"))), F.lit(0))
+    counts = judged.groupBy("path").agg(
+        F.max("expected_columns").alias("header_columns"),
+        (F.sum("cnt") - 1).alias("rows"),
+        total(F.col("actual_columns") < F.col("expected_columns")).alias("short_rows"),
+        total(F.col("actual_columns") > F.col("expected_columns")).alias("long_rows"),
     )
+    # The first lines of each width hold the first lines of every wrong width.
+    of_width = Window.partitionBy("path", "actual_columns").orderBy("block", "id")
     order = Window.partitionBy("path").orderBy("block", "id")
     bad = (
-        rows.where(F.col("actual_columns") != F.col("expected_columns"))
+        rows.withColumn("n", F.row_number().over(of_width)).where(F.col("n") <= examples)
+        .join(expected, "path").where(F.col("actual_columns") != F.col("expected_columns"))
         .withColumn("n", F.row_number().over(order)).where(F.col("n") <= examples)
     )
     # Lines before a block: one row per block of a file.
@@ -135,14 +137,6 @@ def malformed_rows(spark: SparkSession, paths, sep: str, examples: int = 5) -> t
     return counts, sample
 
 
-def _few(paths) -> bool:
-    """A short list of plain files bounds the header table."""
-    paths = as_list(paths)
-    return len(paths) <= 1000 and not any(ch in p for p in paths for ch in "*?[{") and all(
-        p.lower().rsplit("/", 1)[-1].count(".") for p in paths
-    )
-
-
 @dataclass(frozen=True)
 class Layout:
     """Files that can be read by one scan."""
