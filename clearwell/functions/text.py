@@ -22,6 +22,7 @@ EMAIL = (
 )
 URL = r"^https?://[^\s\p{Z}\x1c-\x1f\x85/$.?#].[^\s\p{Z}\x1c-\x1f\x85]*+$"
 PHONE_DECORATION = "()-+."
+PHONE_CHARS = r"^[\p{Nd}\s\p{Z}\x1c-\x1f\x85()+.-]*+$"
 PHONE = r"^\p{Nd}{7,}$"
 INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?([0-9]++(\.[0-9]*+)?|\.[0-9]++)([eE][+-]?[0-9]++)?$|^(?i:[+-]?(inf|infinity|nan))$"
@@ -107,7 +108,9 @@ def _email(v: Column) -> Column:
 
 @reusable
 def is_phone(c) -> Column:
-    return F.translate(_c(c), S.WHITESPACE + PHONE_DECORATION, "").rlike(PHONE)
+    # The cheap test ends at the first letter; only digits and signs get further.
+    c = _c(c)
+    return c.rlike(PHONE_CHARS) & F.translate(c, S.WHITESPACE + PHONE_DECORATION, "").rlike(PHONE)
 
 
 @reusable
