@@ -114,8 +114,13 @@ def clean_rows(df: DataFrame, types: list[M.ColumnType] | None = None) -> DataFr
     """Rows in which every column is acceptable, with typed and tidied values."""
     types = M.column_types(df) if types is None else types
     valued, fields, ok, _ = _staged(df, types)
-    keep = reduce(lambda a, b: a & b, ok.values(), F.lit(True))
-    return valued.where(keep).select(*[F.col(f"__v{i}").alias(f.name) for i, f in enumerate(fields)])
+    values = [F.col(f"__v{i}").alias(f.name) for i, f in enumerate(fields)]
+    if not ok:
+        return valued.select(*values)
+    keep = reduce(lambda a, b: a & b, ok.values())
+    # As a generator, not a filter: a filter would be pushed below the values
+    # and read every one of them a second time.
+    return valued.select(F.inline(F.when(keep, F.array(F.struct(*values)))))
 
 
 def quarantine_rows(df: DataFrame, types: list[M.ColumnType] | None = None, source: str | None = None) -> DataFrame:
@@ -125,7 +130,6 @@ def quarantine_rows(df: DataFrame, types: list[M.ColumnType] | None = None, sour
     """
     types = M.column_types(df) if types is None else types
     valued, fields, ok, category = _staged(df, types)
-    fail = reduce(lambda a, b: a | b, [~c for c in ok.values()], F.lit(False))
     failures = F.filter(
         F.array(*[
             F.struct(
@@ -138,14 +142,12 @@ def quarantine_rows(df: DataFrame, types: list[M.ColumnType] | None = None, sour
     ) if ok else F.expr(
         "cast(array() as array<struct<column_name:string,category:string,original_value:string,ok:boolean>>)"
     )
+    fail = reduce(lambda a, b: a | b, [~c for c in ok.values()], F.lit(False))
     # The rejected rows are few; only they are written as JSON.
-    return (
-        valued.where(fail)
-        .select(F.to_json("__row", {"ignoreNullFields": "false"}).alias("row_json"), F.inline(failures))
-        .select(
-            F.current_timestamp().alias("rejected_at"), "column_name", "category", "original_value",
-            "row_json", F.lit(source).cast("string").alias("source"),
-        )
+    return valued.select("__row", F.inline(F.when(fail, failures))).select(
+        F.current_timestamp().alias("rejected_at"), "column_name", "category", "original_value",
+        F.to_json("__row", {"ignoreNullFields": "false"}).alias("row_json"),
+        F.lit(source).cast("string").alias("source"),
     )
 
 
