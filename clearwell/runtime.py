@@ -2,54 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that every executor and the driver can reach.
 
-
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of its own.
+    It is the one in ``spark.checkpoint.dir``; where that is unset, a folder in
+    the warehouse, which is shared for the same reason. Nothing depends on the
+    master, and no machine-local temporary folder is ever used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if is_local(spark):
-        app = spark.sparkContext.applicationId
-        if app not in _own_folders:
-            _own_folders[app] = tempfile.mkdtemp(prefix="clearwell-")
-        return _own_folders[app]
-    return None
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    folder = shared_folder(spark)
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{folder}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under the run's own name."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute a small derived table once, for the many reports that read it.
 
-    Written to the checkpoint folder, so it survives lost executors; without a
-    shared folder it is cached and recomputed from its lineage when lost.
+    Written to the shared folder, so it survives lost executors.
     """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
