@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii, secrets
 from .byte_bpe import encode
 from .classifier import fit, fold, score
 from .simhash import near_duplicates
+from .spans import joined, merged
 from .token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +42,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _digests(found: DataFrame, base: list[str], added: list[str]) -> DataFrame:
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(joined(merged(base)), 256).alias("base_sha256"),
+        joined(merged(base + added)).alias("spans"),
+    )
+
+
+@_query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents")).withColumnRenamed("spans", "scored")
+    return _digests(found, pii.BASE, pii.ADDED)
+
+
 @_query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -56,3 +73,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(secrets.find_secrets(_table(spark, sf_dir, "documents")), secrets.BASE, secrets.ADDED)
