@@ -13,6 +13,7 @@ from .byte_bpe import encode
 from .classifier import fit, fold, score
 from .simhash import near_duplicates
 from .spans import joined, merged
+from .templates import decontaminate
 from .token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +76,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op9_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(secrets.find_secrets(_table(spark, sf_dir, "documents")), secrets.BASE, secrets.ADDED)
