@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import pii, secrets
 from .byte_bpe import encode
 from .classifier import fit, fold, score
+from .interpolation import OTHER, TRAIN, WEIGHTS, score_texts
+from .pivots import link_vectors
 from .simhash import near_duplicates
 from .spans import joined, merged
 from .templates import decontaminate
@@ -38,6 +40,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op3_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -52,6 +59,13 @@ def _digests(found: DataFrame, base: list[str], added: list[str]) -> DataFrame:
     )
 
 
+@_query
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.when(fold(7) == 2, OTHER).when(fold(7) == 6, WEIGHTS).otherwise(TRAIN)
+    scored = score_texts(_table(spark, sf_dir, "documents"), part)
+    return scored.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents")).withColumnRenamed("spans", "scored")
