@@ -15,6 +15,7 @@ from .interpolation import OTHER, TRAIN, WEIGHTS, score_texts
 from .pivots import link_vectors
 from .simhash import near_duplicates
 from .spans import joined, merged
+from .suffix_trees import deduplicate
 from .templates import decontaminate
 from .token_counts import count_tokens
 
@@ -22,8 +23,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(fn):
+def _query(fn=None, *, oracle: str | None = None):
+    if fn is None:
+        return lambda fn: _query(fn, oracle=oracle)
     QUERIES[fn.__name__] = fn
+    if oracle:
+        ORACLES[fn.__name__] = oracle
     return fn
 
 
@@ -40,6 +45,24 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    oracle=r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+    k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM s),
+    f AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM k JOIN f USING (k) WHERE doc_id > least),
+    p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+    r AS (SELECT p.doc_id, count(c.i) AS n, string_agg(word, ' ' ORDER BY p.i) FILTER (c.i IS NULL) AS kept
+          FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
+    SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+    """
+)
+def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(_table(spark, sf_dir, "embeddings"))
