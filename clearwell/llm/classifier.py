@@ -123,6 +123,19 @@ def score(docs: DataFrame, space: Space) -> DataFrame:
     return map_batches(source, per_batch, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, space: Space, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(space)
+    at = docs.columns.index("text")
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(at).to_pylist()
+        scores = [shared.value.score(np.stack([terms(t) for t in texts[i : i + 256]])) for i in range(0, len(texts), 256)]
+        return batch.filter(pa.array(np.concatenate(scores) >= least))
+
+    return map_batches(docs, per_batch, docs.schema)
+
+
 def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     """The CRC-32 of the id as text, modulo; a row without an id counts as 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -87,9 +88,9 @@ def small_batches(df: DataFrame, rows: int = 1000, megabytes: int = 16) -> DataF
     return df
 
 
-def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str | StructType) -> DataFrame:
     """Apply a function to each Arrow batch; it returns a batch, or a list of columns in the order of the schema."""
-    names = [field.split()[0] for field in schema.split(", ")]
+    names = schema.names if isinstance(schema, StructType) else [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
