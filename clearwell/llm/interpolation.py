@@ -28,6 +28,7 @@ KEYS_PER_SHARD = 2_000_000
 BATCH_BYTES = 8 << 20
 BUCKETS = 24  # of context frequency, by powers of two
 GRID = 0.1  # step of the natural logarithm in which held-out probabilities are counted
+NEVER = -(1 << 40)  # stands for the logarithm of zero
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -209,8 +210,8 @@ def learn_weights(grid: np.ndarray, rounds: int = 60) -> np.ndarray:
     return weights
 
 
-def _held_out_grid(paired: DataFrame, train_tokens: int, train_texts: int, kinds: int) -> np.ndarray:
-    """Held-out tokens counted by bucket and by their probabilities in steps of ``GRID``; its size does not grow with the corpus."""
+def _held_out_grid(paired: DataFrame, train_tokens: int, train_texts: int, kinds: int, grid: float) -> np.ndarray:
+    """Held-out tokens counted by bucket and by their probabilities in logarithmic steps of ``grid``; its size does not grow with the corpus."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in rows:
@@ -218,17 +219,17 @@ def _held_out_grid(paired: DataFrame, train_tokens: int, train_texts: int, kinds
                 batch = Batch(lengths, texts)
                 words, pairs = _counts(batch, answers, train_only=True)
                 before = _before(batch, words, train_texts)
-                step = lambda p: np.where(p > 0, np.round(np.log(np.maximum(p, 1e-30)) / GRID), -10_000).astype(np.int64)
+                step = lambda p: np.where(p > 0, np.round(np.log(np.maximum(p, 1e-30)) / grid), NEVER).astype(np.int64)
                 cells = np.stack([bucket(before), step(pairs / np.maximum(before, 1)), step(words / max(1, train_tokens))], axis=1)
                 cells, n = np.unique(cells, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(cells[:, 2]), pa.array(n)], names=["bucket", "p2", "p1", "n"])
 
     cells = small_batches(paired, rows=1).mapInArrow(count, "bucket long, p2 long, p1 long, n long").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).collect()
-    value = lambda q: 0.0 if q == -10_000 else float(np.exp(q * GRID))
+    value = lambda q: 0.0 if q == NEVER else float(np.exp(q * grid))
     return np.array([(r["bucket"], value(r["p2"]), value(r["p1"]), 1 / (kinds + 1), r["n"]) for r in cells], dtype=np.float64).reshape(-1, 5)
 
 
-def score_texts(docs: DataFrame, part) -> DataFrame:
+def score_texts(docs: DataFrame, part, grid: float = GRID) -> DataFrame:
     """Per row: ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, both log10 of probabilities.
 
     ``part`` is a column of ``TRAIN``, ``WEIGHTS`` or ``OTHER`` over ``docs``
@@ -249,7 +250,7 @@ def score_texts(docs: DataFrame, part) -> DataFrame:
     answers = written(_ask(batches, shard_bits).groupBy("order", "shard").applyInPandas(_answer, _ANSWER), "answers")
     kinds = answers.where("order = 1").agg(F.sum("n_kinds")).first()[0] or 0
     held_out = _with_answers(batches.where(F.col("part") == WEIGHTS), answers.where(F.col("train_small") != F.lit(b"")))
-    weights = learn_weights(_held_out_grid(held_out, tokens[TRAIN], texts[TRAIN], kinds))
+    weights = learn_weights(_held_out_grid(held_out, tokens[TRAIN], texts[TRAIN], kinds, grid))
     n, learned_texts = tokens[TRAIN] + tokens[WEIGHTS], texts[TRAIN] + texts[WEIGHTS]
 
     def score(group: pa.RecordBatch) -> list:
