@@ -38,15 +38,16 @@ _PLAIN_ISO = rf"^{_YEAR}-{_DAY}-{_DAY}$|^{_YEAR}([/.]){_DAY}\1{_DAY}$|^(?!0000)[
 _PLAIN_PARTS = r"^([0-9]{4})[-/.]?([0-9]{1,2})[-/.]?([0-9]{1,2})$"
 _PLAIN_LAST = rf"^({_DAY})([-/.])({_DAY})\2({_YEAR})$"
 
-# Shortest and longest text a supported layout can have.
-SHORTEST, LONGEST = 6, 48
+# Fewest and most characters other than white space that a supported layout has.
+FEWEST, MOST = 4, 48
 
 
 def _prepared(c) -> Column:
     """Trimmed lower-case text, or null for texts that cannot be a date."""
     c = _c(c)
     v = trim_space(c)
-    likely = (F.length(c) <= 4 * LONGEST) & F.length(v).between(SHORTEST, LONGEST) & v.rlike("[0-9]{2}")
+    solid = F.length(F.translate(c, S.WHITESPACE, ""))
+    likely = solid.between(FEWEST, MOST) & v.rlike("[0-9]{2}")
     plain = F.regexp_replace(F.lower(strip_accents(v)), r"\s+(de\s+)?", " ")
     return F.when(likely, F.when(v.rlike("^[0-9/.-]+$"), v).otherwise(plain))
 
@@ -146,7 +147,7 @@ def has_time_part(c) -> Column:
 def date_format_label(c) -> Column:
     """Label of the first known format a value is written in.
 
-    ``<formato_no_estandar>`` for a readable date in none of them; null when the
+    ``<formato_no_estándar>`` for a readable date in none of them; null when the
     value is no date.
     """
     v = trim_space(c)

@@ -20,10 +20,14 @@ from ..functions import (
     is_email, normalize_boolean, normalize_email, normalize_number, parse_date, parse_timestamp, trim_space,
 )
 from ..functions.names import is_business_key
+from ..runtime import scratch_path
 from . import semantics as M
 from .duplicates import distinct_rows, keep_first
 from .profile import null_profile
 
+#: Partitions whose row counts are broadcast; more are joined by shuffle.
+MOST_OFFSETS = 200_000
+
 
 @dataclass(frozen=True)
 class _Plan:
@@ -53,13 +57,16 @@ def _column_plan(field, kind: M.ColumnType) -> _Plan:
         )
 
     if kind.semantic == M.INTEGER:
-        return checked(
-            normalize_number(c).try_cast("decimal(38,10)"), S.BAD_NUMBER,
-            value=lambda r: r.try_cast("bigint"), ok=lambda r: (r == F.floor(r)) & r.try_cast("bigint").isNotNull(),
-        )
+        # Whether a number is whole is read from its text, before anything is rounded.
+        whole = lambda r: F.regexp_replace(r, r"\.0*$", "").try_cast("bigint")
+        return checked(normalize_number(c), S.BAD_NUMBER, value=whole, ok=lambda r: r.rlike(r"^-?[0-9]*\.?0*$") & whole(r).isNotNull())
     if kind.semantic == M.FLOAT:
         precision, scale = kind.precision or 38, kind.scale if kind.scale is not None else 10
-        return checked(normalize_number(c).try_cast(f"decimal({precision},{scale})"), S.BAD_NUMBER)
+        number = lambda r: r.try_cast(f"decimal({precision},{scale})")
+        return checked(
+            normalize_number(c), S.BAD_NUMBER, value=number,
+            ok=lambda r: number(r).isNotNull() & (M.fraction_digits(r) <= scale),  # nothing is rounded away
+        )
     if kind.semantic == M.DATE:
         return checked(parse_date(c), S.BAD_DATE, is_date=True)
     if kind.semantic == M.DATETIME:
@@ -194,22 +201,28 @@ def with_surrogate_key(df: DataFrame, name: str = "id", dense: bool = False) ->
     """Add a generated key: unique, or numbered 1..n without gaps.
 
     Dense numbers add the row count of the partitions before to the position
-    inside the partition, so no task sees more than its own rows.
+    inside the partition, so no task sees more than its own rows. Generated ids
+    differ between two evaluations of a plan, so the rows are first written to
+    the shared folder with their ids; counts and numbers are taken from there.
     """
     keyed = df.withColumn("__id", F.monotonically_increasing_id())
     if not dense:
         return keyed.withColumn(name, F.col("__id") + 1).drop("__id")
     bits = 33
-    part = F.shiftright("__id", bits)
-    counts = keyed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
+    spark = df.sparkSession
+    path = scratch_path(spark, "keyed")
+    # Names a file format may refuse are replaced while the rows are outside.
+    outside = [f"c{i}" for i in range(len(df.columns))]
+    keyed.withColumn("__part", F.shiftright("__id", bits)).toDF(*outside, "__id", "__part").write.parquet(path)
+    fixed = spark.read.parquet(path)
+    counts = fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition of the data.
     offsets = counts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
-    return (
-        keyed.withColumn("__part", part).join(offsets, "__part")
-        .withColumn(name, F.col("__offset") + F.col("__id") - F.shiftleft(F.col("__part"), bits) + 1)
-        .drop("__id", "__part", "__offset")
-    )
+    if counts.count() <= MOST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    number = F.col("__offset") + F.col("__id") - F.shiftleft(F.col("__part"), bits) + 1
+    return fixed.join(offsets, "__part").select(*outside, number.alias("__number")).toDF(*df.columns, name)
 
 
 def business_keys(df: DataFrame) -> list[str]:

@@ -1,8 +1,8 @@
 """Value frequencies, and everything that follows from them.
 
-The frequency table is one shuffle on (column, value key). Counting happens
-before the shuffle in every task, so a value that fills a third of the table
-arrives as one row per task. Long texts travel as digests.
+Counting happens before the shuffle in every task, so a value that fills a third
+of the table arrives as one row per task. Where only counts are asked for, long
+texts travel as digests; results always hold and order by the values themselves.
 """
 
 from __future__ import annotations
@@ -14,22 +14,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import as_list, as_text, col, is_text, long_form, order_key, present, profiled_fields
+from ..columns import as_list, as_text, col, is_text, long_form, order_key, present, profiled_fields, quoted
 from ..functions import trim_space, value_key
 from ..functions.text import KEY_BYTES, value_type_of
 
 
+#: Characters of a value that are ranked before whole values are read.
+PREFIX = 60
+
+
 def _key(field):
     return value_key(as_text(field))
 
 
 def value_frequencies(df: DataFrame, columns=None, by=()) -> DataFrame:
-    """``by..., column_name, value_key, cnt``; nulls are no value."""
+    """``by..., column_name, value, cnt``; nulls are no value."""
     by = as_list(by)
-    cells = long_form(df, profiled_fields(df, columns, by), by, value=_key)
-    return cells.groupBy(*[col(b) for b in by], "column_name", F.col("value").alias("value_key")).agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
+    cells = long_form(df, profiled_fields(df, columns, by), by)
+    return cells.groupBy(*[col(b) for b in by], "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _families(fields):
@@ -80,38 +82,34 @@ def duplicates_per_column(df: DataFrame, columns=None, by=()) -> DataFrame:
     )
 
 
-def top_values(df: DataFrame, k: int = 3, columns=None, by: Sequence[str] = (), full_text: bool = True) -> DataFrame:
-    """The ``k`` most frequent values of each column; ties go to the lower key.
+def top_values(df: DataFrame, k: int = 3, columns=None, by: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` most frequent values of each column; ties go to the lower value.
 
-    Ranking needs only keys. The text behind a digest is looked up afterwards
-    for the at most ``k`` winners per column.
+    Values are counted by key and by the first ``PREFIX`` characters, which sort
+    as the values do as far as they differ there. Only texts that can still be
+    among the first ``k`` are then read whole: those whose rank by count and
+    prefix, ties included, is at most ``k``.
     """
     by = as_list(by)
     group = [*by, "column_name"]
-    window = Window.partitionBy(*[col(g) for g in group]).orderBy(F.desc("cnt"), "value_key")
-    ranked = (
-        value_frequencies(df, columns, by)
-        .withColumn("rank", F.row_number().over(window))
-        .where(F.col("rank") <= k)
-    )
-    fields = [f for f in profiled_fields(df, columns, by) if not _always_short(f)]
-    if not full_text or not fields:
-        return ranked.withColumn("value", F.col("value_key")).select(*[col(g) for g in group], "rank", "value", "cnt")
-    digest = F.col("value_key").startswith("sha256:") & (F.octet_length("value_key") > KEY_BYTES)
-    short = ranked.where(~digest).withColumn("value", F.col("value_key"))
-    winners = ranked.where(digest)
-    if not by:
-        # k rows per column of the schema.
-        winners = F.broadcast(winners)
-    cells = long_form(df, fields, by).where(F.octet_length("value") > KEY_BYTES)
-    texts = cells.withColumn("value_key", value_key("value"))
-    found = (
-        texts.join(winners, [*group, "value_key"])
-        .groupBy(*[col(g) for g in group], "rank", "value_key", "cnt")
-        .agg(F.min("value").alias("value"))
-    )
-    out = [*[col(g) for g in group], F.col("rank"), F.col("value"), F.col("cnt")]
-    return short.select(*out).unionByName(found.select(*out))
+    keys = [col(g) for g in group]
+    fields = profiled_fields(df, columns, by)
+    cells = long_form(df, fields, by).withColumn("value_key", value_key("value"))
+    counts = cells.groupBy(*keys, "value_key", F.substring("value", 1, PREFIX).alias("prefix")).agg(F.count(F.lit(1)).alias("cnt"))
+    near = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "prefix")
+    candidates = counts.withColumn("__rank", F.rank().over(near)).where(F.col("__rank") <= k).drop("__rank")
+    whole = F.col("value_key") == F.col("prefix")
+    values = candidates.where(whole).select(*keys, "value_key", "cnt", F.col("prefix").alias("value"))
+    if any(not _always_short(f) for f in fields):
+        wanted = candidates.where(~whole).select(*keys, "value_key", "cnt")
+        same = reduce(lambda a, b: a & b, [F.col(f"c.{quoted(g)}").eqNullSafe(F.col(f"w.{quoted(g)}")) for g in [*group, "value_key"]])
+        long_cells = long_form(df, [f for f in fields if not _always_short(f)], by)
+        long_cells = long_cells.where((F.length("value") > PREFIX) | (F.octet_length("value") > KEY_BYTES))
+        found = long_cells.withColumn("value_key", value_key("value")).alias("c").join(wanted.alias("w"), same)
+        columns_ = [F.col(f"c.{quoted(g)}") for g in [*group, "value_key"]]
+        values = values.unionByName(found.groupBy(*columns_, F.col("w.cnt").alias("cnt")).agg(F.first("c.value").alias("value")))
+    last = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "value")
+    return values.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select(*keys, "rank", "value", "cnt")
 
 
 def _always_short(field) -> bool:

@@ -22,7 +22,7 @@ from ..functions.names import is_identifier_name
 INTEGER, FLOAT, DATE, DATETIME = "Integer", "Float", "Date", "DateTime"
 BOOLEAN, EMAIL, PHONE, URL, TEXT = "Boolean", "Email", "Phone", "URL", "Text"
 
-_HINTED = {"Email": EMAIL, "URL": URL, "Telefono": PHONE}
+_HINTED = {"Email": EMAIL, "URL": URL, "Teléfono": PHONE}
 
 # Shares of the values that decide.
 NUMBER_SHARE, BOOLEAN_SHARE, DATE_SHARE = 0.50, 0.90, 0.90
@@ -69,14 +69,20 @@ def _digits(number: Column) -> tuple[Column, Column]:
 
 
 def _precision(max_whole: Column, max_fraction: Column) -> tuple[Column, Column]:
+    """Digits that hold every value; where 38 are too few, whole digits go first."""
     wanted = F.greatest(max_fraction, F.lit(2))
     precision = F.least(F.greatest(max_whole + wanted, F.lit(10)), F.lit(38))
-    return precision.cast("int"), F.least(wanted, F.lit(10)).cast("int")
+    return precision.cast("int"), F.least(wanted, F.greatest(38 - max_whole, F.lit(0))).cast("int")
+
+
+def fraction_digits(number: Column) -> Column:
+    """Decimal digits of canonical decimal text, zeros at the end not counted."""
+    return _digits(number)[1]
 
 
 def _number_text(f: T.StructField) -> Column:
     if is_fractional(f):
-        return col(f.name).try_cast("decimal(38,10)").cast("string")
+        return col(f.name).cast("string").try_cast("decimal(38,18)").cast("string")
     return normalize_number(as_text(f))
 
 

@@ -5,10 +5,8 @@ classified once before the shuffle, and the shuffle carries one small row of
 counts per column and task.
 """
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import settings as S
 from ..columns import (
@@ -301,35 +299,3 @@ def validation_summary(contents: DataFrame, numeric: DataFrame, text: DataFrame,
         # Bounded by the columns of the schema.
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("is_problematic"), F.col("column_name")))), ", ").alias("columns_with_issues"),
     )
-
-
-@F.pandas_udf(T.BooleanType())
-def _lenient_date(values: pd.Series) -> pd.Series:
-    from dateutil import parser
-
-    def readable(text):
-        try:
-            parser.parse(text, dayfirst=True)
-            return True
-        except (ValueError, OverflowError):
-            return False
-
-    return values.map(readable)
-
-
-def tolerant_dates(df: DataFrame, columns, by=()) -> DataFrame:
-    """Distinct values the built-in layouts reject, judged by ``dateutil``.
-
-    Each distinct leftover is parsed once, Arrow batch by Arrow batch; the
-    result says how many rows a lenient day-first parser would still accept.
-    """
-    by = as_list(by)
-    group = [*by, "column_name"]
-    cells = long_form(df, profiled_fields(df, columns, by), by)
-    rest = cells.where(parse_date("value").isNull()).groupBy(*[col(g) for g in group], "value").agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
-    return rest.withColumn("ok", _lenient_date("value")).groupBy(*[col(g) for g in group]).agg(
-        F.sum(F.when(F.col("ok"), F.col("cnt")).otherwise(0)).alias("accepted"),
-        F.sum(F.when(F.col("ok"), 0).otherwise(F.col("cnt"))).alias("rejected"),
-    )

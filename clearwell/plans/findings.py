@@ -70,11 +70,11 @@ def issues(m: Metrics) -> DataFrame:
     parts = [
         _rows(m.columns, by, [
             (c("null_percent") >= S.NULL_CRITICAL_PERCENT,
-             _issue("critical", "NULOS_CRITICOS", name, 10, F.format_string("%.1f%% nulos", "null_percent"))),
+             _issue("critical", "NULOS_CRÍTICOS", name, 10, F.format_string("%.1f%% nulos", "null_percent"))),
             (c("null_percent").between(S.NULL_SEVERE_PERCENT, S.NULL_CRITICAL_PERCENT) & (c("null_percent") < S.NULL_CRITICAL_PERCENT),
              _issue("severe", "NULOS_GRAVES", name, 7, F.format_string("%.1f%% nulos", "null_percent"))),
             (c("blank_count") > 0,
-             _issue(F.when(c("blank_percent") > 30, "severe").otherwise("warnings"), "CADENAS_VACIAS", name,
+             _issue(F.when(c("blank_percent") > 30, "severe").otherwise("warnings"), "CADENAS_VACÍAS", name,
                     F.when(c("blank_percent") > 30, 5).otherwise(2),
                     F.format_string("%d cadenas vacías (%.1f%%)", "blank_count", "blank_percent"))),
         ]),
@@ -98,8 +98,8 @@ def issues(m: Metrics) -> DataFrame:
                  F.when(c("invalid_percent") > limit, score).otherwise(2),
                  F.format_string("%d inválidos (%.1f%%)", "invalid_count", "invalid_percent")))
             for v, kind, limit, score in (
-                ("email", "EMAILS_INVALIDOS", 30, 5), ("phone", "TELEFONOS_INVALIDOS", 30, 5),
-                ("date", "FECHAS_INVALIDAS", 20, 7), ("url", "URLS_INVALIDAS", 100, 2),
+                ("email", "EMAILS_INVÁLIDOS", 30, 5), ("phone", "TELÉFONOS_INVÁLIDOS", 30, 5),
+                ("date", "FECHAS_INVÁLIDAS", 20, 7), ("url", "URLS_INVÁLIDAS", 100, 2),
             )
         ]),
     ]

@@ -51,7 +51,7 @@ def report_tables(a: Analysis, samples: DataFrame | None = None) -> dict[str, Da
             F.round(F.col("cardinality_ratio") * 100, 2).alias("cardinality_percent"), "min", "max", "mean", "median", "std"),
         "validations": or_no_findings(
             m.contents.select(*by, "validator", "column_name", "valid_count", "invalid_count", _round("invalid_percent"),
-                              F.when(F.col("is_problematic"), "PROBLEMATICO").otherwise("OK").alias("status")), "status"),
+                              F.when(F.col("is_problematic"), "PROBLEMÁTICO").otherwise("OK").alias("status")), "status"),
         "cleaning": or_no_findings(advice["cleaning"], "detail"),
         "database_rules": or_no_findings(advice["database_rules"], "detail"),
         "normalization": or_no_findings(advice["normalization"], "detail"),

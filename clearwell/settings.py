@@ -17,7 +17,7 @@ LONG_TEXT = 500
 SPECIAL_CHARS_PERCENT = 0.5
 
 # --- fixed values: severity labels --------------------------------------------
-CRITICAL, SEVERE, NOTICE, OK = "CRITICO", "GRAVE", "AVISO", "OK"
+CRITICAL, SEVERE, NOTICE, OK = "CRÍTICO", "GRAVE", "AVISO", "OK"
 LOW, ACCEPTABLE = "BAJO", "ACEPTABLE"
 WHOLE_ROWS = "FILAS_COMPLETAS"
 NO_FINDINGS = "Sin incidencias detectadas"
@@ -27,7 +27,7 @@ TYPE_NULL = "Nulo"
 TYPE_INTEGER = "Entero"
 TYPE_FLOAT = "Flotante"
 TYPE_EMAIL = "Email"
-TYPE_PHONE = "Telefono"
+TYPE_PHONE = "Teléfono"
 TYPE_URL = "URL"
 TYPE_DATE = "Fecha"
 TYPE_TEXT = "Texto"
@@ -36,7 +36,7 @@ TYPE_TEXT = "Texto"
 HINT_KEYWORDS = {
     "Fecha/Hora": ["fecha", "date", "time", "hora", "timestamp", "created", "updated", "born"],
     "Email": ["email", "correo", "mail"],
-    "Telefono": ["telefono", "phone", "celular", "mobile", "whatsapp"],
+    "Teléfono": ["telefono", "phone", "celular", "mobile", "whatsapp"],
     "URL": ["url", "website", "web", "link"],
 }
 HINT_IDENTIFIER = "Identificador"
@@ -88,7 +88,7 @@ DATE_FORMATS = [
     "%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%Y/%m/%d", "%d.%m.%Y",
     "%Y%m%d", "%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y",
 ]
-OTHER_DATE_FORMAT = "<formato_no_estandar>"
+OTHER_DATE_FORMAT = "<formato_no_estándar>"
 
 # --- fixed values: month names, Spanish and English ------------------------------
 MONTH_NAMES = {

@@ -7,8 +7,10 @@ a failure replaces its earlier result instead of counting twice.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,12 +52,23 @@ def batch_table(df: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def _read_once(batch: DataFrame):
+    """A micro-batch that two sinks need is read and parsed once; lost blocks are read again."""
+    batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield
+    finally:
+        batch.unpersist()
+
+
 def profile_writer(path: str):
     """``foreachBatch`` function that writes the metrics of one micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch_columns(batch).write.mode("overwrite").parquet(f"{path}/{COLUMNS}/batch_id={batch_id}")
-        batch_table(batch).write.mode("overwrite").parquet(f"{path}/{TABLE}/batch_id={batch_id}")
+        with _read_once(batch):
+            batch_columns(batch).write.mode("overwrite").parquet(f"{path}/{COLUMNS}/batch_id={batch_id}")
+            batch_table(batch).write.mode("overwrite").parquet(f"{path}/{TABLE}/batch_id={batch_id}")
 
     return write
 
@@ -87,15 +100,21 @@ def table_totals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def without_repeats(stream: DataFrame, columns=None, event_time: str | None = None, delay: str | None = None) -> DataFrame:
-    """Drop rows seen before, comparing the values themselves.
+    """Drop rows seen before.
 
-    With an event time the state is bounded by the watermark; without one the
-    state store keeps every distinct row, spread over its partitions.
+    The state holds a SHA-256 of the compared values, 64 characters for each
+    distinct row. With an event time, which needs a ``delay``, the watermark
+    bounds it, and repeats further apart than the delay are let through;
+    without one every distinct row is remembered, spread over the partitions.
     """
-    keys = columns or stream.columns
+    if event_time and not delay:
+        raise ValueError("an event time needs a delay: how late a repeat may come")
+    fields = profiled_fields(stream, columns)
+    values = F.struct(*[as_text(f).alias(f"v{i}") for i, f in enumerate(fields)])
+    keyed = stream.withColumn("__seen", F.sha2(F.to_json(values, {"ignoreNullFields": "false"}), 256))
     if event_time:
-        return stream.withWatermark(event_time, delay or "1 hour").dropDuplicatesWithinWatermark(keys)
-    return stream.dropDuplicates(keys)
+        return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["__seen"]).drop("__seen")
+    return keyed.dropDuplicates(["__seen"]).drop("__seen")
 
 
 def start_clean(stream: DataFrame, types: list[ColumnType], clean_path: str, quarantine_path: str, checkpoint: str,
@@ -103,8 +122,9 @@ def start_clean(stream: DataFrame, types: list[ColumnType], clean_path: str, qua
     """Split a stream into clean and quarantined rows; a repeated batch overwrites its own folder."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        clean_rows(batch, types).write.mode("overwrite").parquet(f"{clean_path}/batch_id={batch_id}")
-        quarantine_rows(batch, types).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
+        with _read_once(batch):
+            clean_rows(batch, types).write.mode("overwrite").parquet(f"{clean_path}/batch_id={batch_id}")
+            quarantine_rows(batch, types).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -3,6 +3,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from clearwell.operators import cleaning as C
 from clearwell.operators import filters as L
@@ -90,6 +91,25 @@ def test_surrogate_keys(spark):
     assert C.with_surrogate_key(df, "k").select("k").distinct().count() == 100
 
 
+def test_dense_keys_lose_no_row_after_a_shuffle(spark):
+    df = spark.range(20_000).selectExpr("id", "id % 97 AS `a k`", "repeat('x', cast(id % 50 as int)) AS t").repartition(64, "a k")
+    keyed = C.with_surrogate_key(df, "n", dense=True)
+    assert keyed.columns == ["id", "a k", "t", "n"]
+    row = keyed.agg(F.count("id"), F.countDistinct("id"), F.countDistinct("n"), F.min("n"), F.max("n")).first()
+    assert tuple(row) == (20_000, 20_000, 20_000, 1, 20_000)
+
+
+def test_numbers_are_not_rounded(spark):
+    df = spark.createDataFrame([("1.00000000001", "1.123456789012"), ("2.000", "1e3"), ("9223372036854775808", "5"), ("-7", "x")], "i string, f string")
+    types = M.column_types(df, {"i": M.INTEGER, "f": M.FLOAT})
+    clean = [(r["i"], str(r["f"])) for r in C.clean_rows(df, [*types[:1], M.ColumnType("f", M.TEXT)]).collect()]
+    assert sorted(c[0] for c in clean) == [-7, 2]
+    assert types[1].scale == 12
+    assert {r["original_value"] for r in C.quarantine_rows(df, types).collect()} >= {"1.00000000001", "9223372036854775808", "x"}
+    narrow = [types[0], M.ColumnType("f", M.FLOAT, 20, 10)]
+    assert "1.123456789012" in {r["original_value"] for r in C.quarantine_rows(df, narrow).collect()}
+
+
 def test_checks_and_keys(spark, orders):
     clean, bad = C.clean_and_quarantine(orders)
     checks = {(r["check"], r["subject"]): r["value"] for r in C.post_load_checks(clean, bad).collect()}

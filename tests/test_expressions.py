@@ -34,7 +34,7 @@ def test_accepts_and_rejects(texts, expression, good, bad):
 def test_value_types(texts):
     cases = {
         "123": "Entero", "-456": "Entero", "123.45": "Flotante", ".5": "Flotante", "user@example.com": "Email",
-        "+34612345678": "Telefono", "2024-01-15": "Telefono", "1/2/2024": "Fecha", "https://a.bc": "URL",
+        "+34612345678": "Teléfono", "2024-01-15": "Teléfono", "1/2/2024": "Fecha", "https://a.bc": "URL",
         "random text": "Texto", "": "Nulo", "   ": "Texto",
     }
     assert texts(X.value_type, list(cases)) == list(cases.values())
@@ -61,6 +61,9 @@ def test_dates(texts):
     good = ["2024-01-10", "10/01/2024", "10-ene-24", "10 de enero de 2024", "10 enero 2024", "January 10, 2024",
             "10 JANUARY 2024", "10.01.2024", "20240110", "2024-01-10T08:30:00Z", "2024-01-10 08:30", "10/1/24", "Jan 10 2024"]
     assert texts(X.parse_date, good) == [day] * len(good)
+    padded = ["10 enero 2024" + " " * 200, "\n" * 300 + "10/01/2024\t", "10" + " " * 40 + "de enero de 2024", "2024-01-10" + " " * 500]
+    assert texts(X.parse_date, padded) == [day] * len(padded)
+    assert texts(X.parse_date, ["x" * 100_000, "10 " * 10_000]) == [None, None]
     bad = ["2024-99-99", "31/02/2024", "hello", "", "2024", "2024-01", "10/13/14/2024", "99999999"]
     assert texts(X.parse_date, bad) == [None] * len(bad)
     assert texts(X.parse_date, ["12/13/2024", "01-15-2024", "1/2/70"]) == [date(2024, 12, 13), date(2024, 1, 15), date(1970, 2, 1)]
@@ -73,7 +76,7 @@ def test_date_formats(texts):
         "2024-01-15": "%Y-%m-%d", "15/01/2024": "%d/%m/%Y", "12/13/2024": "%m/%d/%Y", "15-01-2024": "%d-%m-%Y",
         "2024/01/15": "%Y/%m/%d", "15.01.2024": "%d.%m.%Y", "20240115": "%Y%m%d", "15 Jan 2024": "%d %b %Y",
         "15 January 2024": "%d %B %Y", "Jan 15, 2024": "%b %d, %Y", "January 15, 2024": "%B %d, %Y",
-        "15 May 2024": "%d %b %Y", "01-15-2024": "<formato_no_estandar>", "10-ene-24": "<formato_no_estandar>", "x": None,
+        "15 May 2024": "%d %b %Y", "01-15-2024": "<formato_no_estándar>", "10-ene-24": "<formato_no_estándar>", "x": None,
     }
     assert texts(X.date_format_label, list(cases)) == list(cases.values())
 
@@ -107,7 +110,7 @@ def test_value_key_keeps_values_apart(texts):
 
 
 @pytest.mark.parametrize("name, hint", [
-    ("fecha_registro", "Fecha/Hora"), ("correo", "Email"), ("TELEFONO", "Telefono"), ("website", "URL"), ("id", "Identificador"),
+    ("fecha_registro", "Fecha/Hora"), ("correo", "Email"), ("TELEFONO", "Teléfono"), ("website", "URL"), ("id", "Identificador"),
     ("id_cliente", "Identificador"), ("customer_id", "Identificador"), ("codigo", "Identificador"), ("nombre", None), ("valid", None),
 ])
 def test_name_hints(spark, name, hint):

@@ -24,15 +24,15 @@ def analysis(table):
 def test_issues(analysis):
     got = {(r["type"], r["column_name"]): (r["level"], r["score"]) for r in analysis.issues.collect()}
     assert got["NULOS_GRAVES", "casi"] == ("severe", 7)
-    assert got["CADENAS_VACIAS", "blanco"] == ("severe", 5)
+    assert got["CADENAS_VACÍAS", "blanco"] == ("severe", 5)
     assert got["DUPLICADOS", "FILAS_COMPLETAS"] == ("severe", 6)
-    assert got["EMAILS_INVALIDOS", "email"] == ("severe", 5)
-    assert got["FECHAS_INVALIDAS", "fecha"] == ("warnings", 2)
+    assert got["EMAILS_INVÁLIDOS", "email"] == ("severe", 5)
+    assert got["FECHAS_INVÁLIDAS", "fecha"] == ("warnings", 2)
     assert sum(analysis.severity.first()) == len(got)
 
 
 def test_thresholds(spark):
-    for nulls, kind in ((8, "NULOS_CRITICOS"), (4, "NULOS_GRAVES"), (3, None)):
+    for nulls, kind in ((8, "NULOS_CRÍTICOS"), (4, "NULOS_GRAVES"), (3, None)):
         df = spark.createDataFrame([(i, None if i < nulls else 1) for i in range(10)], "i int, v int")
         found = [r["type"] for r in N.issues(A.issue_metrics(df)).collect()]
         assert found == ([kind] if kind else [])

@@ -16,7 +16,7 @@ def test_nulls(spark):
     df = spark.createDataFrame([(1.0, "a", None), (None, "b", 2.0), (float("nan"), "c", 3.0)], "a double, b string, c double")
     got = by_name(P.null_profile(df))
     assert got["a"]["null_count"] == 2 and got["a"]["null_percent"] == pytest.approx(200 / 3)
-    assert got["a"]["status"] == "GRAVE" and got["a"]["utilization_status"] == "CRITICO"
+    assert got["a"]["status"] == "GRAVE" and got["a"]["utilization_status"] == "CRÍTICO"
     assert got["b"]["status"] == "OK" and got["b"]["utilization_status"] == "ACEPTABLE"
     table = P.row_completeness(df).first()
     assert (table["null_cells"], table["complete_rows"], table["cells"]) == (3, 0, 9)
@@ -157,3 +157,14 @@ def test_medians_do_not_shuffle_the_rows(spark):
     plan = exact_median(df)._jdf.queryExecution().executedPlan().toString()
     before = [line for line in plan.splitlines() if "Exchange" in line]
     assert before and "SinglePartition" not in plan
+
+
+def test_top_values_order_by_the_values_themselves(spark):
+    rows = ["c" * 70, "a" * 70, "b" * 70, "é" * 40, "a" * 60 + "z", "short"]
+    df = spark.createDataFrame([(v,) for v in rows], "v string")
+    got = [r["value"] for r in Q.top_values(df, 4).orderBy("rank").collect()]
+    assert got == sorted(rows, key=lambda v: v.encode())[:4]
+    assert {r["value"] for r in Q.value_frequencies(df).collect()} == set(rows)
+    both = df.withColumn("g", F.when(F.col("v") < "b", None).otherwise("x"))
+    got = [(r["g"], r["value"]) for r in Q.top_values(both, 1, by="g").orderBy("g").collect()]
+    assert got == [(None, "a" * 70), ("x", "b" * 70)]

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from clearwell.operators.profile import column_profile, row_completeness
@@ -51,6 +52,8 @@ def test_watermarked_repeats_are_planned(spark, tmp_path):
     schema = spark.read.parquet(path).schema
     stream = T.without_repeats(T.file_stream(spark, path, schema), ["id"], "ts", "1 hour")
     assert stream.isStreaming and stream.columns == ["id", "ts"]
+    with pytest.raises(ValueError):
+        T.without_repeats(T.file_stream(spark, path, schema), ["id"], "ts")
 
 
 def test_stream_is_split(spark, tmp_path):

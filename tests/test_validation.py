@@ -108,9 +108,3 @@ def test_allowed_table(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "v string")
     row = U.check_allowed(df, "v", spark.createDataFrame([("a",), (None,)], "ok string")).first()
     assert (row["rows"], row["violations"]) == (4, 2)
-
-
-def test_lenient_dates(spark):
-    df = spark.createDataFrame([("Wed, 10 Jan 2024",), ("Wed, 10 Jan 2024",), ("zzz",), ("2024-01-01",)], "fecha string")
-    row = V.tolerant_dates(df, "fecha").first()
-    assert (row["accepted"], row["rejected"]) == (2, 1)

@@ -211,5 +211,34 @@ def clean(spark, d):
 
 @query("SELECT count(*) AS rows, count(*) AS keys, CAST(1 AS BIGINT) AS first, count(*) AS last FROM lineitem")
 def surrogate_key(spark, d):
-    keyed = C.with_surrogate_key(source(spark, d, "lineitem").select("l_orderkey"), "k", dense=True)
+    """Dense numbers over a shuffled table of many partitions, read back with one column only."""
+    keyed = C.with_surrogate_key(source(spark, d, "lineitem").repartition(64, "l_partkey"), "k", dense=True)
     return keyed.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("k").alias("keys"), F.min("k").alias("first"), F.max("k").alias("last"))
+
+
+_FRACTIONS = """WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '1.00000000001' ELSE CAST(o_orderkey AS VARCHAR) END AS entero,
+  CAST(o_orderkey AS VARCHAR) || '.' || lpad(CAST(o_custkey * 10 + 1 AS VARCHAR), 12, '0') AS importe FROM orders)
+"""
+
+
+def _fractions(spark, d):
+    df = source(spark, d, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 7 == 0, "1.00000000001").otherwise(F.col("o_orderkey").cast("string")).alias("entero"),
+        F.concat(F.col("o_orderkey").cast("string"), F.lit("."), F.lpad((F.col("o_custkey") * 10 + 1).cast("string"), 12, "0")).alias("importe"),
+    )
+    return df, M.column_types(df, {"entero": M.INTEGER, "importe": M.FLOAT})
+
+
+@query(_FRACTIONS + "SELECT o_orderkey, entero, importe FROM v WHERE o_orderkey % 7 <> 0")
+def clean_fractions(spark, d):
+    """Twelve decimals stay as they are."""
+    df, types = _fractions(spark, d)
+    return C.clean_rows(df, types).select("o_orderkey", F.col("entero").cast("string").alias("entero"), F.col("importe").cast("string").alias("importe"))
+
+
+@query(_FRACTIONS + "SELECT 'entero' AS column_name, entero AS original_value, count(*) AS rows FROM v WHERE o_orderkey % 7 = 0 GROUP BY entero")
+def quarantine_fractions(spark, d):
+    """A number that is almost whole is not rounded to one."""
+    df, types = _fractions(spark, d)
+    return C.quarantine_rows(df, types).groupBy("column_name", "original_value").agg(F.count(F.lit(1)).alias("rows"))

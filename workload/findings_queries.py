@@ -67,16 +67,16 @@ def _issues(name: str) -> str:
     # invalid, mixed or ambiguous: the start has all three, the end none.
     date = "(validator = 'date' AND (invalid > 0 OR column_name = 'fecha_inicio'))"
     return _with_metrics(name, f"""
-SELECT 'critical' AS level, 'NULOS_CRITICOS' AS type, column_name, 10 AS score FROM cm WHERE null_percent >= 80
+SELECT 'critical' AS level, 'NULOS_CRÍTICOS' AS type, column_name, 10 AS score FROM cm WHERE null_percent >= 80
 UNION ALL SELECT 'severe', 'NULOS_GRAVES', column_name, 7 FROM cm WHERE null_percent >= 40 AND null_percent < 80
-UNION ALL SELECT CASE WHEN blank_percent > 30 THEN 'severe' ELSE 'warnings' END, 'CADENAS_VACIAS', column_name, CASE WHEN blank_percent > 30 THEN 5 ELSE 2 END FROM cm WHERE blank_count > 0
+UNION ALL SELECT CASE WHEN blank_percent > 30 THEN 'severe' ELSE 'warnings' END, 'CADENAS_VACÍAS', column_name, CASE WHEN blank_percent > 30 THEN 5 ELSE 2 END FROM cm WHERE blank_count > 0
 UNION ALL SELECT CASE WHEN dup_percent > 20 THEN 'critical' WHEN dup_percent > 5 THEN 'severe' ELSE 'warnings' END, 'DUPLICADOS', 'FILAS_COMPLETAS',
   CASE WHEN dup_percent > 20 THEN 8 WHEN dup_percent > 5 THEN 6 ELSE 3 END FROM du WHERE dups > 0
 UNION ALL SELECT CASE WHEN types > 2 THEN 'severe' ELSE 'warnings' END, 'TIPOS_MIXTOS', column_name, CASE WHEN types > 2 THEN 6 ELSE 2 END FROM ty WHERE types > 1
-UNION ALL SELECT CASE WHEN invalid_percent > 30 THEN 'severe' ELSE 'warnings' END, CASE validator WHEN 'email' THEN 'EMAILS_INVALIDOS' ELSE 'TELEFONOS_INVALIDOS' END,
+UNION ALL SELECT CASE WHEN invalid_percent > 30 THEN 'severe' ELSE 'warnings' END, CASE validator WHEN 'email' THEN 'EMAILS_INVÁLIDOS' ELSE 'TELÉFONOS_INVÁLIDOS' END,
   column_name, CASE WHEN invalid_percent > 30 THEN 5 ELSE 2 END FROM co WHERE validator IN ('email', 'phone') AND invalid > 0
-UNION ALL SELECT 'warnings', 'URLS_INVALIDAS', column_name, 2 FROM co WHERE validator = 'url' AND invalid > 0
-UNION ALL SELECT CASE WHEN invalid_percent > 20 THEN 'severe' ELSE 'warnings' END, 'FECHAS_INVALIDAS', column_name, CASE WHEN invalid_percent > 20 THEN 7 ELSE 2 END
+UNION ALL SELECT 'warnings', 'URLS_INVÁLIDAS', column_name, 2 FROM co WHERE validator = 'url' AND invalid > 0
+UNION ALL SELECT CASE WHEN invalid_percent > 20 THEN 'severe' ELSE 'warnings' END, 'FECHAS_INVÁLIDAS', column_name, CASE WHEN invalid_percent > 20 THEN 7 ELSE 2 END
   FROM co WHERE {date}""")
 
 
@@ -98,7 +98,7 @@ def _advice(name: str) -> str:
     hinted = ", ".join(f"'{c}'" for c, _ in SCHEMAS[name] if any(w in c for w in ("email", "correo", "mail", "url", "web", "link")))
     hint_sql = f"UNION ALL SELECT 'normalization', 'LOWERCASE', column_name, NULL FROM cm WHERE column_name IN ({hinted})" if hinted else ""
     return _with_metrics(name, f"""
-SELECT 'cleaning' AS category, 'DROP_COLUMN' AS action, column_name, 'CRITICO' AS severity FROM cm WHERE null_percent >= 80
+SELECT 'cleaning' AS category, 'DROP_COLUMN' AS action, column_name, 'CRÍTICO' AS severity FROM cm WHERE null_percent >= 80
 UNION ALL SELECT 'cleaning', 'REVIEW_COLUMN', column_name, 'GRAVE' FROM cm WHERE null_percent >= 40 AND null_percent < 80
 UNION ALL SELECT 'cleaning', 'CLEAN_WHITESPACE', column_name, 'AVISO' FROM cm WHERE blank_count > 0
 UNION ALL SELECT 'cleaning', 'REMOVE_DUPLICATES', 'FILAS_COMPLETAS', 'GRAVE' FROM du WHERE dups > 0
@@ -120,7 +120,7 @@ for _name in (*_VIEWS, "dirty_people"):
     query(_advice(_name), f"recommendations_{_name}")(_run)
 
 
-@query("SELECT CAST(count(*) FILTER (severity = 'CRITICO') AS BIGINT) AS critical_issues, CAST(count(*) FILTER (severity = 'GRAVE') AS BIGINT) AS serious_issues, "
+@query("SELECT CAST(count(*) FILTER (severity = 'CRÍTICO') AS BIGINT) AS critical_issues, CAST(count(*) FILTER (severity = 'GRAVE') AS BIGINT) AS serious_issues, "
        "CAST(count(*) FILTER (severity = 'AVISO') AS BIGINT) AS warnings, count(*) AS total_recommendations, "
        "string_agg(DISTINCT category, ', ' ORDER BY category) AS categories FROM (" + _advice("dirty_nulls") + ")")
 def recommendation_summary(spark, d):
@@ -129,7 +129,7 @@ def recommendation_summary(spark, d):
 
 def _filters(name: str) -> str:
     return _with_metrics(name, """
-SELECT 'null_filters' AS category, 'NULL_ELIMINATION' AS type, column_name, CASE WHEN null_percent >= 80 THEN 'CRITICO' WHEN null_percent >= 40 THEN 'GRAVE' ELSE 'AVISO' END AS severity,
+SELECT 'null_filters' AS category, 'NULL_ELIMINATION' AS type, column_name, CASE WHEN null_percent >= 80 THEN 'CRÍTICO' WHEN null_percent >= 40 THEN 'GRAVE' ELSE 'AVISO' END AS severity,
        round(null_percent, 6) AS affected_percent FROM cm WHERE null_percent > 0
 UNION ALL SELECT 'cleanup_filters', 'WHITESPACE_CLEANUP', column_name, 'AVISO', round(blank_percent, 6) FROM cm WHERE blank_count > 0
 UNION ALL SELECT 'cleanup_filters', 'SPECIAL_CHARS_CLEANUP', column_name, 'AVISO', round(unsafe_percent, 6) FROM cm WHERE unsafe_percent > 0.5
@@ -149,7 +149,7 @@ for _name in _VIEWS:
 
 
 @query("SELECT category, type, column_name, severity FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY "
-       "CASE severity WHEN 'CRITICO' THEN 0 WHEN 'GRAVE' THEN 1 ELSE 2 END, type, column_name NULLS FIRST) AS n FROM (" + _filters("dirty_nulls") + ")) WHERE n = 1")
+       "CASE severity WHEN 'CRÍTICO' THEN 0 WHEN 'GRAVE' THEN 1 ELSE 2 END, type, column_name NULLS FIRST) AS n FROM (" + _filters("dirty_nulls") + ")) WHERE n = 1")
 def top_suggestions(spark, d):
     found = N.suggested_filters(A.collect_metrics(source(spark, d, "dirty_nulls")))
     return N.top_suggestions(found).select("category", "type", "column_name", "severity")
@@ -224,7 +224,7 @@ def batch_summary_grouped(spark, d):
 
 
 @query(with_source("dirty_nulls", "SELECT column_name, null_count, round(null_percent, 2) AS null_percent, round(100 - null_percent, 2) AS utilization_percent, "
-       "CASE WHEN null_percent >= 80 THEN 'CRITICO' WHEN null_percent >= 40 THEN 'GRAVE' ELSE 'OK' END AS status FROM (" + union_columns("dirty_nulls", """
+       "CASE WHEN null_percent >= 80 THEN 'CRÍTICO' WHEN null_percent >= 40 THEN 'GRAVE' ELSE 'OK' END AS status FROM (" + union_columns("dirty_nulls", """
 SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count, 100.0 * (count(*) - count({c})) / count(*) AS null_percent FROM v""") + ") WHERE null_count > 0"))
 def report_nulls(spark, d):
     return report_tables(A.analyze(source(spark, d, "dirty_nulls"), settled=False))["nulls"]

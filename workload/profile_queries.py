@@ -18,8 +18,8 @@ SELECT {i} AS position, '{c}' AS column_name, count(*) AS rows, count({c}) AS no
        round(100.0 * (count(*) - count({c})) / count(*), 6) AS null_percent,
        round(100.0 * count({c}) / count(*), 6) AS utilization_percent FROM v""")
 
-_STATUS = """CASE WHEN null_percent >= 80 THEN 'CRITICO' WHEN null_percent >= 40 THEN 'GRAVE' ELSE 'OK' END"""
-_UTIL = """CASE WHEN utilization_percent < 50 THEN 'CRITICO' WHEN utilization_percent < 80 THEN 'BAJO' ELSE 'ACEPTABLE' END"""
+_STATUS = """CASE WHEN null_percent >= 80 THEN 'CRÍTICO' WHEN null_percent >= 40 THEN 'GRAVE' ELSE 'OK' END"""
+_UTIL = """CASE WHEN utilization_percent < 50 THEN 'CRÍTICO' WHEN utilization_percent < 80 THEN 'BAJO' ELSE 'ACEPTABLE' END"""
 _NULL_COLUMNS = ("position", "column_name", "rows", "non_null", "null_count", "null_percent", "utilization_percent",
                  "status", "utilization_status")
 
@@ -147,7 +147,7 @@ def _profile(name):
         low = c.lower()
         hint = "NULL"
         for label, words in (("Fecha/Hora", ("fecha", "date", "time", "hora", "created", "updated", "born")), ("Email", ("email", "correo", "mail")),
-                             ("Telefono", ("telefono", "phone", "celular", "mobile", "whatsapp")), ("URL", ("url", "web", "link"))):
+                             ("Teléfono", ("telefono", "phone", "celular", "mobile", "whatsapp")), ("URL", ("url", "web", "link"))):
             if any(w in low for w in words):
                 hint = f"'{label}'"
                 break
@@ -195,7 +195,7 @@ def column_profile_grouped(spark, d):
 
 def _frequencies(name, kinds="nto"):
     return with_source(name, "SELECT column_name, rank, value, cnt FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, k) AS rank FROM (" + union_columns(name, """
-SELECT '{c}' AS column_name, CASE WHEN strlen(s) > 64 THEN 'sha256:' || sha256(s) ELSE s END AS k, s AS value, count(*) AS cnt
+SELECT '{c}' AS column_name, s AS k, s AS value, count(*) AS cnt
 FROM (SELECT CAST({c} AS VARCHAR) AS s FROM v) WHERE s IS NOT NULL GROUP BY s""", kinds) + ")) WHERE rank <= 3")
 
 
@@ -207,7 +207,7 @@ for _name, _kinds in (("orders", "nto"), ("documents", "nto"), ("dirty_customer"
 
 
 @query(with_source("lineitem", union_columns("lineitem", """
-SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value_key, count(*) AS cnt FROM v WHERE {c} IS NOT NULL GROUP BY {c}""", "t")))
+SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS cnt FROM v WHERE {c} IS NOT NULL GROUP BY {c}""", "t")))
 def value_frequencies(spark, d):
     return Q.value_frequencies(source(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"])
 

@@ -121,7 +121,7 @@ def sql_value_type(c: str) -> str:
     return (
         f"CASE WHEN {c} IS NULL OR {c} = '' THEN 'Nulo' WHEN regexp_matches({t}, '^-?[0-9]+$') THEN 'Entero' "
         f"WHEN regexp_matches({t}, '^-?[0-9]+\\.?[0-9]*$|^[0-9]*\\.?[0-9]+$') THEN 'Flotante' "
-        f"WHEN {sql_email(c)} THEN 'Email' WHEN {sql_phone(c)} THEN 'Telefono' WHEN {sql_url(c)} THEN 'URL' "
+        f"WHEN {sql_email(c)} THEN 'Email' WHEN {sql_phone(c)} THEN 'Teléfono' WHEN {sql_url(c)} THEN 'URL' "
         f"WHEN {sql_date(c)} THEN 'Fecha' ELSE 'Texto' END"
     )
 

@@ -128,7 +128,7 @@ _AMBIGUOUS = (
 
 def _dates(c):
     return f"""
-SELECT '{c}' AS column_name, {sql_parse(c)} IS NOT NULL AS ok, coalesce({sql_format(c)}, '<formato_no_estandar>') AS format,
+SELECT '{c}' AS column_name, {sql_parse(c)} IS NOT NULL AS ok, coalesce({sql_format(c)}, '<formato_no_estándar>') AS format,
        {_AMBIGUOUS.format(c=c)} AS ambiguous, {sql_content(c)} AS content FROM v WHERE {c} IS NOT NULL"""
 
 
@@ -164,7 +164,7 @@ def date_formats(spark, d):
     return V.date_formats(source(spark, d, "dirty_orders"))
 
 
-@query("SELECT 'o_orderdate' AS column_name, '<formato_no_estandar>' AS format, count(*) AS cnt FROM orders")
+@query("SELECT 'o_orderdate' AS column_name, '<formato_no_estándar>' AS format, count(*) AS cnt FROM orders")
 def date_formats_native(spark, d):
     return V.date_formats(source(spark, d, "orders"))
 
@@ -306,9 +306,3 @@ UNION ALL SELECT 'table', NULL, 'max_null_percent', '30', round(100.0 * sum((nom
        sum((nombre IS NULL)::INT + (email IS NULL)::INT) <= 0.3 * 4 * count(*) FROM v"""))
 def expectations(spark, d):
     return r6(check_expectations(collect_metrics(source(spark, d, "dirty_customer")), _EXPECTED), "observed")
-
-
-@query()
-def lenient_dates(spark, d):
-    """The opt-in parser for leftovers runs in Python; tested on a small fixture."""
-    return V.tolerant_dates(source(spark, d, "dirty_orders"), ["fecha_inicio"])
