@@ -11,6 +11,7 @@ import base64
 import heapq
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,9 +68,32 @@ def encode_words(spark: SparkSession, words: list[bytes], ranks: dict[bytes, int
 
 # --- the same merges in a worker ----------------------------------------------------
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one word of any length; a heap holds the candidate pairs, so n bytes take n log n steps."""
+    """Token ids of one word of any length."""
     if word in ranks:
         return [ranks[word]]
+    return _merge_long(word, ranks) if len(word) > 48 else _merge_short(word, ranks)
+
+
+def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    none, get = len(ranks) + 256, ranks.get
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == none:
+            break
+        i = pairs.index(best)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """A heap holds the candidate pairs, so n bytes take n log n steps."""
     n = len(word)
     end = list(range(1, n + 1))  # of the part that begins here
     before = list(range(-1, n - 1))
@@ -93,26 +117,37 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Pieces(dict):
-    """Piece with its space -> ids as int32 bytes. Words are merged once while there is room."""
+    """Piece with its space -> ids as int32 bytes. Words are merged once while there is room.
+
+    There are two generations: when the younger is full it becomes the older,
+    from which what is met again is taken back.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, frequent: dict[bytes, bytes], room: int):
         import regex
 
         super().__init__()
         self.ranks, self.words, self.frequent, self.room = ranks, regex.compile(pattern).findall, frequent, room
+        self.older: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        data = word.encode()
+        ids = self.frequent.get(data)
+        return array("i", merge_word(data, self.ranks)).tobytes() if ids is None else ids
 
     def encode(self, text: str) -> bytes:
-        out = []
-        for word in self.words(text):
-            raw = word.encode()
-            ids = self.frequent.get(raw)
-            out.append(np.array(merge_word(raw, self.ranks), dtype=np.int32).tobytes() if ids is None else ids)
-        return b"".join(out)
+        return b"".join(map(self.word, self.words(text)))
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(f" {piece}")
+        ids = self.older.get(piece)
+        if ids is None:
+            if piece[-1:] in (".", ",") and piece[:-1].isalpha():  # letters and one mark are two words under any such pattern
+                ids = self[piece[:-1]] + self.word(piece[-1])
+            else:
+                ids = self.encode(f" {piece}")
         if len(piece) <= 256:
             if len(self) >= self.room:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -129,13 +164,13 @@ def _encoder(path: str, pattern: str, frequent: dict[bytes, bytes], room: int):
     return known[:2]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", table: int = 16384, room: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", table: int = 16384, room: int = 500_000) -> DataFrame:
     """Per row: the id, ``ids`` (array of int) of the whole text and ``decoded`` (binary), joined from the ids' bytes.
 
     The words of the ``table`` most frequent pieces are folded by
     :func:`encode_words` and broadcast; they are at most ``table * 64``
     characters. The others are merged in the workers, whose caches hold at most
-    ``room`` pieces. ``rank_file`` lies on every machine. Null and empty texts
+    ``2 * room`` pieces. ``rank_file`` lies on every machine. Null and empty texts
     give no ids and no bytes; repeated rows each get their row; extra columns
     are ignored.
     """
