@@ -104,6 +104,12 @@ def long_form(df: DataFrame, fields, by: Sequence[str] = (), keys: Sequence[str]
     )
 
 
+def no_rows(df: DataFrame, by: Sequence[str], schema: str) -> DataFrame:
+    """An empty result with the grouping columns of ``df`` before those of ``schema``."""
+    empty = df.sparkSession.createDataFrame([], schema)
+    return df.sparkSession.createDataFrame([], T.StructType([df.schema[b] for b in by] + empty.schema.fields))
+
+
 def order_key(names) -> Column:
     """One comparable value for an ordering of several columns."""
     names = as_list(names)

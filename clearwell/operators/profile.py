@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..columns import (
-    COLUMNS_PER_AGGREGATE, as_list, as_text, col, dtype_label, is_nested, is_numeric, is_text,
+    COLUMNS_PER_AGGREGATE, as_list, as_text, col, dtype_label, is_nested, is_numeric, is_text, no_rows,
     percent, present, profiled_fields, quoted, sql_text,
 )
 from ..functions import name_hint_column, trim_space
@@ -128,7 +128,7 @@ def blank_strings(df: DataFrame, columns=None, by=()) -> DataFrame:
     fields = [f for f in profiled_fields(df, columns, by) if is_text(f)]
     if not fields:
         schema = "position int, column_name string, rows bigint, blank_count bigint, blank_percent double"
-        return df.sparkSession.createDataFrame([], schema)
+        return no_rows(df, by, schema)
     return (
         _column_scan(df, fields, by, {"blanks"})
         .where(F.col("blank_count") > 0)

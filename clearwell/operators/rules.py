@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..columns import as_list, as_text, col, is_numeric, is_text, order_key, percent, present, profiled_fields
+from ..columns import as_list, as_text, col, is_numeric, is_text, no_rows, order_key, percent, present, profiled_fields
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def check_rules(df: DataFrame, rules: list[Rule], match: str = "substring", by=(
     by = as_list(by)
     pairs = _pairs(df, rules, match, by)
     if not pairs:
-        return df.sparkSession.createDataFrame([], (
+        return no_rows(df, by, (
             "domain string, rule string, column_name string, rule_type string, rule_detail string, "
             "rows bigint, violations bigint, violation_percent double"))
     counts = df.groupBy(*[col(b) for b in by]).agg(

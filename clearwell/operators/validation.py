@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..columns import (
-    as_list, as_text, col, is_numeric, is_temporal, is_text, long_form, order_key, percent,
+    as_list, as_text, col, is_numeric, is_temporal, is_text, long_form, no_rows, order_key, percent,
     present, profiled_fields, sql_text,
 )
 from ..functions import (
@@ -242,7 +242,7 @@ def validate_numeric(df: DataFrame, columns=None, by=()) -> DataFrame:
             ((F.col(f"__neg{i}") > 0) & F.lit(aged)).alias("is_problematic"),
         ))
     if not fields:
-        return df.sparkSession.createDataFrame([], (
+        return no_rows(df, by, (
             "column_name string, min double, max double, negative_count bigint, zero_count bigint, "
             "is_problematic boolean"))
     return df.groupBy(*[col(b) for b in by]).agg(*aggs).select(*[col(b) for b in by], F.inline(F.array(*rows)))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..columns import as_list, col
+from ..columns import quoted as quoted_name
+from ..functions.text import EMAIL, PHONE, PHONE_CHARS, PHONE_DECORATION, SQL_UNSAFE
 
 
 @dataclass
@@ -217,16 +219,34 @@ def _filter(category, kind, column, severity, affected, predicate) -> dict[str,
     }
 
 
-def suggested_filters(m: Metrics) -> DataFrame:
+_SPACE = "".join(f"\\u{ord(x):04x}" for x in S.WHITESPACE)
+
+
+def _trimmed(q: Column) -> Column:
+    return F.concat(F.lit("btrim("), q, F.lit(f", '{_SPACE}')"))
+
+
+def _email_text(q: Column) -> Column:
+    return F.concat(_trimmed(q), F.lit(" LIKE '%@%' AND "), _trimmed(q), F.lit(f" RLIKE r'{EMAIL}'"))
+
+
+def _phone_text(q: Column) -> Column:
+    plain = F.concat(F.lit("translate("), q, F.lit(f", '{_SPACE}{PHONE_DECORATION}', '')"))
+    return F.concat(q, F.lit(f" RLIKE r'{PHONE_CHARS}' AND "), plain, F.lit(f" RLIKE r'{PHONE}'"))
+
+
+def suggested_filters(m: Metrics, row_key: str | None = None) -> DataFrame:
     """``category, type, column_name, severity, affected_percent, filter_sql``.
 
     ``filter_sql`` is Spark SQL: a predicate for ``df.where``, or a statement
-    over ``tabla`` where a predicate cannot say it.
+    over ``tabla`` where a predicate cannot say it. The predicates are made of
+    the patterns that the operators themselves use. ``row_key`` names the column
+    that says which of several equal rows comes first; without one any does.
     """
     by = list(m.by)
     c = F.col
     name = c("column_name")
-    q = F.concat(F.lit("`"), name, F.lit("`"))
+    q = F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
     serious = lambda cond: F.when(cond, S.SEVERE).otherwise(S.NOTICE)
     # One entry per column of the source, in schema order.
     ordered = F.array_sort(F.collect_list(F.struct("position", q.alias("q"), "null_percent")))
@@ -236,6 +256,7 @@ def suggested_filters(m: Metrics) -> DataFrame:
     per_source = listed.select(
         *[col(b).alias(f"__b{i}") for i, b in enumerate(by)],
         quoted(F.col("cols")).alias("all_columns"),
+        F.get("cols", 0)["q"].alias("first_column"),
         F.array_join(F.transform("cols", lambda x: F.concat(x["q"], F.lit(" IS NOT NULL"))), " AND ").alias("complete"),
         quoted(heavy).alias("heavy_columns"),
     )
@@ -246,7 +267,8 @@ def suggested_filters(m: Metrics) -> DataFrame:
         tables = m.table.crossJoin(F.broadcast(per_source))  # one row each
     first_rows = F.concat(
         F.lit("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "), c("all_columns"),
-        F.lit(" ORDER BY rownum) AS rn FROM tabla) WHERE rn = 1"),
+        F.lit(" ORDER BY "), F.lit(quoted_name(row_key)) if row_key else c("first_column"),
+        F.lit(") AS rn FROM tabla) WHERE rn = 1"),
     )
     return _union([
         _rows(m.columns, by, [
@@ -257,7 +279,7 @@ def suggested_filters(m: Metrics) -> DataFrame:
                      c("null_percent"), F.concat(q, F.lit(" IS NOT NULL")))),
             (c("blank_count") > 0,
              _filter("cleanup_filters", "WHITESPACE_CLEANUP", name, S.NOTICE, c("blank_percent"),
-                     F.concat(F.lit("trim("), q, F.lit(") != ''")))),
+                     F.concat(_trimmed(q), F.lit(" <> ''")))),
         ]),
         _rows(tables, by, [
             (c("duplicate_rows") > 0,
@@ -281,16 +303,13 @@ def suggested_filters(m: Metrics) -> DataFrame:
         _rows(m.contents, by, [
             ((c("validator") == v) & (c("invalid_count") > 0),
              _filter("validation_filters", kind, name, serious(c("invalid_percent") > 10), c("invalid_percent"),
-                     F.concat(q, F.lit(test))))
-            for v, kind, test in (
-                ("email", "EMAIL_VALIDATION", " RLIKE '(?i)^[a-z0-9._%+-]+@[a-z0-9.-]+[.][a-z]{2,}$'"),
-                ("phone", "PHONE_VALIDATION", " RLIKE '([0-9][^0-9]*){7,}'"),
-            )
+                     test(q)))
+            for v, kind, test in (("email", "EMAIL_VALIDATION", _email_text), ("phone", "PHONE_VALIDATION", _phone_text))
         ]),
         _rows(m.unsafe, by, [
             (c("unsafe_percent") > S.SPECIAL_CHARS_PERCENT,
              _filter("cleanup_filters", "SPECIAL_CHARS_CLEANUP", name, S.NOTICE, c("unsafe_percent"),
-                     F.concat(F.lit("NOT "), q, F.lit(" RLIKE '[<>{}\"|^`~]'")))),
+                     F.concat(F.lit("NOT coalesce("), q, F.lit(f" RLIKE r'{SQL_UNSAFE}', false)")))),
         ]),
     ])
 

@@ -20,7 +20,7 @@ def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
     """Add the place of a row in its files, where the source knows it.
 
     Parquet gives the row index in the file. Text gives the block and the order
-    in it; the bare generated id is never compared across blocks.
+    in it. Other sources have no such place: name a key of their own instead.
     """
     for parts in (
         ["_metadata.file_path", "_metadata.row_index"],
@@ -33,4 +33,4 @@ def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
             return df.select("*", F.struct(*keys).alias(name))
         except AnalysisException:
             continue
-    return df.withColumn(name, F.monotonically_increasing_id())
+    raise ValueError("this source does not know where its rows stand; pass columns that order them as the key")

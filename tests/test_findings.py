@@ -1,6 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from clearwell.operators import filters as L
+from clearwell.operators import profile as P
+from clearwell.operators import validation as V
 from clearwell.plans import analysis as A
 from clearwell.plans import findings as N
 from clearwell.plans.expectations import check_expectations, default_expectations
@@ -100,3 +103,32 @@ def test_report(spark, analysis, tmp_path):
     assert saved.count() == 2 * tables["nulls"].count()
     clean = report_tables(A.analyze(spark.range(3).toDF("n"), settled=False))
     assert clean["nulls"].first()["status"] == "Sin incidencias detectadas"
+
+
+def test_suggested_predicates_keep_what_the_transforms_keep(spark):
+    rows = [("a@b.co", "+34 600 123 456", "x"), ("bad@", "abc1234567", " "), (" A@B.CO\t", "9" * 20_000, "<b>"), ("a..b@c.de", None, "\u00a0"), (None, "12", None)] * 2
+    df = spark.createDataFrame(rows, "email string, telefono string, `a``b` string")
+    filters = {(r["type"], r["column_name"]): r["filter_sql"] for r in A.analyze(df).filters.collect()}
+    kept = lambda kind, column: sorted(map(tuple, df.where(filters[kind, column]).collect()), key=str)
+    same = lambda out: sorted(map(tuple, out.collect()), key=str)
+    assert kept("EMAIL_VALIDATION", "email") == same(L.keep_valid_emails(df, "email"))
+    assert kept("PHONE_VALIDATION", "telefono") == same(L.keep_valid_phones(df, "telefono"))
+    assert kept("WHITESPACE_CLEANUP", "a`b") == same(L.drop_blanks(df, "a`b"))
+    assert kept("SPECIAL_CHARS_CLEANUP", "a`b") == same(L.drop_unsafe_chars(df, "a`b"))
+    assert kept("NULL_ELIMINATION", "a`b") == same(L.drop_nulls(df, "a`b"))
+    df.createOrReplaceTempView("tabla")
+    first = spark.sql(filters["REMOVE_DUPLICATES_ADVANCED", None]).drop("rn")
+    assert same(first) == same(df.distinct())
+
+
+def test_grouped_analysis_without_numbers_and_with_a_null_source(spark):
+    df = spark.createDataFrame([("s", "a", None), (None, "b", " "), (None, "b", "x"), ("t", "c", "d")], "source_name string, v string, w string")
+    a = A.analyze(df, by="source_name")
+    tables = report_tables(a)
+    summary = {r["source_name"]: (r["critical"], r["severe"], r["warnings"]) for r in tables["summary"].collect()}
+    assert set(summary) == {"s", "t", None} and None not in {x for v in summary.values() for x in v}
+    assert summary["t"] == (0, 0, 0) and sum(summary[None]) > 0
+    nothing = {r["source_name"] for r in tables["issues"].where("detail = 'Sin incidencias detectadas'").collect()}
+    assert "t" in nothing and None not in nothing
+    assert P.blank_strings(spark.range(3).selectExpr("id", "id % 2 AS g"), by="g").columns[0] == "g"
+    assert V.validate_numeric(df, by="source_name").columns[0] == "source_name"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clearwell.operators import duplicates as D
 from clearwell.operators import frequency as Q
 from clearwell.operators import profile as P
+from clearwell.operators import quantiles
 from clearwell.operators.quantiles import exact_median
 from conftest import by_name
 
@@ -153,10 +154,19 @@ def test_approximate_profile_is_close(spark):
 
 
 def test_medians_do_not_shuffle_the_rows(spark):
-    df = spark.range(1000).selectExpr("cast(id AS double) AS x")
-    plan = exact_median(df)._jdf.queryExecution().executedPlan().toString()
-    before = [line for line in plan.splitlines() if "Exchange" in line]
-    assert before and "SinglePartition" not in plan
+    df = spark.range(5000).selectExpr("cast(id AS double) AS x", "100000 + id * 1e-9 AS crowded", "CASE WHEN id = 0 THEN 1e300 ELSE id * 1e-300 END AS wide")
+    seen = []
+    real = quantiles.settle
+    quantiles.settle = lambda step: seen.append(step) or real(step)
+    try:
+        got = {r["column_name"]: r["median"] for r in exact_median(df, buckets=16).collect()}
+    finally:
+        quantiles.settle = real
+    for name in ("x", "crowded", "wide"):
+        assert got[name] == statistics.median(r[0] for r in df.select(name).collect())
+    assert len(seen) < 40
+    for step in seen:  # what each step keeps: two ranks for each column
+        assert step.count() <= 6 and "SinglePartition" not in step._jdf.queryExecution().executedPlan().toString()
 
 
 def test_top_values_order_by_the_values_themselves(spark):
