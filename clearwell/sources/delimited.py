@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,9 +29,24 @@ class DelimitedReadError(Exception):
     """A delimited source cannot be read."""
 
 
-def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """``path, block, id, value``: every line, with its place in its file."""
-    return spark.read.text(as_list(paths)).select(
+def _is_wide(encoding: str | None) -> bool:
+    """Whether characters are several bytes wide, so that lines cannot be cut at single bytes."""
+    return bool(encoding) and encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32"))
+
+
+def read_lines(spark: SparkSession, paths, encoding: str | None = None) -> DataFrame:
+    """``path, block, id, value``: every line, with its place in its file.
+
+    Files of a wide encoding are decoded whole, a task for each.
+    """
+    if _is_wide(encoding):
+        source = (
+            spark.read.option("encoding", encoding).option("multiLine", True).option("sep", "\u0001").option("quote", "")
+            .schema("value string").csv(as_list(paths))
+        )
+    else:
+        source = spark.read.text(as_list(paths))
+    return source.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
@@ -45,6 +61,61 @@ def _width(line: Column, sep: str) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def _opens(line: Column) -> Column:
+    """Whether a line begins a quoted field that it does not end."""
+    return (_quotes(line) % 2 == 1) & line.rlike('(^|[,;\t|:])"')
+
+
+def file_facts(spark: SparkSession, paths, encoding: str | None = None) -> DataFrame:
+    """``path, encoding, multi_line``: one pass; a file with an open quote at a line's end has records of several lines."""
+    lines = read_lines(spark, paths, encoding)
+    found = F.lit(encoding) if encoding else F.when(F.bool_and(F.is_valid_utf8("value")), "utf-8").otherwise("latin-1")
+    return lines.groupBy("path").agg(found.alias("encoding"), F.coalesce(F.bool_or(_opens(F.col("value"))), F.lit(False)).alias("multi_line"))
+
+
+def _place() -> Column:
+    """Where a line stands in its file, as one number, so that aggregates over it can hash."""
+    inside = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("block").cast("decimal(20,0)") * F.lit(1 << 33).cast("decimal(12,0)") + inside.cast("decimal(12,0)")
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines joined to records where a quote is open at their end.
+
+    The state is the parity of the quotes before a line. It is summed inside
+    blocks of a file, and from block to block over one row a block.
+    """
+    marked = lines.withColumn("quotes", _quotes(F.col("value")) % 2)
+    inside = Window.partitionBy("path", "block").orderBy("id")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = marked.groupBy("path", "block").agg(F.sum("quotes").alias("q"))
+    parity = blocks.select("path", "block", F.coalesce(F.sum("q").over(before), F.lit(0)).alias("q0"))
+    seen = F.sum("quotes").over(inside) - F.col("quotes")
+    opened = marked.join(parity, ["path", "block"]).withColumn("starts", (F.col("q0") + seen) % 2 == 0)
+    opened = opened.withColumn("begin", F.last(F.when(F.col("starts"), F.struct("block", "id")), ignorenulls=True).over(inside))
+    last = opened.groupBy("path", "block").agg(F.max(F.when(F.col("starts"), F.struct("block", "id"))).alias("last"))
+    carried = last.select("path", "block", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    named = opened.join(carried, ["path", "block"]).withColumn("begin", F.coalesce("begin", "carried"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "id", "value")))
+    return named.groupBy("path", "begin").agg(parts.alias("parts")).select(
+        "path", "begin.block", "begin.id", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value")
+    )
+
+
+def read_records(spark: SparkSession, paths, encoding: str | None = None) -> DataFrame:
+    """As :func:`read_lines`, but lines of one quoted record are one row, at the place of the first."""
+    lines = read_lines(spark, paths, encoding)
+    several = [r["path"] for r in file_facts(spark, paths, encoding).where("multi_line").select("path").collect()]
+    if not several:
+        return lines
+    own = F.col("path").isin(several)
+    return lines.where(~own).unionByName(_records(lines.where(own)))
+
+
 def detect_encoding(spark: SparkSession, paths) -> DataFrame:
     """``path, encoding``: utf-8 when every line decodes, else latin-1."""
     raw = spark.read.text(as_list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -52,20 +123,19 @@ def detect_encoding(spark: SparkSession, paths) -> DataFrame:
     return raw.groupBy("path").agg(F.when(ok, "utf-8").otherwise("latin-1").alias("encoding"))
 
 
-def detect_delimiter(spark: SparkSession, paths) -> DataFrame:
+def detect_delimiter(spark: SparkSession, paths, encoding: str | None = None) -> DataFrame:
     """The best separator of each file and how well its lines agree on it.
 
     ``path, sep, score, column_count, stability, consistent_rows, total_rows``;
     everything after ``path`` is null when no candidate gives two columns.
     """
-    lines = read_lines(spark, paths).where(F.length("value") > 0)
+    lines = read_records(spark, paths, encoding).where(F.length("value") > 0)
     candidates = F.array(*[
         F.struct(F.lit(i).alias("rank"), F.lit(s).alias("sep"), _width(F.col("value"), s).alias("width"))
         for i, s in enumerate(S.DELIMITERS)
     ])
-    key = F.struct("block", "id")
     widths = (
-        lines.select("path", key.alias("key"), F.inline(candidates))
+        lines.select("path", _place().alias("key"), F.inline(candidates))
         .groupBy("path", "rank", "sep", "width")
         .agg(F.count(F.lit(1)).alias("cnt"), F.min("key").alias("first"))
     )
@@ -90,23 +160,25 @@ def detect_delimiter(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def header_lines(spark: SparkSession, paths) -> DataFrame:
-    """``path, header``: the first line of each file."""
-    return read_lines(spark, paths).groupBy("path").agg(F.min_by("value", F.struct("block", "id")).alias("header"))
+def header_lines(spark: SparkSession, paths, encoding: str | None = None) -> DataFrame:
+    """``path, header``: the first line of each file, from its first block."""
+    first = read_lines(spark, paths, encoding).where(F.col("block") == 0)
+    return first.groupBy("path").agg(F.min_by("value", "id").alias("header"))
 
 
-def malformed_rows(spark: SparkSession, paths, sep: str, examples: int = 5) -> tuple[DataFrame, DataFrame]:
-    """``(counts, sample)`` of lines whose width differs from their header's.
+def malformed_rows(spark: SparkSession, paths, sep: str, examples: int = 5, encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(counts, sample)`` of records whose width differs from their header's.
 
     counts: ``path, header_columns, rows, short_rows, long_rows``.
     sample: the first lines per file, ``path, line_number, expected_columns,
     actual_columns, content``. Blank lines are no rows.
     """
-    lines = read_lines(spark, paths)
-    rows = lines.where(F.length("value") > 0).withColumn("actual_columns", _width(F.col("value"), sep))
+    lines = read_lines(spark, paths, encoding)
+    records = read_records(spark, paths, encoding)
+    rows = records.where(F.length("value") > 0).withColumn("actual_columns", _width(F.col("value"), sep))
     # Lines are counted by width first, so only (file, width) pairs meet the headers.
     widths = rows.groupBy("path", "actual_columns").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min(F.struct("block", "id")).alias("first")
+        F.count(F.lit(1)).alias("cnt"), F.min(_place()).alias("first")
     )
     expected = widths.groupBy("path").agg(F.min_by("actual_columns", "first").alias("expected_columns"))
     judged = widths.join(expected, "path")
@@ -145,6 +217,15 @@ class Layout:
     encoding: str
     columns: tuple[str, ...]
     paths: tuple[str, ...] = field(default=())
+    multi_line: bool = False
+
+
+#: The characters that cp1252 has where ISO 8859-1 has control characters, by the rule of the code page.
+_CP1252 = {b: c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+
+def _is_cp1252(name: str) -> bool:
+    return name.lower().replace("_", "-") in ("cp1252", "windows-1252")
 
 
 def _reader_encoding(name: str) -> str:
@@ -160,27 +241,24 @@ def _header_columns(line: str, sep: str, normalize: bool) -> tuple[str, ...]:
 def layouts(spark: SparkSession, paths, sep: str | None = None, encoding: str | None = None,
             normalize: bool = True) -> tuple[list[Layout], dict[str, str]]:
     """Files grouped by separator, encoding and header, and the files that have none."""
-    facts = header_lines(spark, paths)
+    facts = header_lines(spark, paths, encoding).join(file_facts(spark, paths, encoding), "path")
     if sep is None:
-        facts = facts.join(detect_delimiter(spark, paths).select("path", "sep"), "path", "left")
+        facts = facts.join(detect_delimiter(spark, paths, encoding).select("path", "sep"), "path", "left")
     else:
         facts = facts.withColumn("sep", F.lit(sep))
-    if encoding is None:
-        facts = facts.join(detect_encoding(spark, paths), "path", "left")
-    else:
-        facts = facts.withColumn("encoding", F.lit(encoding))
     groups: dict[tuple, list[str]] = {}
     errors: dict[str, str] = {}
     # One row per file: the scans below need the list of files on the driver anyway.
     latin = F.lower("encoding").isin("latin-1", "iso-8859-1", "cp1252", "windows-1252")
     header = F.when(latin, F.decode(F.col("header").cast("binary"), "iso-8859-1")).otherwise(F.col("header"))
-    for row in facts.select("path", header.alias("header"), "sep", "encoding").toLocalIterator():
+    for row in facts.select("path", header.alias("header"), "sep", "encoding", "multi_line").toLocalIterator():
         if not row["sep"]:
             errors[row["path"]] = "no separator gives two columns"
         else:
-            names = _header_columns(row["header"], row["sep"], normalize)
-            groups.setdefault((row["sep"], row["encoding"], names), []).append(unquote(row["path"]))
-    return [Layout(s, e, n, tuple(sorted(p))) for (s, e, n), p in sorted(groups.items())], errors
+            line = row["header"].translate(_CP1252) if _is_cp1252(row["encoding"]) else row["header"]
+            names = _header_columns(line, row["sep"], normalize)
+            groups.setdefault((row["sep"], row["encoding"], names, row["multi_line"]), []).append(unquote(row["path"]))
+    return [Layout(s, e, n, tuple(sorted(p)), m) for (s, e, n, m), p in sorted(groups.items())], errors
 
 
 def scan(spark: SparkSession, layout: Layout, mode: str = "permissive", null_tokens: Sequence[str] = tuple(S.NULL_TOKENS),
@@ -188,7 +266,9 @@ def scan(spark: SparkSession, layout: Layout, mode: str = "permissive", null_tok
     """One scan of the files of a layout, every column text.
 
     ``permissive`` skips lines that are too long and pads short ones with nulls;
-    ``strict`` fails on the first line of the wrong width.
+    ``strict`` fails on the first line of the wrong width. A layout whose
+    records span lines, or whose encoding is wide, is read a file in one task:
+    where such a file can be cut is known only from its start.
     """
     if mode not in ("permissive", "strict"):
         raise ValueError("mode must be 'permissive' or 'strict'")
@@ -196,7 +276,7 @@ def scan(spark: SparkSession, layout: Layout, mode: str = "permissive", null_tok
     fields = [T.StructField(n, T.StringType()) for n in names]
     reader = (
         spark.read.option("header", True).option("sep", layout.sep).option("quote", '"').option("escape", '"')
-        .option("encoding", _reader_encoding(layout.encoding)).option("multiLine", multi_line)
+        .option("encoding", _reader_encoding(layout.encoding)).option("multiLine", multi_line or layout.multi_line or _is_wide(layout.encoding))
         # A pruned column would hide lines of the wrong width.
         .option("columnPruning", False)
     )
@@ -215,7 +295,10 @@ def scan(spark: SparkSession, layout: Layout, mode: str = "permissive", null_tok
         fits = broken.isNull() | (_width(broken, layout.sep) <= len(names)) | (col(names[0]) == "\u0000")
         kept = df.where(fits)
     tokens = list(null_tokens)
-    out = [F.when(~col(n).isin(tokens), col(n)).alias(n) for n in names] if tokens else [col(n) for n in names]
+    text = {n: col(n) for n in names}
+    if _is_cp1252(layout.encoding):
+        text = {n: F.translate(c, "".join(map(chr, _CP1252)), "".join(_CP1252.values())) for n, c in text.items()}
+    out = [(F.when(~c.isin(tokens), c) if tokens else c).alias(n) for n, c in text.items()]
     if source_column:
         out.append(F.col("_metadata.file_path").alias(source_column))
     return kept.select(*out)
@@ -264,9 +347,10 @@ def read_delimited(spark: SparkSession, paths, sep: str | None = None, encoding:
         raise DelimitedReadError(f"{path}: {reason}")
     if not found:
         raise DelimitedReadError("the source is empty")
-    if len(found) > 1:
+    if len({(x.sep, x.encoding, x.columns) for x in found}) > 1:
         raise DelimitedReadError("the files differ in separator, encoding or header; use read_batch")
-    df = scan(spark, found[0], mode, null_tokens, multi_line=multi_line)
+    # Files of the same layout, with and without records of several lines.
+    df = reduce(DataFrame.unionByName, [scan(spark, x, mode, null_tokens, multi_line=multi_line) for x in found])
     return infer_types(df) if infer else df
 
 

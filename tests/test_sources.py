@@ -103,3 +103,38 @@ def test_row_keys(spark, tmp_path):
     assert keyed.select("row_key").distinct().count() == 100
     with pytest.raises(ValueError):
         with_row_key(spark.range(5))
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,t,n\n1,"a\nb ""x"", c",2\n3,c,4\n5,"d\n\ne",6\n', encoding="utf-8")
+    rows = [tuple(r) for r in I.read_delimited(spark, str(path)).orderBy("id").collect()]
+    assert rows == [(1, 'a\nb "x", c', 2), (3, "c", 4), (5, "d\n\ne", 6)]
+    counts, sample = I.malformed_rows(spark, str(path), ",")
+    assert tuple(counts.first())[1:] == (3, 3, 0, 0) and sample.count() == 0
+    path.write_text('id,t,n\n1,"a\nb",2\n3,c,4,9\n', encoding="utf-8")
+    counts, sample = I.malformed_rows(spark, str(path), ",")
+    assert tuple(counts.first())[1:] == (3, 2, 0, 1)
+    assert [(r["line_number"], r["actual_columns"], r["content"]) for r in sample.collect()] == [(4, 4, "3,c,4,9")]
+
+
+def test_records_across_blocks_of_a_file(spark, tmp_path):
+    body = "".join(f'{i},"line one of {i}\nline two\nthree, four",x\n' if i % 3 else f"{i},plain,y\n" for i in range(3000))
+    (tmp_path / "b.csv").write_text("id,t,n\n" + body)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        counts, _ = I.malformed_rows(spark, str(tmp_path / "b.csv"), ",")
+        assert tuple(counts.first())[1:] == (3, 3000, 0, 0)
+        assert I.detect_delimiter(spark, str(tmp_path / "b.csv")).first()["column_count"] == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_wide_and_windows_encodings(spark, tmp_path):
+    (tmp_path / "w.csv").write_bytes("id,té\n1,año €\n2,b\n".encode("utf-16"))
+    got = [tuple(r) for r in I.read_delimited(spark, str(tmp_path / "w.csv"), encoding="utf-16", normalize=False).orderBy("id").collect()]
+    assert got == [(1, "año €"), (2, "b")]
+    (tmp_path / "c.csv").write_bytes("id,precio\n1,12 €\n2,“é”\n".encode("cp1252"))
+    got = [tuple(r) for r in I.read_delimited(spark, str(tmp_path / "c.csv"), encoding="cp1252").orderBy("id").collect()]
+    assert got == [(1, "12 €"), (2, "“é”")]

@@ -43,16 +43,43 @@ def detect_delimiter(spark, d):
         (F.sum("total_rows") - F.count(F.lit(1))).alias("data_rows"), F.min("stability").alias("stability"))
 
 
-@query("""SELECT 'latin-1' AS encoding, count(*) AS lines FROM documents WHERE regexp_matches(lang, '.') UNION ALL SELECT 'utf-8', count(*) FROM documents""")
+@query("""SELECT 'latin-1' AS encoding, count(*) AS lines FROM documents UNION ALL SELECT 'utf-8', count(*) FROM documents""")
 def detect_encoding(spark, d):
     """Accented text written in two encodings is told apart file by file."""
-    df = source(spark, d, "documents").select("doc_id", F.concat(F.lit("né "), "lang").alias("label"))
+    flat = F.concat(F.lit("né "), F.regexp_replace("text", r"[\r\n]+", " "))
+    df = source(spark, d, "documents").select("doc_id", flat.alias("text"), "lang", "source")
     paths = [_written(spark, df, "latin", encoding="iso-8859-1"), _written(spark, df, "utf8", encoding="utf-8")]
     found = I.detect_encoding(spark, paths)
     lines = I.read_lines(spark, paths).groupBy("path").agg((F.count(F.lit(1)) - 1).alias("n"))
     return found.join(lines, "path").groupBy("encoding").agg(F.sum("n").alias("lines"))
 
 
+@query("SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents")
+def read_quoted_lines(spark, d):
+    """Whole texts, with their quotes and line breaks, come back as they were."""
+    path = _written(spark, source(spark, d, "documents"), "texts", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    read = I.read_delimited(spark, path, sep=",", infer=False)
+    return read.select(F.col("doc_id").cast("bigint"), F.md5("text").alias("digest"), "lang", "source", F.col("n_chars").cast("bigint"))
+
+
+@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS short_rows, CAST(0 AS BIGINT) AS long_rows FROM documents")
+def quoted_lines_are_whole(spark, d):
+    """Records of several lines are no broken rows."""
+    path = _written(spark, source(spark, d, "documents"), "texts", escape='"')
+    counts, _ = I.malformed_rows(spark, path, ",")
+    return counts.agg(*[F.sum(c).alias(c) for c in ("rows", "short_rows", "long_rows")])
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 10 <> 0 AND false")
+def strict_mode(spark, d):
+    """One line too long fails a strict read; what is loaded is nothing."""
+    try:
+        I.read_delimited(spark, _broken(spark, d), sep=",", mode="strict").write.format("noop").mode("overwrite").save()
+    except Exception:
+        return source(spark, d, "orders").where("false")
+    return source(spark, d, "orders")
+
+
 def _broken(spark, d):
     """Orders as text; a priority with a bare separator makes the line too long."""
     extra = F.when(F.col("o_orderkey") % 10 == 0, F.concat("o_orderpriority", F.lit(",extra"))).otherwise(F.col("o_orderpriority"))
