@@ -7,10 +7,9 @@ where that keeps them linear on long texts.
 
 from __future__ import annotations
 
-from functools import wraps
+from functools import lru_cache, wraps
 
-from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -40,27 +39,21 @@ _DAY_MONTH_YEAR = r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$"
 KEY_BYTES = 64
 
 
-_built: dict[tuple, tuple] = {}
-
-
 def reusable(fn):
-    """Build the expression over a named column once per JVM.
+    """Build the expression over a named column once per application.
 
     An expression is independent of any DataFrame. Building a large one takes
     thousands of calls into the JVM, which would be most of the time of a job
-    over a small table.
+    over a small table. The last few hundred are kept.
     """
+    kept = lru_cache(maxsize=256)(lambda application, args: fn(*args))
 
     @wraps(fn)
     def build(*args):
-        context = SparkContext._active_spark_context
-        if context is None or not all(isinstance(a, (str, int, tuple)) for a in args):
+        session = SparkSession.getActiveSession()
+        if session is None or not all(isinstance(a, (str, int, tuple)) for a in args):
             return fn(*args)
-        gateway = context._gateway
-        kept = _built.get((fn, args))
-        if kept is None or kept[0] is not gateway:
-            kept = _built[(fn, args)] = (gateway, fn(*args))
-        return kept[1]
+        return kept(session.conf.get("spark.app.id", ""), args)
 
     return build
 

@@ -8,7 +8,6 @@ NaN.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,12 +113,13 @@ def keep_min_id(df: DataFrame, id_column: str, columns=None) -> DataFrame:
 
 
 def duplicate_columns(df: DataFrame, columns=None) -> DataFrame:
-    """Pairs of columns of one type that hold equal values in every row.
+    """Columns of one type that hold equal values in every row: ``column_a`` is the first of its class, ``column_b`` another.
 
-    One aggregate takes a fingerprint per column; it can only rule pairs out.
-    The pairs left are compared value by value in a second aggregate.
+    One aggregate takes a fingerprint per column; it can only rule columns out.
+    A second one compares each column left with the first of its class, so w
+    equal columns cost w - 1 comparisons. Columns that only share the
+    fingerprint of their class are compared among themselves in a further one.
     """
-    spark = df.sparkSession
     fields = profiled_fields(df, columns)
     prints = df.agg(*[
         F.struct(
@@ -129,24 +129,21 @@ def duplicate_columns(df: DataFrame, columns=None) -> DataFrame:
         ).alias(f"__f{i}")
         for i, f in enumerate(fields)
     ]).first()
-    pairs = [
-        (i, j) for i, j in combinations(range(len(fields)), 2)
-        if fields[i].dataType == fields[j].dataType and prints[i] == prints[j]
-    ]
-    schema = "column_a string, column_b string"
-    if not pairs:
-        return spark.createDataFrame([], schema)
+    classes: dict[tuple, list[int]] = {}
+    for i, f in enumerate(fields):
+        classes.setdefault((f.dataType, prints[i]), []).append(i)
+    open_, found = [c for c in classes.values() if len(c) > 1], []
 
     def same(f, g):
         a, b = present(f), present(g)
         return as_text(f).eqNullSafe(as_text(g)) if isinstance(f.dataType, T.MapType) else a.eqNullSafe(b)
 
-    checked = df.agg(*[
-        F.coalesce(F.bool_and(same(fields[i], fields[j])), F.lit(True)).alias(f"__p{i}_{j}") for i, j in pairs
-    ])
-    rows = F.array(*[
-        F.struct(F.lit(fields[i].name).alias("column_a"), F.lit(fields[j].name).alias("column_b"),
-                 F.col(f"__p{i}_{j}").alias("same"))
-        for i, j in pairs
-    ])
-    return checked.select(F.inline(rows)).where("same").select("column_a", "column_b")
+    while open_:
+        pairs = [(c[0], i) for c in open_ for i in c[1:]]
+        equal = df.agg(*[F.coalesce(F.bool_and(same(fields[i], fields[j])), F.lit(True)) for i, j in pairs]).first()
+        alike = {j for (_, j), ok in zip(pairs, equal) if ok}
+        found += [(i, j) for i, j in pairs if j in alike]
+        rest = [[i for i in c[1:] if i not in alike] for c in open_]
+        open_ = [c for c in rest if len(c) > 1]
+    # One row per column of the schema at most.
+    return df.sparkSession.createDataFrame([(fields[i].name, fields[j].name) for i, j in found], "column_a string, column_b string")

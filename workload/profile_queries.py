@@ -184,6 +184,16 @@ def column_profile_approx(spark, d):
     return P.column_profile(source(spark, d, "lineitem"), approx=True)
 
 
+@query("\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null, true AS unique_is_close, true AS median_is_close FROM lineitem" for c, _ in SCHEMAS["lineitem"]))
+def approx_profile_is_close(spark, d):
+    """Sketched distinct counts and medians are within 3 percent of the exact ones."""
+    df = source(spark, d, "lineitem")
+    exact = P.column_profile(df).select("column_name", F.col("unique_count").alias("u"), F.col("median").alias("m"))
+    near = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= F.abs(F.col(b)) * 0.03, F.col(b).isNull())
+    return P.column_profile(df, approx=True).join(exact, "column_name").select(
+        "column_name", "non_null", near("unique_count", "u").alias("unique_is_close"), near("median", "m").alias("median_is_close"))
+
+
 @query("\nUNION ALL\n".join(
     f"""SELECT l_returnflag, '{c}' AS column_name, count({c}) AS non_null, count(DISTINCT {c}) AS unique_count,
        round(median({c}), 6) AS median FROM lineitem GROUP BY l_returnflag""" for c in ("l_quantity", "l_discount", "l_partkey")))

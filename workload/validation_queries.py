@@ -182,6 +182,27 @@ def invalid_email_examples(spark, d):
     return V.invalid_examples(source(spark, d, "dirty_customer"), "email", "id", "email")
 
 
+def _examples(view: str, column: str, valid: str) -> str:
+    return with_source(view, f"""
+SELECT '{column}' AS column_name, n, id, value FROM (SELECT row_number() OVER (ORDER BY id) AS n, id, substr({column}, 1, 50) AS value
+FROM v WHERE {column} IS NOT NULL AND NOT coalesce({valid}, false)) WHERE n <= 5""")
+
+
+@query(_examples("dirty_contacts", "telefono", sql_phone("telefono")))
+def invalid_phone_examples(spark, d):
+    return V.invalid_examples(source(spark, d, "dirty_contacts"), "phone", "id", "telefono")
+
+
+@query(_examples("dirty_contacts", "website", sql_url("website")))
+def invalid_url_examples(spark, d):
+    return V.invalid_examples(source(spark, d, "dirty_contacts"), "url", "id", "website")
+
+
+@query(_examples("dirty_orders", "fecha_inicio", sql_parse("fecha_inicio") + " IS NOT NULL"))
+def invalid_date_examples(spark, d):
+    return V.invalid_examples(source(spark, d, "dirty_orders"), "date", "id", "fecha_inicio")
+
+
 @query(f"""
 SELECT 'text' AS column_name, n, doc_id, value FROM (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, substr(text, 1, 50) AS value
 FROM documents WHERE regexp_matches(text, '{_SPECIAL}')) WHERE n <= 3""")
