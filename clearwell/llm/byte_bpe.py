@@ -61,7 +61,9 @@ def fold_merges(word: Column, ranks: Column) -> Column:
 
 
 def encode_words(spark: SparkSession, words: list[bytes], ranks: dict[bytes, int]) -> dict[bytes, list[int]]:
-    """Ids of distinct words, folded on the executors. The words are a bounded list."""
+    """Ids of distinct words, folded on the executors. The words are a bounded list; of the ranks, those that occur in them are sent."""
+    parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    ranks = {token: rank for token, rank in ranks.items() if token in parts}
     df = spark.createDataFrame([(w,) for w in words], "word binary").repartition(spark.sparkContext.defaultParallelism)
     return {bytes(r["word"]): r["ids"] for r in df.select("word", fold_merges(F.col("word"), rank_literal(ranks)).alias("ids")).collect()}
 
@@ -179,6 +181,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     words = {w.encode() for p in frequent_pieces(source, size=table) for w in regex.findall(pattern, f" {p}")}
+    words = {w for w in words if len(w) <= 64}
     folded = encode_words(spark, sorted(words), read_ranks(rank_file)) if words else {}
     frequent = spark.sparkContext.broadcast({w: np.array(ids, dtype=np.int32).tobytes() for w, ids in folded.items()})
 

@@ -85,26 +85,40 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 6000,
     picked = spark.createDataFrame(chosen, "doc_id long, quality int")
 
     def per_batch(batch: pa.RecordBatch) -> list:
-        found = [terms(t).tobytes() for t in batch.column(1).to_pylist()]
-        return [batch.column(0), pa.array(found, pa.binary())]
+        found = [terms(t) for t in batch.column(1).to_pylist()]
+        present = [np.flatnonzero(f).astype(np.uint16) for f in found]
+        values = [f[p].tobytes() for f, p in zip(found, present, strict=True)]
+        return [batch.column(0), pa.array([p.tobytes() for p in present], pa.binary()), pa.array(values, pa.binary())]
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = map_batches(source.join(F.broadcast(picked), "doc_id").select("quality", "text"), per_batch, "quality int, terms binary")
-    got = sorted((bytes(r["terms"]), r["quality"]) for r in rows.collect())
+    rows = map_batches(source.join(F.broadcast(picked), "doc_id").select("quality", "text"), per_batch, "quality int, present binary, terms binary")
+    got = sorted((bytes(r["present"]), bytes(r["terms"]), r["quality"]) for r in rows.collect())
     if not got:
         return empty
-    frequencies = np.frombuffer(b"".join(t for t, _ in got), dtype=np.float32).reshape(-1, TERMS)
-    known = np.array([q for _, q in got], dtype=np.float64)
-    present = (frequencies > 0).sum(axis=0)
-    weights = (np.log((1 + len(got)) / (1 + present)) + 1).astype(np.float32)
-    weighted = np.sqrt(frequencies) * weights
-    values, axes = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    axes = axes[:, ::-1][:, : min(rank, TERMS)].astype(np.float32)
+    known = np.array([q for *_, q in got], dtype=np.float64)
+    weights = (np.log((1 + len(got)) / (1 + np.bincount(np.concatenate([np.frombuffer(p, np.uint16) for p, *_ in got]), minlength=TERMS))) + 1).astype(np.float32)
+
+    def blocks(size: int = 500):
+        for i in range(0, len(got), size):
+            dense = np.zeros((len(got[i : i + size]), TERMS), dtype=np.float32)
+            for row, (present, values, _) in zip(dense, got[i : i + size], strict=True):
+                row[np.frombuffer(present, np.uint16)] = np.frombuffer(values, np.float32)
+            yield dense
+
+    axes = _main_axes(sum((w := np.sqrt(b) * weights).T @ w for b in blocks()), min(rank, TERMS))
     space = Space(weights, axes, np.zeros((0, 1), np.float32), known, neighbours, power)
-    space.vectors = space.place(frequencies)
+    space.vectors = np.concatenate([space.place(b) for b in blocks()])
     return space
 
 
+def _main_axes(gram: np.ndarray, rank: int, rounds: int = 40) -> np.ndarray:
+    """The leading eigenvectors of a symmetric matrix, by repeated multiplication of a fixed start: no memory beyond a few columns."""
+    axes = np.linalg.qr(np.random.default_rng(7).normal(size=(len(gram), rank)))[0]
+    for _ in range(rounds):
+        axes = np.linalg.qr(gram.astype(np.float64, copy=False) @ axes)[0]
+    return axes.astype(np.float32)
+
+
 def score(docs: DataFrame, space: Space) -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1) of every row, its whole text compared with every labelled vector.
 
