@@ -15,6 +15,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast to a join; some 20 MB.
+MOST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, label: str, most: int = MOST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not in ``ids``; rows without an id stay.
+
+    The ids are written and counted first. Up to ``most`` of them are broadcast,
+    so that texts are not shuffled; more are joined by shuffle.
+    """
+    gone = written(ids.select("doc_id").distinct(), label)
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def _large(links: DataFrame) -> DataFrame:
     """Each node tells its larger neighbours the smallest one it knows of."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a")))

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from clearwell.llm import secrets
+from clearwell.llm.components import without
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +54,10 @@ def test_tokens_are_those_of_the_library(stages):
 def test_run_equals_the_stages(spark, stages):
     got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {r["doc_id"]: r["n_tokens"] for r in stages[5].collect()}
+
+
+def test_rows_without_ids_stay_either_way(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (2, "b", "x"), (None, "c", "x")], "doc_id long, text string, n string")
+    gone = spark.createDataFrame([(2, 5), (2, 6), (None, 7), (9, 8)], "doc_id long, n int")
+    for most in (1_000_000, 0):  # broadcast, and by shuffle
+        assert sorted((r["text"], r["n"]) for r in without(docs, gone, "gone", most).collect()) == [("a", "x"), ("c", "x")]
