@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clearwell.llm import classifier, secrets, simhash, templates
 from clearwell.llm.byte_bpe import encode
-from clearwell.llm.components import written
+from clearwell.llm.components import without, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,15 +19,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates. Rows that share an id are one document; rows without one stay."""
-    marked = simhash.near_duplicates(docs)
-    first = written(marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "first")
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    return without(docs, simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")), "repeated")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, verbatim or with its slots exchanged."""
-    leaked = templates.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, templates.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaked")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
