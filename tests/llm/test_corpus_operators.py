@@ -104,6 +104,31 @@ def test_vector_links(spark):
     assert pivots.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vector_links_of_a_large_group_of_noisy_copies(spark):
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=64)
+    group = centre + rng.normal(size=(2500, 64)) * rng.choice([0.1, 0.22, 0.3], size=(2500, 1))
+    vectors = np.concatenate([group, rng.normal(size=(5000, 64))])
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    close = units @ units.T >= 0.95
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    want = (close.sum(axis=1) - 1).tolist()
+    component = smallest(range(len(vectors)), np.argwhere(np.triu(close, 1)).tolist())
+    for block in (4096, 700):  # a ball in one block, and in pairs of blocks
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.link_vectors(df, block=block).collect()}
+        missed = sum(want) - sum(g[0] for g in got.values())
+        assert sum(want) > 1_000_000 and 0 <= missed <= 0.001 * sum(want)
+        assert all(got[i][0] <= n for i, n in enumerate(want)) and sum(got[i][1] != component[i] for i in got) <= 4
+
+
+def test_vectors_of_a_length_without_a_pivot_link(spark):
+    rng = np.random.default_rng(12)
+    rare = rng.normal(size=5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(3000)] + [(9000 + i, (rare + i * 0.01).tolist()) for i in range(3)]
+    got = {r["vec_id"]: r["n_links"] for r in pivots.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), most_pivots=2).collect()}
+    assert [got[9000 + i] for i in range(3)] == [2, 2, 2]
+
+
 # --- SimHash ------------------------------------------------------------------------
 def brute_fingerprint(text):
     import xxhash
