@@ -15,7 +15,7 @@ from .interpolation import OTHER, TRAIN, WEIGHTS, score_texts
 from .pivots import link_vectors
 from .simhash import near_duplicates
 from .spans import joined, merged
-from .suffix_trees import deduplicate
+from .suffix_trees import digests, without_repeats
 from .templates import decontaminate
 from .token_counts import count_tokens
 
@@ -60,7 +60,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(_table(spark, sf_dir, "documents"))
+    return digests(without_repeats(_table(spark, sf_dir, "documents")))
 
 
 @_query

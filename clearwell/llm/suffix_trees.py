@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .components import written
+from .components import MOST_IDS, written
 from .words import map_batches, mix, ngrams, raw, small_batches, symbols
 
 WINDOW, BLOCK = 50, 10
@@ -26,6 +27,7 @@ WINDOW, BLOCK = 50, 10
 MOST_SUFFIXES = 200_000
 #: Prefixes of too many suffixes are broadcast up to this number of rows, else joined by shuffle.
 MOST_BROADCAST = 100_000
+SPANS = "array<struct<start: long, end: long>>"
 LABELS = ["l1", "l23", "l45"]  # 10, 30 and 50 words deep
 
 
@@ -146,27 +148,42 @@ def repeats(suffixes: DataFrame, most: int = MOST_SUFFIXES) -> DataFrame:
     return walked.union(leaves) if leaves is not None else walked
 
 
-def _cut(candidates: DataFrame) -> DataFrame:
-    """What is left of each candidate without the words of its repeated windows."""
+def _spans(starts: np.ndarray) -> list[dict[str, int]]:
+    """The runs of words that windows at these starts cover: first word, and the word after the last."""
+    at = np.unique(starts)
+    heads = np.flatnonzero(np.concatenate(([True], at[1:] > at[:-1] + WINDOW)))
+    return [{"start": int(at[i]), "end": int(at[j]) + WINDOW} for i, j in zip(heads, [*(heads[1:] - 1), len(at) - 1], strict=True)]
+
+
+def _removed(found: DataFrame) -> DataFrame:
+    """Of each document with repeated windows, the spans of words that they cover."""
+
+    def per_batch(batch: pa.RecordBatch) -> list:
+        spans = [_spans(np.array(starts, dtype=np.int64)) for starts in batch.column(2).to_pylist()]
+        return [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+
+    starts = found.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts"))
+    return map_batches(starts, per_batch, StructType.fromDDL(f"doc_id long, tag long, removed {SPANS}"))
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """Of rows of id, text and removed spans: what is left of each text."""
 
     def per_batch(batch: pa.RecordBatch) -> list:
-        removed, digests = [], []
-        for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        sizes, tags, texts = [], [], []
+        for text, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = raw(text).split()
-            covered = np.zeros(len(words) + 1, dtype=np.int64)
-            at = np.array(starts, dtype=np.int64)
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + WINDOW, -1)
-            kept = np.cumsum(covered[:-1]) == 0
-            removed.append(int(len(words) - kept.sum()))
-            digests.append(_sha([words[i] for i in np.flatnonzero(kept).tolist()]))
-        return [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests)]
+            edges = [0, *(edge for s in removed for edge in (s["start"], s["end"])), len(words)]
+            sizes.append(len(words))
+            tags.append(int(_sha(words)[:15], 16))
+            texts.append(b" ".join([w for i in range(0, len(edges), 2) for w in words[edges[i] : edges[i + 1]]]))
+        return [batch.column(0), pa.array(tags, pa.int64()), pa.array(sizes, pa.int64()), batch.column(2), pa.array(texts, pa.string())]
 
-    return map_batches(candidates.select("doc_id", "tag", "text", "starts"), per_batch, "doc_id long, tag long, n_cut long, cut_sha string")
+    return map_batches(rows.select("doc_id", "text", "removed"), per_batch, StructType.fromDDL(f"doc_id long, tag long, n_words long, removed {SPANS}, kept string"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_SUFFIXES) -> DataFrame:
-    """Per row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` of the kept words joined by one space.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_SUFFIXES, most_ids: int = MOST_IDS) -> DataFrame:
+    """Per row: ``doc_id``, ``n_words``, ``removed`` (spans of words, in order, ends excluded), ``kept`` (the other words joined by one space).
 
     A word is removed if a window of ``WINDOW`` words that covers it also starts
     in a row with a smaller id. Rows of the same words are one class: all but
@@ -174,7 +191,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so copies build no trees. Rows without an id neither lose words nor cause
     losses; null and empty texts have no words; rows that repeat an id each get
     their row; extra columns are ignored. Words and windows are compared by
-    hashes of 64 and 192 bits.
+    hashes of 64 and 192 bits. Texts that lose nothing are not shuffled for
+    it, unless more than ``most_ids`` others do.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = written(_marks(source), "marks").withColumn("tag", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
@@ -187,13 +205,25 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tag = F.conv(F.substring(F.sha2(joined, 256), 1, 15), 16, 10).cast("long")
     candidates = written(source.join(chosen, "doc_id").where(tag == F.col("tag")), "candidates")
     found = repeats(written(_suffixes(candidates), "suffixes"), most)
-    starts = found.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts"))
-    cut = _cut(candidates.select("doc_id", "tag", "text").join(starts, ["doc_id", "tag"])).dropDuplicates(["doc_id", "tag"])
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW)
-    known = marks.select("doc_id", "tag", "n_words", "sha").join(firsts, "sha").join(cut, ["doc_id", "tag"], "left")
-    return known.select(
-        "doc_id",
-        "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
-    )
+    removed = written(_removed(found), "removed")
+    copies = marks.join(firsts, "sha").where((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW))
+    copies = written(copies.select("doc_id", "tag", "n_words"), "copies")
+    changed = written(removed.select("doc_id", "tag").union(copies.select("doc_id", "tag")).distinct(), "changed")
+    whole = _kept(source.withColumn("removed", F.array().cast(SPANS)))
+    whole = whole.join(F.broadcast(changed) if changed.count() <= most_ids else changed, ["doc_id", "tag"], "left_anti")
+    cut = _kept(candidates.select("doc_id", "tag", "text").join(removed, ["doc_id", "tag"]))
+    span = F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))
+    copies = copies.withColumns({"removed": F.array(span), "kept": F.lit("")})
+    names = ["doc_id", "n_words", "removed", "kept"]
+    return whole.select(names).union(cut.select(names)).union(copies.select(names))
+
+
+def digests(kept: DataFrame) -> DataFrame:
+    """What ``without_repeats`` returns, as ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``."""
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return kept.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_SUFFIXES) -> DataFrame:
+    """Per row, of what ``without_repeats`` leaves: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``."""
+    return digests(without_repeats(docs, id_col, text_col, most))

@@ -81,6 +81,19 @@ def test_substring_dedup(spark):
     assert suffix_trees.deduplicate(df.limit(0)).count() == 0
 
 
+def test_kept_texts_and_removed_spans(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"a  b {passage}"), (2, f"x {passage}\ty {passage} z"), (3, f"a b {passage}"), (3, "short"), (4, "short"), (None, passage), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [
+        (1, 62, [], f"a b {passage}"), (2, 123, [(1, 61), (62, 122)], "x y z"), (3, 62, [(0, 62)], ""), (3, 1, [], "short"), (4, 1, [], "short"),
+        (None, 60, [], passage), (5, 0, [], ""),
+    ]
+    for most_ids in (1_000_000, 0):  # broadcast, and by shuffle
+        got = suffix_trees.without_repeats(df, most_ids=most_ids).collect()
+        assert sorted(((r["doc_id"], r["n_words"], [tuple(s) for s in r["removed"]], r["kept"]) for r in got), key=str) == sorted(want, key=str)
+
+
 # --- vectors ------------------------------------------------------------------------
 def test_vector_links(spark):
     rng = np.random.default_rng(4)
