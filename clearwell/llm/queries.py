@@ -115,7 +115,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 @_query

@@ -18,8 +18,10 @@ WINDOW = 5
 SHARE = 0.8
 #: Share of slots whose filling follows one exchange: each value of the item always becomes the same value.
 CONSISTENT = 0.8
-#: Placeholder-only templates say nothing: a window of the benchmark needs so many plain words.
+#: Placeholder-only templates say nothing: a window of fewer plain words counts only with the same words in its slots.
 PLAIN = 2
+#: Items of fewer words are left out, unless a caller asks for them.
+SHORTEST = 3
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|miles?|feet|ft|inch|inches|dollars?|euros?|cents?|usd|eur|percent|degrees?"
 #: A benchmark of up to so many windows is broadcast; a larger one is joined by shuffle.
 MOST_BROADCAST = 500_000
@@ -53,45 +55,68 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     """A row for each distinct template window of each item: where it stands first, its slots, and how many the item has.
 
     An item is filed in two forms, with its names as placeholders and with its
-    names as words, as a text in one case throughout shows no names. Items of
-    fewer words than a window, and windows of fewer than ``PLAIN`` plain words,
-    are left out.
+    names as words (``worded``), as a text in one case throughout shows no
+    names. Windows of fewer than ``PLAIN`` plain words are left out of the first
+    form and ``exact`` in the second: filed by their words, without slots.
+    Items of fewer words than a window have no row; see ``short_items``.
     """
     words = spaced(F.col("text"))
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     forms = F.array(*[F.struct(F.lit(i).alias("form"), windows(template(words, names)).alias("windows")) for i, names in enumerate((True, False))])
     df = items.select("item_id", _split(words).alias("words"), F.explode(forms).alias("f")).select("item_id", "words", "f.form", F.posexplode("f.windows").alias("item_pos", "window"))
     parts = F.split("window", " ")
-    df = df.where(F.size(F.filter(parts, lambda w: ~w.startswith("@"))) >= PLAIN)
+    df = df.withColumn("exact", F.size(F.filter(parts, lambda w: ~w.startswith("@"))) < PLAIN).where("form = 1 OR NOT exact")
     slots = F.filter(
         F.transform(parts, lambda w, i: F.struct(i.alias("offset"), w.alias("kind"), F.element_at("words", F.col("item_pos") + i + 1).alias("value"))),
-        lambda s: s["kind"].startswith("@"),
+        lambda s: s["kind"].startswith("@") & ~F.col("exact"),
     )
-    df = df.select("item_id", "form", "item_pos", "window", slots.alias("slots")).groupBy("item_id", "form", "window").agg(F.min_by(F.struct("item_pos", "slots"), "item_pos").alias("at"))
-    sizes = df.groupBy("item_id", "form").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.min("n").alias("n_windows"))
-    return df.select("item_id", "window", "at.*").dropDuplicates(["item_id", "window"]).join(sizes, "item_id")
+    said = F.lower(F.array_join(F.slice("words", F.col("item_pos") + 1, WINDOW), " "))
+    df = df.select("item_id", "form", "item_pos", "exact", F.when(F.col("exact"), said).otherwise(F.col("window")).alias("window"), slots.alias("slots"))
+    df = df.groupBy("item_id", "form", "window", "exact").agg(F.min_by(F.struct("item_pos", "slots"), "item_pos").alias("at"))
+    number = lambda rule: F.nullif(F.count_if(F.expr(rule)), F.lit(0))
+    sizes = df.groupBy("item_id").agg(F.least(number("form = 0"), number("form = 1 AND NOT exact")).alias("n_windows"), number("form = 1").alias("n_worded"))
+    filed = df.groupBy("item_id", "window").agg(F.min_by("at", "form").alias("at"), (F.max("form") == 1).alias("worded"))
+    return filed.select("item_id", "window", "worded", "at.*").join(sizes, "item_id")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def short_items(benchmark: DataFrame, shortest: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``item_id``, ``words`` (in lower case) and their number, of the items of ``shortest`` words and more that are shorter than a window."""
+    words = F.lower(F.trim(spaced(F.col(text_col).cast("string"))))
+    df = benchmark.select(F.col(id_col).cast("long").alias("item_id"), words.alias("words")).where("words != ''")
+    return df.withColumn("n", F.size(F.split("words", " "))).where(F.col("n").between(shortest, WINDOW - 1))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """Pairs of a document and an item it holds: ``doc_id``, ``item_id``, ``share``, ``consistency``, ``kind``.
 
     ``kind`` is ``verbatim`` where every slot is filled as in the item and
     ``reparameterised`` where the fillings are exchanged consistently; pairs
     whose fillings follow no exchange are dropped. Null ids form one document.
+    A document is looked up with its names as placeholders and as words, so
+    that a copy with every word capitalised is found. Items shorter than a
+    window, of ``shortest`` words and more, are found by their words alone.
     """
     items = written(item_windows(benchmark), "items")
     if items.count() <= MOST_BROADCAST:
         items = F.broadcast(items)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", spaced(F.col("text")).alias("spaced"))
-    found = source.select("doc_id", "spaced", F.posexplode(windows(template(F.col("spaced")))).alias("pos", "window")).join(items, "window")
+    forms = source.select("doc_id", "spaced", template(F.col("spaced")).alias("named"), template(F.col("spaced"), False).alias("worded"))
+    said = F.when(F.col("worded").rlike(r"@\S+ @\S+"), windows(F.lower("spaced"))).otherwise(F.array().cast("array<string>"))  # else no window is exact
+    looked = forms.select("doc_id", "spaced", windows(F.col("named")).alias("named"), windows(F.col("worded")).alias("worded"), said.alias("said"))
+    exploded = looked.select("doc_id", "spaced", F.size("named").alias("n"), F.posexplode(F.concat("named", "worded", "said")).alias("at", "window"))
+    found = exploded.join(items, "window").withColumns({"pos": (F.col("at") % F.col("n")).cast("int"), "form": F.when(F.col("at") < F.col("n"), 0).otherwise(1)})
     words = _split(F.col("spaced"))
     filled = F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("old"), F.lower(F.element_at(words, F.col("pos") + s["offset"] + 1)).alias("new")))
-    hits = written(found.select("doc_id", "item_id", "item_pos", "n_windows", (F.col("pos") - F.col("item_pos")).alias("shift"), filled.alias("filled")), "hits")
+    hit = ["item_id", "item_pos", "n_windows", "n_worded", "worded", "form", (F.col("pos") - F.col("item_pos")).alias("shift"), F.xxhash64("spaced").alias("of")]
+    hits = written(found.select("doc_id", *hit, filled.alias("filled")), "hits")
+    share = lambda held, n: F.sum(held) / F.first(n)
     shares = (
-        hits.groupBy("doc_id", "item_id", "item_pos").agg(F.first("n_windows").alias("n_windows"))
-        .groupBy("doc_id", "item_id").agg(F.least(F.count("*") / F.first("n_windows"), F.lit(1.0)).alias("share"))
+        hits.groupBy("doc_id", "item_id", "item_pos")
+        .agg(*[F.first(n).alias(n) for n in ("n_windows", "n_worded")], F.max(F.expr("int(form = 0)")).alias("named"), F.max(F.expr("int(form = 1 AND worded)")).alias("worded"))
+        .groupBy("doc_id", "item_id").agg(F.least(F.greatest(share("named", "n_windows"), share("worded", "n_worded")), F.lit(1.0)).alias("share"))
     )
-    slots = hits.select("doc_id", "item_id", "shift", F.explode("filled").alias("slot")).select("doc_id", "item_id", "shift", "slot.*")
+    once = hits.groupBy("doc_id", "of", "item_id", "item_pos", "shift").agg(F.min_by("filled", "form").alias("filled"))
+    slots = once.select("doc_id", "item_id", "shift", F.explode("filled").alias("slot")).select("doc_id", "item_id", "shift", "slot.*")
     ways = slots.groupBy("doc_id", "item_id", "shift", "kind", "old", "new").agg(F.count("*").alias("n"))
     usual = ways.groupBy("doc_id", "item_id", "shift", "kind", "old").agg(
         F.sum("n").alias("n"), F.max("n").alias("agreed"), F.sum(F.when(F.col("old") == F.col("new"), F.col("n")).otherwise(0)).alias("same")
@@ -100,16 +125,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     both = (shares["doc_id"].eqNullSafe(kept["doc_id"])) & (shares["item_id"] == kept["item_id"])
     pairs = shares.join(kept, both, "left").select(shares["doc_id"], shares["item_id"], "share", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("same", F.lit(1.0)).alias("same"))
     kind = F.when(F.col("same") >= 1.0, "verbatim").otherwise("reparameterised")
-    return pairs.where((F.col("share") >= SHARE) & (F.col("consistency") >= CONSISTENT)).select("doc_id", "item_id", "share", "consistency", kind.alias("kind"))
+    pairs = pairs.where((F.col("share") >= SHARE) & (F.col("consistency") >= CONSISTENT)).select("doc_id", "item_id", "share", "consistency", kind.alias("kind"))
+    short = written(short_items(benchmark, shortest), "short")
+    for n in [r["n"] for r in short.select("n").distinct().collect()]:
+        runs = source.select("doc_id", F.explode(F.array_distinct(windows(F.lower("spaced"), n))).alias("words"))
+        held = runs.join(short.where(F.col("n") == n), "words").select("doc_id", "item_id").distinct()
+        pairs = pairs.union(held.select("doc_id", "item_id", F.lit(1.0), F.lit(1.0), F.lit("verbatim")))
+    return pairs
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """Per row: ``doc_id``, ``contaminated``, ``n_items``, ``item_ids`` (ascending), ``n_reparameterised``.
 
     Null and empty texts, and an empty benchmark, contaminate nothing; repeated
     rows each get their row; extra columns are ignored.
     """
-    found = leaks(docs, benchmark, id_col, text_col).groupBy("doc_id").agg(
+    found = leaks(docs, benchmark, id_col, text_col, shortest).groupBy("doc_id").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.sum((F.col("kind") == "reparameterised").cast("long")).alias("n_reparameterised")
     ).withColumnRenamed("doc_id", "found_id")
     ids = docs.select(F.col(id_col).alias("doc_id"))

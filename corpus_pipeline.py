@@ -24,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, verbatim or with its slots exchanged."""
-    return without(docs, templates.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaked")
+    return without(docs, templates.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shortest=1), "leaked")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,6 +204,19 @@ def test_decontamination(spark):
     assert templates.decontaminate(df.limit(0), bench).count() == 0
 
 
+def test_short_capitalised_and_numeric_items_are_found(spark):
+    numeric = "2 4 8 16 32 64 128 and 256"
+    bench = spark.createDataFrame([(7, QUESTION), (8, "What is 17*24?"), (9, numeric), (10, "Ottawa"), (11, "?!")], "item_id long, text string")
+    texts = {
+        1: f"x {QUESTION.title()} y", 2: "they ask: what is 17 * 24, and why", 3: "what is 18 * 24", 4: f"so {numeric} then", 5: "3 5 9 17 33 65 129 and 257",
+        6: "capital: OTTAWA.", 7: QUESTION.title().replace("Anna", "Carla"), 8: "nothing at all", 9: "?!",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in templates.leaks(df, bench, shortest=1).collect()}
+    assert got == {(1, 7): "verbatim", (2, 8): "verbatim", (4, 9): "verbatim", (6, 10): "verbatim"}
+    assert {r["item_id"] for r in templates.leaks(df, bench).collect()} == {7, 8, 9}
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     item = "Anna saw Bert and Anna met Bert while Anna told Bert that Anna likes Bert more than Bert likes Anna"
     other = "Carl saw Dora and Emil met Fred while Gina told Hans that Ines likes Jens more than Karl likes Lena"
