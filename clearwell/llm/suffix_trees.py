@@ -2,8 +2,9 @@
 
 Suffixes are labelled by blocks of ten words. Prefixes of variable length (one
 block, three, or all five of a window) deal them into groups that fit in a
-task, and each group's subtree is walked in label order: its nodes as deep as a
-window are the repeats. Suffixes that cannot be part of a repeat never leave
+task, and each group is walked in label order: neighbours that agree in all
+labels are the repeats. This stands in for the tree; nodes of other depths and
+longer maximal repeats are not made, as no removed word depends on them. Suffixes that cannot be part of a repeat never leave
 their document: a window is only labelled if the least hash of its ten-word
 runs, which every copy of it shares, also occurs in another document.
 """
