@@ -42,6 +42,11 @@ def duplicate_rows(df: DataFrame, columns=None, by=()) -> DataFrame:
         F.coalesce(F.sum("cnt"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("duplicate_rows"),
     )
+    return duplicate_totals(totals, by)
+
+
+def duplicate_totals(totals: DataFrame, by) -> DataFrame:
+    """``rows, duplicate_rows`` with their percent."""
     return totals.select(
         *[col(b) for b in by], "rows", "duplicate_rows",
         percent("duplicate_rows", "rows").alias("duplicate_percent"),

@@ -67,6 +67,59 @@ def distinct_counts(df: DataFrame, columns=None, by=()) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: The column number of whole rows in :func:`value_groups`.
+WHOLE_ROW = -1
+
+
+def value_groups(df: DataFrame, by=(), distinct: bool = True) -> DataFrame:
+    """Distinct values by column and type, and repeated rows, in one pass and one shuffle.
+
+    ``by..., position, value_type, distinct_values, cells``: of each column how
+    many distinct values look like which type (null for columns that are no
+    text) and how many cells hold them; nulls are no value. The position
+    ``WHOLE_ROW`` counts whole rows in the same way, told apart by the SHA-256
+    of all their values. Values are counted before the shuffle. Whole numbers,
+    dates and times travel as 8 bytes. Without ``distinct`` only text columns
+    and whole rows are counted.
+    """
+    by = as_list(by)
+    fields = profiled_fields(df, None, by)
+    entries, texts = [], []
+
+    def entry(position, whole=None, fraction=None, text=None):
+        kinds = (("whole", whole, "bigint"), ("fraction", fraction, "double"), ("text", text, "string"))
+        return F.struct(F.lit(position).alias("position"), *[(F.lit(None) if v is None else v).cast(t).alias(n) for n, v, t in kinds])
+
+    for i, f in enumerate(fields):
+        if is_text(f):
+            texts.append(i)
+            entries.append(entry(i, text=as_text(f)))
+        elif distinct and isinstance(f.dataType, T.IntegralType):
+            entries.append(entry(i, whole=col(f.name)))
+        elif distinct and isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            entries.append(entry(i, fraction=present(f).cast("double") + F.lit(0.0)))
+        elif distinct and isinstance(f.dataType, T.DateType):
+            entries.append(entry(i, whole=F.unix_date(col(f.name))))
+        elif distinct and isinstance(f.dataType, T.TimestampType):
+            entries.append(entry(i, whole=F.unix_micros(col(f.name))))
+        elif distinct:
+            entries.append(entry(i, text=as_text(f)))
+    marked = [F.coalesce(F.concat(F.length(as_text(f)).cast("string"), F.lit(":"), as_text(f)), F.lit("-")) for f in fields]
+    entries.append(entry(WHOLE_ROW, text=F.sha2(F.concat(F.lit(""), *marked), 256)))
+    cells = df.select(*[col(b).alias(f"__b{i}") for i, b in enumerate(by)], F.inline(F.array(*entries)))
+    cells = cells.where("whole IS NOT NULL OR fraction IS NOT NULL OR text IS NOT NULL")
+    kind = value_type_of("text", trim_space("text"))
+    typed = cells.select(
+        *[F.col(f"__b{i}") for i in range(len(by))], "position", "whole", "fraction", value_key("text").alias("key"),
+        F.when(F.col("position").isin(texts), kind).alias("value_type") if texts else F.lit(None).cast("string").alias("value_type"),
+    )
+    keys = [*[F.col(f"__b{i}") for i in range(len(by))], F.col("position"), F.col("value_type")]
+    counted = typed.groupBy(*keys, "whole", "fraction", "key").agg(F.count(F.lit(1)).alias("cnt"))
+    return counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("cnt").alias("cells")).withColumnsRenamed(
+        {f"__b{i}": b for i, b in enumerate(by)}
+    )
+
+
 def duplicates_per_column(df: DataFrame, columns=None, by=()) -> DataFrame:
     """Rows beyond the first of each value, null being one value; columns with any."""
     by = as_list(by)

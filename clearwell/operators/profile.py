@@ -17,7 +17,7 @@ from ..columns import (
     COLUMNS_PER_AGGREGATE, as_list, as_text, col, dtype_label, is_nested, is_numeric, is_text, no_rows,
     percent, present, profiled_fields, quoted, sql_text,
 )
-from ..functions import name_hint_column, trim_space
+from ..functions import has_sql_unsafe_chars, name_hint_column, trim_space
 from .frequency import distinct_counts
 from .quantiles import exact_median
 
@@ -40,6 +40,12 @@ def _measures(field, approx: bool, which: set[str]) -> dict[str, Column]:
         numeric = c.cast(_NUMBER) if is_numeric(field) else None
         for name, fn in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp)):
             out[name] = F.lit(None).cast(_NUMBER) if numeric is None else fn(numeric)
+    if "signs" in which:
+        numeric = c.cast(_NUMBER) if is_numeric(field) else None
+        out["negative_count"] = F.lit(None).cast("bigint") if numeric is None else F.count_if(numeric < 0)
+        out["zero_count"] = F.lit(None).cast("bigint") if numeric is None else F.count_if(numeric == 0)
+    if "unsafe" in which:
+        out["unsafe_count"] = F.count_if(has_sql_unsafe_chars(as_text(field)))
     if approx:
         # A 16,384-bucket sketch: about 0.8 percent standard error, one binary buffer.
         # It is fed hashes, so that no value has to be turned into text.
@@ -53,8 +59,15 @@ def _measures(field, approx: bool, which: set[str]) -> dict[str, Column]:
 
 
 def _column_scan(df: DataFrame, fields, by: Sequence[str], which: set[str], approx=False) -> DataFrame:
-    """``by..., position, column_name, dtype, rows, <metrics>``, one row per column."""
+    """``by..., position, column_name, dtype, rows, <metrics>``, one row per column.
+
+    With ``"table"`` each row also carries the table's null cells and complete rows.
+    """
     parts = []
+    table = {}
+    if "table" in which:
+        nulls = _null_cells(profiled_fields(df, None, by))
+        table = {"null_cells": F.coalesce(F.sum(nulls), F.lit(0)).cast("bigint"), "complete_rows": F.count_if(nulls == 0)}
     place = {f.name: i for i, f in enumerate(profiled_fields(df, None, by))}
     placed = [(place[f.name], f) for f in fields]
     for start in range(0, len(placed), COLUMNS_PER_AGGREGATE):
@@ -62,17 +75,24 @@ def _column_scan(df: DataFrame, fields, by: Sequence[str], which: set[str], appr
         measures = {i: _measures(f, approx, which) for i, f in chunk}
         wide = df.groupBy(*[col(b) for b in by]).agg(
             F.count(F.lit(1)).alias("__rows"),
+            *[m.alias(f"__{name}") for name, m in table.items()],
             *[m.alias(f"__{i}_{name}") for i, ms in measures.items() for name, m in ms.items()],
         )
         rows = ", ".join(
             f"named_struct('position', {i}, 'column_name', {sql_text(f.name)}, 'dtype', {sql_text(dtype_label(f))}, "
-            + "'rows', __rows, " + ", ".join(f"'{name}', __{i}_{name}" for name in measures[i]) + ")"
+            + "'rows', __rows, " + "".join(f"'{name}', __{name}, " for name in table)
+            + ", ".join(f"'{name}', __{i}_{name}" for name in measures[i]) + ")"
             for i, f in chunk
         )
         parts.append(wide.select(*[col(b) for b in by], F.expr(f"inline(array({rows}))")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _null_cells(fields) -> Column:
+    """How many cells of a row are null."""
+    return reduce(lambda a, b: a + b, [present(f).isNull().cast("int") for f in fields], F.lit(0))
+
+
 def _nulls(scan: DataFrame) -> DataFrame:
     share = percent(F.col("rows") - F.col("non_null"), "rows")
     return (
@@ -202,6 +222,11 @@ def column_profile(df: DataFrame, columns=None, by=(), approx: bool = False, dis
         scan = scan.withColumn("unique_count", F.lit(None).cast("bigint")).withColumn(
             "median", F.lit(None).cast(_NUMBER)
         )
+    return profile_rows(scan, by, approx, sizes)
+
+
+def profile_rows(scan: DataFrame, by: Sequence[str], approx: bool = False, sizes: bool = False) -> DataFrame:
+    """The metric table from a scan that has its distinct counts and medians."""
     null_as_value = (F.col("null_count") > 0).cast("int")
     cardinality = F.when(F.col("rows") > 0, (F.col("unique_count") + null_as_value) / F.col("rows"))
     cardinality = F.least(cardinality, F.lit(1.0)) if approx else cardinality
@@ -212,8 +237,7 @@ def column_profile(df: DataFrame, columns=None, by=(), approx: bool = False, dis
         "blank_count",
         F.when(F.col("blank_count").isNotNull(), percent("blank_count", "rows")).alias("blank_percent"),
         "unique_count",
-        (F.lit(0.0) if not fields else
-         F.when(F.col("unique_count").isNotNull(), F.coalesce(cardinality, F.lit(0.0)))).alias("cardinality_ratio"),
+        F.when(F.col("unique_count").isNotNull(), F.coalesce(cardinality, F.lit(0.0))).alias("cardinality_ratio"),
         "min", "max", "mean", "median", "std", *(["bytes"] if sizes else []),
         F.lit(approx).alias("is_approximate"),
     )
@@ -243,9 +267,8 @@ def row_completeness(df: DataFrame, columns=None, by=()) -> DataFrame:
     """Null cells and complete rows of the table, in one pass."""
     by = as_list(by)
     fields = profiled_fields(df, columns, by)
-    nulls = reduce(lambda a, b: a + b, [present(f).isNull().cast("int") for f in fields], F.lit(0))
     agg = (
-        df.select(*[col(b) for b in by], nulls.alias("__nulls"))
+        df.select(*[col(b) for b in by], _null_cells(fields).alias("__nulls"))
         .groupBy(*[col(b) for b in by])
         .agg(
             F.count(F.lit(1)).alias("rows"),
@@ -253,10 +276,15 @@ def row_completeness(df: DataFrame, columns=None, by=()) -> DataFrame:
             F.count_if(F.col("__nulls") == 0).alias("complete_rows"),
         )
     )
-    cells = F.col("rows") * len(fields)
+    return completeness_rows(agg, len(fields), by)
+
+
+def completeness_rows(agg: DataFrame, columns: int, by: Sequence[str]) -> DataFrame:
+    """The completeness table from ``rows, null_cells, complete_rows``."""
+    cells = F.col("rows") * columns
     return agg.select(
         *[col(b) for b in by], "rows",
-        F.lit(len(fields)).cast("bigint").alias("columns"),
+        F.lit(columns).cast("bigint").alias("columns"),
         cells.alias("cells"),
         "null_cells",
         percent(F.col("null_cells"), cells).alias("null_percent"),

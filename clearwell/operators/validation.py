@@ -103,7 +103,17 @@ def _validator_fields(df, columns, by):
     ]
 
 
-def _counts(df: DataFrame, columns, by) -> DataFrame:
+def _text_counts() -> list[Column]:
+    return [
+        F.count_if(has_special_chars("value")).alias("special_chars_count"),
+        F.count_if(has_edge_spaces("value")).alias("edge_spaces_count"),
+        F.count_if(F.length("value") > S.LONG_TEXT).alias("long_values_count"),
+    ]
+
+
+def content_counts(df: DataFrame, columns=None, by=(), texts: bool = False) -> DataFrame:
+    """Per column what its values look like; with ``texts`` also what :func:`validate_text` counts, in the same pass."""
+    by = as_list(by)
     fields = _validator_fields(df, columns, by)
     group = [*by, "column_name"]
     counts = _classified(df, fields, by, ()).groupBy(*[col(g) for g in group]).agg(
@@ -112,6 +122,7 @@ def _counts(df: DataFrame, columns, by) -> DataFrame:
         F.expr("count(format) AS n_dates"),
         F.expr("count_if(ambiguous) AS n_ambiguous"),
         *[F.expr(f"count_if(format = '{f}') AS f_{i}") for i, f in enumerate(_FORMATS)],
+        *(_text_counts() if texts else []),
     )
     not_text = [f.name for f in fields if not is_text(f)]
     winner = _winner("total")
@@ -128,7 +139,11 @@ def validate_contents(df: DataFrame, validators=VALIDATORS, columns=None, by=())
     """
     by = as_list(by)
     names = [f.name for f in profiled_fields(df, columns, by)]
-    counts = _counts(df, columns, by)
+    return content_rows(content_counts(df, columns, by), names, validators, by)
+
+
+def content_rows(counts: DataFrame, names: list[str], validators=VALIDATORS, by=()) -> DataFrame:
+    """The rows of :func:`validate_contents` for the columns ``names``, from their counts."""
     marks = [f"f_{i}" for i in range(len(_FORMATS))]
     counts = counts.selectExpr(
         "*", f"greatest({', '.join(marks)}) AS best",
@@ -235,7 +250,7 @@ def validate_numeric(df: DataFrame, columns=None, by=()) -> DataFrame:
         v = present(f).cast("double")
         aggs += [F.min(v).alias(f"__min{i}"), F.max(v).alias(f"__max{i}"),
                  F.count_if(v < 0).alias(f"__neg{i}"), F.count_if(v == 0).alias(f"__zero{i}")]
-        aged = S.NON_NEGATIVE_KEYWORD in f.name.lower()
+        aged = is_aged(f.name)
         rows.append(F.struct(
             F.lit(f.name).alias("column_name"), F.col(f"__min{i}").alias("min"), F.col(f"__max{i}").alias("max"),
             F.col(f"__neg{i}").alias("negative_count"), F.col(f"__zero{i}").alias("zero_count"),
@@ -264,15 +279,28 @@ def validate_text(df: DataFrame, columns=None, by=()) -> DataFrame:
     by = as_list(by)
     fields = [f for f in profiled_fields(df, columns, by) if is_text(f)]
     return (
-        long_form(df, fields, by).groupBy(*[col(b) for b in by], "column_name").agg(
-            F.count_if(has_special_chars("value")).alias("special_chars_count"),
-            F.count_if(has_edge_spaces("value")).alias("edge_spaces_count"),
-            F.count_if(F.length("value") > S.LONG_TEXT).alias("long_values_count"),
-        )
-        .withColumn("is_problematic", (F.col("special_chars_count") > 0) | (F.col("edge_spaces_count") > 0))
+        long_form(df, fields, by).groupBy(*[col(b) for b in by], "column_name").agg(*_text_counts())
+        .withColumn("is_problematic", _text_problem())
     )
 
 
+def _text_problem() -> Column:
+    return (F.col("special_chars_count") > 0) | (F.col("edge_spaces_count") > 0)
+
+
+def text_rows(counts: DataFrame, texts: list[str], by=()) -> DataFrame:
+    """The rows of :func:`validate_text` for the text columns, from :func:`content_counts`."""
+    return counts.where(F.col("column_name").isin(texts)).select(
+        *[col(b) for b in by], "column_name", "special_chars_count", "edge_spaces_count", "long_values_count",
+        _text_problem().alias("is_problematic"),
+    )
+
+
+def is_aged(name: str) -> bool:
+    """Whether negative values are a problem in a column of this name."""
+    return S.NON_NEGATIVE_KEYWORD in name.lower()
+
+
 def unsafe_chars(df: DataFrame, columns=None, by=()) -> DataFrame:
     """Values of any column holding characters that are unsafe inside SQL text."""
     by = as_list(by)

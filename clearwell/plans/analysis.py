@@ -9,56 +9,39 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..columns import as_list, col
-from ..operators.duplicates import duplicate_rows
-from ..operators.frequency import mixed_types, type_counts
-from ..operators.profile import column_profile, row_completeness
-from ..operators.validation import (
-    unsafe_chars, validate_contents, validate_numeric, validate_text, validation_summary,
-)
+from ..columns import col
+from ..operators.validation import validation_summary
 from ..runtime import settle, shared_folder
 from .findings import (
     Metrics, issues, recommendations, severity_counts, suggested_filters,
 )
+from .shared import shared_scans
 
 
 def table_metrics(df: DataFrame, by=()) -> DataFrame:
     """Rows, null cells, complete rows and duplicate rows of a table."""
-    by = as_list(by)
-    complete = row_completeness(df, by=by)
-    names = {b: f"__b{i}" for i, b in enumerate(by)}
-    double = duplicate_rows(df, by=by).drop("rows").withColumnsRenamed(names)
-    if not by:
-        return complete.crossJoin(F.broadcast(double))  # one row each
-    same = reduce(lambda a, b: a & b, [col(b).eqNullSafe(F.col(n)) for b, n in names.items()])
-    return complete.join(double, same, "left").drop(*names.values())
-
-
-def collect_metrics(df: DataFrame, by=(), approx: bool = False) -> Metrics:
-    """All metric tables, still lazy."""
-    by = tuple(as_list(by))
-    m = issue_metrics(df, by)
-    m.columns = column_profile(df, by=by, approx=approx)
-    m.numeric = validate_numeric(df, by=by)
-    m.text = validate_text(df, by=by)
-    m.unsafe = unsafe_chars(df, by=by)
-    return m
-
-
-def issue_metrics(df: DataFrame, by=()) -> Metrics:
+    return shared_scans(df, by, full=False).table()
+
+
+def collect_metrics(df: DataFrame, by=(), approx: bool = False, settled: bool = True) -> Metrics:
+    """All metric tables, from three passes over the table and those of the medians.
+
+    The passes run at once and leave a few rows for each column in the
+    checkpoint folder; ``settled=False`` keeps them lazy, and every table that is
+    read runs its pass again.
+    """
+    scans = shared_scans(df, by, approx=approx)
+    return (scans.settled() if settled else scans).metrics()
+
+
+def issue_metrics(df: DataFrame, by=(), settled: bool = True) -> Metrics:
     """The metric tables behind :func:`issues`.
 
     Issues need neither distinct counts nor medians, which saves a shuffle of
-    all values and three scans.
+    all values and the scans of the medians.
     """
-    by = tuple(as_list(by))
-    return Metrics(
-        table=table_metrics(df, by),
-        columns=column_profile(df, by=by, distinct=False),
-        types=mixed_types(type_counts(df, by=by), by),
-        contents=validate_contents(df, by=by),
-        by=by,
-    )
+    scans = shared_scans(df, by, full=False)
+    return (scans.settled() if settled else scans).metrics()
 
 
 @dataclass
@@ -76,12 +59,16 @@ class Analysis:
 def analyze(df: DataFrame, by=(), approx: bool = False, settled: bool = True) -> Analysis:
     """Profile, validate, classify and advise.
 
-    The metric tables are small and read by many reports, so they are written to
-    the checkpoint folder once; the table itself is never cached.
+    The table is read three times, whatever the number of metric tables, and by
+    the steps of the exact medians (``approx`` has none). What the passes leave
+    is small and read by many reports, so it is written to the checkpoint folder
+    once; the table itself is never cached.
     """
-    m = collect_metrics(df, by, approx)
-    if settled:
-        m = m.map(settle)
+    return analysis_of(collect_metrics(df, by, approx, settled))
+
+
+def analysis_of(m: Metrics) -> Analysis:
+    """Everything that follows from metric tables."""
     found = issues(m)
     return Analysis(
         metrics=m, issues=found, severity=severity_counts(found, m.by),
@@ -144,7 +131,10 @@ def summarize_batch(spark: SparkSession, sources: dict, parallel: int = 4) -> Da
 
 def summarize_grouped(df: DataFrame, by: str = "source_name") -> DataFrame:
     """Summary rows of many sources of one layout, in one job grouped by source."""
-    m = issue_metrics(df, by)
+    return _summary_rows(issue_metrics(df, by), by)
+
+
+def _summary_rows(m: Metrics, by: str) -> DataFrame:
     counts = severity_counts(issues(m), by).withColumnRenamed(by, "__by")
     joined = m.table.join(counts, col(by).eqNullSafe(F.col("__by")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
@@ -158,6 +148,82 @@ def summarize_grouped(df: DataFrame, by: str = "source_name") -> DataFrame:
     )
 
 
+@dataclass
+class BatchAnalysis:
+    """The analyses of many sources, and a summary row for each source, failed ones included.
+
+    ``analysis`` holds every metric table, issue, recommendation and filter with
+    the source's name in ``source_name``; it is None where no source could be read.
+    """
+
+    analysis: Analysis | None
+    summary: DataFrame
+
+
+def analyze_many(spark: SparkSession, sources: dict, approx: bool = False, parallel: int = 4) -> BatchAnalysis:
+    """Analyse every source; one that fails becomes an error row and spoils no other.
+
+    ``sources``: name (None is a name like any other) -> DataFrame, or a function
+    of the session that returns one. Sources of equal columns and types share
+    their passes: one union, grouped by source. Where such a group fails, it is
+    halved until the failing sources stand alone, so a bad file among n costs
+    some ``log2(n)`` passes more. Groups run side by side.
+    """
+    if not sources:
+        raise ValueError("no sources")
+    by = "source_name"
+    frames: dict = {}
+    failed: dict = {}
+    for name, source in sources.items():
+        try:
+            frames[name] = source(spark) if callable(source) else source
+            if by in frames[name].columns:
+                raise ValueError(f"the column name {by} is taken")
+        except Exception as error:  # noqa: BLE001 - one bad source must not stop the others
+            frames.pop(name, None)
+            failed[name] = error
+    layouts: dict[tuple, list] = {}
+    for name, df in frames.items():
+        layouts.setdefault(tuple((f.name, f.dataType.simpleString()) for f in df.schema.fields), []).append(name)
+
+    def label(df: DataFrame, name) -> DataFrame:
+        return df.withColumn(by, F.lit(name).cast("string"))
+
+    def grouped(names: list) -> Metrics:
+        m = collect_metrics(reduce(DataFrame.unionByName, [label(frames[n], n) for n in names]), by, approx)
+        # A source without rows has no group: its tables are those of an empty table.
+        there = {r[0] for r in m.table.select(by).collect()}  # one row a source
+        empty = [collect_metrics(frames[n], (), approx).map(lambda t, n=n: label(t, n)) for n in names if n not in there]
+        return _merged([m, *empty], by)
+
+    def run(names: list) -> list[Metrics]:
+        try:
+            return [grouped(names)]
+        except Exception as error:  # noqa: BLE001
+            if len(names) == 1:
+                failed[names[0]] = error
+                return []
+            half = len(names) // 2
+            return run(names[:half]) + run(names[half:])
+
+    shared_folder(spark)
+    with ThreadPoolExecutor(parallel) as pool:
+        found = [m for part in pool.map(run, layouts.values()) for m in part]
+    rows = [error_row(spark, name, str(error).split("\n")[0]) for name, error in failed.items()]
+    if not found:
+        return BatchAnalysis(None, reduce(DataFrame.unionByName, rows))
+    m = _merged(found, by)
+    summary = _summary_rows(m, by).withColumn("approximate_statistics", F.lit(approx))
+    return BatchAnalysis(analysis_of(m), reduce(DataFrame.unionByName, [summary, *rows]))
+
+
+def _merged(parts: list[Metrics], by: str) -> Metrics:
+    """The metric tables of several groups of sources, one under the other."""
+    names = ("table", "columns", "types", "contents", "numeric", "text", "unsafe")
+    tables = {n: reduce(DataFrame.unionByName, [getattr(p, n) for p in parts]) for n in names}
+    return Metrics(**tables, by=(by,))
+
+
 def batch_metrics(summary: DataFrame) -> DataFrame:
     """Totals over the batch, from :func:`summarize_batch`."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
