@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from clearwell.operators import duplicates as D
 from clearwell.operators import frequency as Q
 from clearwell.operators import profile as P
+from clearwell.operators import sketches as K
 from clearwell.operators.quantiles import exact_median
 from clearwell.plans.analysis import collect_metrics
 from clearwell.plans.findings import problem_overview
+from clearwell.runtime import scratch_path
 
 from .registry import SCHEMAS, big, query, r6, source, sql_value_type, union_columns, with_source
 
@@ -279,3 +281,61 @@ UNION ALL SELECT column_name, 'Demasiados valores únicos', 'AVISO' FROM (""" +
 SELECT '{c}' AS column_name, (count(DISTINCT {c}) + (count(*) > count({c}))::INT) / count(*) AS ratio FROM v""") + ") WHERE ratio >= 0.8)"))
 def problem_overview_nulls(spark, d):
     return problem_overview(collect_metrics(source(spark, d, "dirty_nulls"))).drop("detail")
+
+
+# --- sketches of values ------------------------------------------------------------------
+
+_TOP = """SELECT '{c}' AS column_name, CAST(row_number() OVER (ORDER BY cnt DESC, value) AS INTEGER) AS rank, value, cnt FROM (
+SELECT CAST({c} AS VARCHAR) AS value, count(*) AS cnt FROM {t} WHERE {c} IS NOT NULL GROUP BY 1)"""
+
+
+def _top_sql(table, columns, k):
+    return "\nUNION ALL\n".join(f"SELECT * FROM ({_TOP.format(c=c, t=table)}) WHERE rank <= {k}" for c in columns)
+
+
+@query(_top_sql("lineitem", ("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"), 3))
+def approx_top_values(spark, d):
+    """Columns of fewer values than are tracked: the sketch counts them exactly."""
+    columns = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
+    return K.approx_top_values(source(spark, d, "lineitem"), 3, columns).drop("cnt_low")
+
+
+_SKETCHED = ("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+
+
+_HEAVY = 2 * 3.5 / 1024  # twice the error of a sketch that tracks 768 values
+
+
+@query("\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, count(*) FILTER (cnt > {_HEAVY} * n) AS heavy, CAST(0 AS BIGINT) AS outside FROM "
+                            f"(SELECT count(*) AS cnt, sum(count(*)) OVER () AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c})" for c in _SKETCHED))
+def approx_top_values_bounds(spark, d):
+    """Far more values than are tracked: every heavy value is found, and each true count lies within the stated bounds."""
+    df, tracked, k = source(spark, d, "lineitem"), 768, 200
+    states = K.value_sketches(df, list(_SKETCHED), tracked=tracked)
+    found = K.frequent_values(states, k, tracked=tracked).select(F.col("column_name").alias("c"), "value_key", F.col("cnt").alias("high"), "cnt_low")
+    true = Q.value_frequencies(df, list(_SKETCHED))
+    per_column = true.groupBy("column_name").agg(F.sum("cnt").alias("n"))  # a row for each column
+    joined = true.join(found, (F.col("column_name") == F.col("c")) & (F.col("value") == F.col("value_key")), "left").join(F.broadcast(per_column), "column_name")
+    inside = F.col("cnt").between(F.col("cnt_low"), F.col("high"))
+    return joined.groupBy("column_name").agg(
+        F.count_if((F.col("cnt") > F.lit(_HEAVY) * F.col("n")) & F.col("high").isNotNull()).alias("heavy"), F.count_if(~inside).alias("outside"))
+
+
+@query(_top_sql("events", ("event_type",), 3) + " UNION ALL " + _top_sql("events", ("user_id",), 3))
+def merged_sketches(spark, d):
+    """The states of four parts of a table, written and merged, give the counts of the whole."""
+    df = source(spark, d, "events")
+    path = scratch_path(spark, "sketches")
+    for part in range(4):
+        K.value_sketches(df.where(F.pmod("event_id", F.lit(4)) == part), ["event_type", "user_id"]).write.mode("append").parquet(path)
+    merged = K.merge_sketches(spark.read.parquet(path))
+    return K.frequent_values(merged, 3).drop("cnt_low").withColumnRenamed("value_key", "value")
+
+
+@query("\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, true AS close FROM lineitem HAVING count(*) > 0" for c in _SKETCHED))
+def approx_duplicates_are_close(spark, d):
+    """Approximate duplicates per column against the exact ones, within their stated error."""
+    df = source(spark, d, "lineitem").select(*_SKETCHED)
+    exact = Q.duplicates_per_column(df).withColumnRenamed("duplicate_values", "exact")
+    found = K.approx_duplicates(K.value_sketches(df))
+    return found.join(exact, "column_name").select("column_name", (F.abs(F.col("duplicate_values") - F.col("exact")) <= F.col("max_error")).alias("close"))
