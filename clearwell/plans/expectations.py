@@ -72,5 +72,10 @@ def default_expectations(m: Metrics) -> DataFrame:
     return m.columns.select(
         *[col(b) for b in m.by], "column_name",
         (F.col("null_count") > 0).alias("nullable"),
-        (F.col("cardinality_ratio") >= 0.95).alias("unique"),
+        ((F.col("unique_count") == F.col("non_null")) & (F.col("non_null") > 0)).alias("unique"),
     )
+
+
+def as_config(expectations: DataFrame) -> dict:
+    """The rows of :func:`default_expectations`, one for each column, as the configuration of :func:`check_expectations`."""
+    return {"columns": {r["column_name"]: {"nullable": r["nullable"], "unique": r["unique"]} for r in expectations.collect()}}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from urllib.parse import unquote
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import settings as S
-from ..columns import as_list, col
+from ..columns import as_list, col, quoted
 from ..functions.text import INTEGER
 from .names import normalize_names
 
@@ -34,10 +34,11 @@ def _is_wide(encoding: str | None) -> bool:
     return bool(encoding) and encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32"))
 
 
-def read_lines(spark: SparkSession, paths, encoding: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, paths, encoding: str | None = None, line_sep: str | None = None) -> DataFrame:
     """``path, block, id, value``: every line, with its place in its file.
 
-    Files of a wide encoding are decoded whole, a task for each.
+    Lines end with any of the three line breaks, or with ``line_sep``. Files of
+    a wide encoding are decoded whole, a task for each.
     """
     if _is_wide(encoding):
         source = (
@@ -45,7 +46,7 @@ def read_lines(spark: SparkSession, paths, encoding: str | None = None) -> DataF
             .schema("value string").csv(as_list(paths))
         )
     else:
-        source = spark.read.text(as_list(paths))
+        source = (spark.read.option("lineSep", line_sep) if line_sep else spark.read).text(as_list(paths))
     return source.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -83,37 +84,87 @@ def _place() -> Column:
     return F.col("block").cast("decimal(20,0)") * F.lit(1 << 33).cast("decimal(12,0)") + inside.cast("decimal(12,0)")
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """Lines joined to records where a quote is open at their end.
+_PLAIN, _QUOTED, _CLOSING = 0, 1, 2  # outside quotes, inside, and behind a quote that may end the field
 
-    The state is the parity of the quotes before a line. It is summed inside
-    blocks of a file, and from block to block over one row a block.
+
+def _end_state(line: Column, sep: str, start: int) -> Column:
+    """Whether a quoted field is open at the end of a line (1) or not (0), if the line begins in the state ``start``.
+
+    A quote opens a field at the line's start or behind a separator; two in a
+    row inside a field are one; any other quote is text.
     """
-    marked = lines.withColumn("quotes", _quotes(F.col("value")) % 2)
+    pieces = F.split(line, '"', -1)
+
+    def behind(state: Column, i: Column) -> Column:
+        text = F.get(pieces, i - 1)  # between the quote before and this one
+        opens = F.when(text.endswith(F.lit(sep)), _QUOTED).otherwise(_PLAIN)
+        plain = F.when((i == 1) & (text == ""), _QUOTED).otherwise(opens)
+        return F.when(state == _QUOTED, _CLOSING).when(state == _PLAIN, plain).when(text == "", _QUOTED).otherwise(opens).cast("int")
+
+    quotes = F.size(pieces) - 1
+    end = F.aggregate(F.sequence(F.lit(1), quotes), F.lit(start), behind)
+    return F.when(quotes == 0, F.lit(start)).otherwise((end == _QUOTED).cast("int"))
+
+
+def _records(lines: DataFrame, sep: str | None = None) -> DataFrame:
+    """Lines joined to records where a quoted field is open at their end.
+
+    A line takes the state before it to the state behind it: it keeps it, turns
+    it over, or sets it. Such steps can be joined in any grouping, so they are
+    summed up inside the blocks of a file, which tasks do on their own, and
+    from block to block over one row a block. Lines that are records by
+    themselves are not moved again. Without ``sep`` every quote counts.
+    """
+    value = F.col("value")
+    if sep is None:
+        odd = _quotes(value) % 2
+        plain, quoted = odd, 1 - odd
+    else:
+        plain, quoted = _end_state(value, sep, _PLAIN), _end_state(value, sep, _QUOTED)
+    has_quote = value.contains('"')
+    marked = lines.withColumns({
+        "plain": F.when(has_quote, plain).otherwise(0), "quoted": F.when(has_quote, quoted).otherwise(1),
+    })
     inside = Window.partitionBy("path", "block").orderBy("id")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = marked.groupBy("path", "block").agg(F.sum("quotes").alias("q"))
-    parity = blocks.select("path", "block", F.coalesce(F.sum("q").over(before), F.lit(0)).alias("q0"))
-    seen = F.sum("quotes").over(inside) - F.col("quotes")
-    opened = marked.join(parity, ["path", "block"]).withColumn("starts", (F.col("q0") + seen) % 2 == 0)
-    opened = opened.withColumn("begin", F.last(F.when(F.col("starts"), F.struct("block", "id")), ignorenulls=True).over(inside))
+
+    def behind(rows, turned: Column, window, start: Column) -> DataFrame:
+        """``after``: the state behind each row. It is what the last row that sets one set, turned over as often as rows since then do."""
+        rows = rows.withColumn("turns", F.sum(turned.cast("int")).over(window))
+        since = F.when(F.col("plain") == F.col("quoted"), (F.col("plain") + F.col("turns")) % 2)
+        return rows.withColumn("set", F.last(since, ignorenulls=True).over(window)).withColumn("after", (F.coalesce("set", start) + F.col("turns")) % 2)
+
+    turned = (F.col("plain") == 1) & (F.col("quoted") == 0)
+    each = behind(marked, turned, inside, F.lit(0)).withColumn("fixed", F.col("set").isNotNull())
+    # A block as one step: what it ends with from either state.
+    blocks = each.groupBy("path", "block").agg(F.max_by("after", "id").alias("plain"), F.max_by("fixed", "id").alias("fixed"))
+    blocks = blocks.withColumn("quoted", F.when(F.col("fixed"), F.col("plain")).otherwise(1 - F.col("plain")))
+    whole = Window.partitionBy("path").orderBy("block")
+    blocks = behind(blocks, turned, whole, F.lit(0))
+    start = blocks.select("path", "block", F.coalesce(F.lag("after").over(whole), F.lit(0)).alias("at_start"))
+    placed = each.join(start, ["path", "block"]).withColumn("after", F.when(F.col("fixed"), F.col("after")).otherwise((F.col("after") + F.col("at_start")) % 2))
+    placed = placed.withColumn("starts", F.coalesce(F.lag("after").over(inside), F.col("at_start")) == 0)
+    single = placed.where(F.col("starts") & (F.col("after") == 0)).select("path", "block", "id", "value")
+    opened = placed.withColumn("begin", F.last(F.when(F.col("starts"), F.struct("block", "id")), ignorenulls=True).over(inside))
     last = opened.groupBy("path", "block").agg(F.max(F.when(F.col("starts"), F.struct("block", "id"))).alias("last"))
     carried = last.select("path", "block", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    named = opened.join(carried, ["path", "block"]).withColumn("begin", F.coalesce("begin", "carried"))
+    named = opened.where(~F.col("starts") | (F.col("after") == 1)).join(carried, ["path", "block"]).withColumn("begin", F.coalesce("begin", "carried"))
     parts = F.array_sort(F.collect_list(F.struct("block", "id", "value")))
-    return named.groupBy("path", "begin").agg(parts.alias("parts")).select(
+    joined = named.groupBy("path", "begin").agg(parts.alias("parts")).select(
         "path", "begin.block", "begin.id", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value")
     )
+    return single.unionByName(joined)
 
 
-def read_records(spark: SparkSession, paths, encoding: str | None = None) -> DataFrame:
+def read_records(spark: SparkSession, paths, encoding: str | None = None, sep: str | None = None) -> DataFrame:
     """As :func:`read_lines`, but lines of one quoted record are one row, at the place of the first."""
     lines = read_lines(spark, paths, encoding)
-    several = [r["path"] for r in file_facts(spark, paths, encoding).where("multi_line").select("path").collect()]
-    if not several:
+    facts = file_facts(spark, paths, encoding).where("multi_line").select(F.col("path").alias("__path"))
+    if facts.isEmpty():
         return lines
-    own = F.col("path").isin(several)
-    return lines.where(~own).unionByName(_records(lines.where(own)))
+    several = F.broadcast(facts)  # a row for each file, which the driver lists anyway
+    same = F.col("path") == F.col("__path")
+    return lines.join(several, same, "left_anti").unionByName(_records(lines.join(several, same, "left_semi"), sep))
 
 
 def detect_encoding(spark: SparkSession, paths) -> DataFrame:
@@ -174,7 +225,7 @@ def malformed_rows(spark: SparkSession, paths, sep: str, examples: int = 5, enco
     actual_columns, content``. Blank lines are no rows.
     """
     lines = read_lines(spark, paths, encoding)
-    records = read_records(spark, paths, encoding)
+    records = read_records(spark, paths, encoding, sep)
     rows = records.where(F.length("value") > 0).withColumn("actual_columns", _width(F.col("value"), sep))
     # Lines are counted by width first, so only (file, width) pairs meet the headers.
     widths = rows.groupBy("path", "actual_columns").agg(
@@ -261,18 +312,61 @@ def layouts(spark: SparkSession, paths, sep: str | None = None, encoding: str |
     return [Layout(s, e, n, tuple(sorted(p)), m) for (s, e, n, m), p in sorted(groups.items())], errors
 
 
+def _breaks_with_returns(spark: SparkSession, paths) -> list[str]:
+    """Files whose lines end with carriage returns alone; no line feed cuts them."""
+    lines = read_lines(spark, paths, line_sep="\n").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("value").rlike(r"\r.")).alias("cr"))
+    return [unquote(r["path"]) for r in lines.where("n = 1 AND cr").select("path").toLocalIterator()]
+
+
+def _quoted_records(spark: SparkSession, layout: Layout, mode: str) -> DataFrame:
+    """``layout``'s columns, ``_corrupt_record`` and ``path`` of files with line breaks in quotes, read by as many tasks as they have blocks.
+
+    Lines are cut at line feeds and joined to whole records by :func:`_records`;
+    each record is then parsed where it lies.
+    """
+    lines = read_lines(spark, list(layout.paths), line_sep="\n")
+    first = lines.where("block = 0").groupBy("path").agg(F.min("id").alias("header"))  # a row for each file
+    records = _records(lines, layout.sep).join(F.broadcast(first), "path")
+    # The header is a record of its own, and a line feed may leave a carriage return behind.
+    records = records.where((F.col("block") != 0) | (F.col("id") != F.col("header")))
+    if _reader_encoding(layout.encoding) != "utf-8":
+        records = records.withColumn("value", F.decode(F.col("value").cast("binary"), _reader_encoding(layout.encoding)))
+    records = records.withColumn("value", F.regexp_replace("value", r"\r\z", "")).where(F.length("value") > 0)
+    fields = [T.StructField(n, T.StringType()) for n in layout.columns]
+    options = {"sep": layout.sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    if mode == "strict":
+        options["mode"] = "FAILFAST"
+    else:
+        fields.append(T.StructField(CORRUPT, T.StringType()))
+        options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    schema = ", ".join(f"{quoted(f.name)} string" for f in fields)
+    parsed = records.select(F.from_csv("value", schema, options).alias("r"), "path")
+    return parsed.select("r.*", F.col("path").alias("__path"))
+
+
 def scan(spark: SparkSession, layout: Layout, mode: str = "permissive", null_tokens: Sequence[str] = tuple(S.NULL_TOKENS),
          source_column: str | None = None, multi_line: bool = False) -> DataFrame:
     """One scan of the files of a layout, every column text.
 
     ``permissive`` skips lines that are too long and pads short ones with nulls;
-    ``strict`` fails on the first line of the wrong width. A layout whose
-    records span lines, or whose encoding is wide, is read a file in one task:
-    where such a file can be cut is known only from its start.
+    ``strict`` fails on the first line of the wrong width. Files with line breaks
+    in quotes are read a block in a task like any other. Files of a wide encoding,
+    and quoted ones whose lines end with carriage returns alone, are read a file
+    in one task, as is a layout with ``multi_line`` asked for.
     """
     if mode not in ("permissive", "strict"):
         raise ValueError("mode must be 'permissive' or 'strict'")
     names = list(layout.columns)
+    if layout.multi_line and not multi_line and not _is_wide(layout.encoding):
+        whole = set(_breaks_with_returns(spark, list(layout.paths)))
+        cut = tuple(p for p in layout.paths if p not in whole)
+        parts = []
+        if cut:
+            records = _quoted_records(spark, replace(layout, paths=cut), mode)
+            parts.append(_kept(records, layout, names, mode, null_tokens, F.col("__path").alias(source_column) if source_column else None))
+        if whole:
+            parts.append(scan(spark, replace(layout, paths=tuple(sorted(whole))), mode, null_tokens, source_column, multi_line=True))
+        return reduce(DataFrame.unionByName, parts)
     fields = [T.StructField(n, T.StringType()) for n in names]
     reader = (
         spark.read.option("header", True).option("sep", layout.sep).option("quote", '"').option("escape", '"')
@@ -283,25 +377,29 @@ def scan(spark: SparkSession, layout: Layout, mode: str = "permissive", null_tok
     paths = list(layout.paths)
     if mode == "strict":
         df = reader.schema(T.StructType(fields)).option("mode", "FAILFAST").csv(paths)
-        kept = df
     else:
         schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
         df = (
             reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(paths)
         )
+    source = F.col("_metadata.file_path").alias(source_column) if source_column else None
+    return _kept(df, layout, names, mode, null_tokens, source)
+
+
+def _kept(df: DataFrame, layout: Layout, names: list[str], mode: str, null_tokens: Sequence[str], source: Column | None) -> DataFrame:
+    """The rows whose width fits, null tokens as nulls."""
+    if mode != "strict":
         broken = F.col(CORRUPT)
         # The test names a data column, because the source refuses to be read
         # for the broken lines alone.
         fits = broken.isNull() | (_width(broken, layout.sep) <= len(names)) | (col(names[0]) == "\u0000")
-        kept = df.where(fits)
+        df = df.where(fits)
     tokens = list(null_tokens)
     text = {n: col(n) for n in names}
     if _is_cp1252(layout.encoding):
         text = {n: F.translate(c, "".join(map(chr, _CP1252)), "".join(_CP1252.values())) for n, c in text.items()}
     out = [(F.when(~c.isin(tokens), c) if tokens else c).alias(n) for n, c in text.items()]
-    if source_column:
-        out.append(F.col("_metadata.file_path").alias(source_column))
-    return kept.select(*out)
+    return df.select(*out, *([] if source is None else [source]))
 
 
 _BOOLEANS = ["True", "TRUE", "true", "False", "FALSE", "false"]

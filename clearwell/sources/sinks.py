@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..columns import col
@@ -29,6 +32,55 @@ def write_pair(clean: DataFrame, quarantine: DataFrame, clean_path: str, quarant
     quarantine.write.mode(mode).format(format).save(quarantine_path)
 
 
+#: One row for each load that took place.
+_LOADS = "version long, run_id string, clean array<string>, quarantine array<string>"
+
+
+def _head(spark: SparkSession, root: str):
+    """The rows of the latest load and of all loads, as a DataFrame; None where nothing was loaded."""
+    try:
+        loads = spark.read.schema(_LOADS).parquet(f"{root}/loads")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None, None
+    return loads.orderBy(F.desc("version"), "run_id").first(), loads
+
+
+def commit_pair(clean: DataFrame, quarantine: DataFrame, root: str, strategy: str = "REPLACE", run_id: str | None = None) -> int:
+    """Load both outputs so that readers see both new ones or neither; the number of the load.
+
+    Both are staged in folders of their own under ``root``. Then one row that
+    names all folders of either table is added to the ``loads`` table: a single
+    file, which the file system's rename makes visible at once. A load that
+    fails before leaves the tables as they were, and one that is run again
+    under its ``run_id`` after it took place does nothing. ``REPLACE`` leaves
+    earlier folders to readers that began before. One loader at a time.
+    """
+    mode = load_mode(strategy)
+    spark = clean.sparkSession
+    last, loads = _head(spark, root)
+    if run_id is not None and loads is not None:
+        done = loads.where(F.col("run_id") == run_id).select("version").first()
+        if done:
+            return done[0]
+    name = uuid.uuid4().hex
+    staged = {part: f"{root}/{part}/{name}" for part in ("clean", "quarantine")}
+    write_pair(clean, quarantine, *staged.values(), "APPEND")
+    before = {part: last[part] if last and mode == "append" else [] for part in staged}
+    row = (last["version"] + 1 if last else 1, run_id or name, *[[*before[part], staged[part]] for part in staged])
+    spark.createDataFrame([row], _LOADS).coalesce(1).write.mode("append").parquet(f"{root}/loads")
+    return row[0]
+
+
+def read_pair(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The clean and quarantine tables as the latest load left them."""
+    last, _ = _head(spark, root)
+    if last is None:
+        raise ValueError(f"nothing was loaded into {root}")
+    return spark.read.parquet(*last["clean"]), spark.read.parquet(*last["quarantine"])
+
+
 def save_pair(clean: DataFrame, quarantine: DataFrame, clean_table: str, quarantine_table: str,
               strategy: str = "REPLACE", buckets: int | None = None) -> None:
     """The same as catalog tables; with ``buckets`` joins on the business keys need no shuffle."""

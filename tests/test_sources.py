@@ -138,3 +138,81 @@ def test_wide_and_windows_encodings(spark, tmp_path):
     (tmp_path / "c.csv").write_bytes("id,precio\n1,12 €\n2,“é”\n".encode("cp1252"))
     got = [tuple(r) for r in I.read_delimited(spark, str(tmp_path / "c.csv"), encoding="cp1252").orderBy("id").collect()]
     assert got == [(1, "12 €"), (2, "“é”")]
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut every few hundred bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, "700")
+    yield
+    for n, v in zip(names, old, strict=True):
+        spark.conf.set(n, v)
+
+
+def _rows(spark, path, **options):
+    return sorted(tuple(r) for r in I.read_delimited(spark, str(path), infer=False, **options).collect())
+
+
+def _random_csv(seed, newline="\n"):
+    """Quoted fields with separators, escaped quotes, line breaks and lines that look like records; stray quotes in plain ones."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(seed)
+    bits = ["a", "7", ",", '"', '""', "\n", '\n1,"x', '",', " ", "é", 'in"side']
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator=newline)
+    writer.writerow(["id", "t", "n"])
+    rows = []
+    for i in range(300):
+        row = (f"{i:04d}", "".join(rng.choice(bits) for _ in range(rng.randrange(8))) + "z", rng.choice(["k", "two\nlines", "3"]))
+        rows.append(row)
+        if rng.random() < 0.2:  # a stray quote inside and at the end of a plain field
+            out.write(f'{i:04d},5" pipe 6",{row[2].replace(chr(10), " ")}{newline}')
+            rows[-1] = (row[0], '5" pipe 6"', row[2].replace("\n", " "))
+        else:
+            writer.writerow(row)
+    return out.getvalue(), rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quoted_files_are_read_by_many_tasks(spark, tmp_path, small_blocks, seed):
+    text, rows = _random_csv(seed)
+    write(tmp_path, "q.csv", text)
+    layout, = I.layouts(spark, str(tmp_path), sep=",")[0]
+    assert layout.multi_line
+    lines = I.read_lines(spark, str(tmp_path), line_sep="\n")
+    assert lines.select("block").distinct().count() > 5 and lines.rdd.getNumPartitions() > 5
+    plan = I.scan(spark, layout)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" in plan and "FileScan csv" not in plan
+    assert _rows(spark, tmp_path / "q.csv", sep=",", null_tokens=()) == rows
+    assert _rows(spark, tmp_path / "q.csv", sep=",", null_tokens=(), mode="strict") == rows
+
+
+def test_quoted_files_read_as_one_task_reads_them(spark, tmp_path, small_blocks):
+    """Carriage returns before line feeds, blank lines, short and long records, another encoding, and files side by side."""
+    body = 'id,t,n\r\n1,"a\r\nb, ""c""",é\r\n\r\n2,short\r\n3,"x\r\ny",long,1\r\n' + "".join(f'{i},"año {i}\r\nmás",z\r\n' for i in range(10, 120))
+    write(tmp_path, "w.csv", body, "latin-1")
+    whole = _rows(spark, tmp_path / "w.csv", multi_line=True)
+    cut = [tuple(None if v is None else v.replace("\r\n", "\n") for v in r) for r in _rows(spark, tmp_path / "w.csv")]
+    assert cut == whole and ("2", "short", None) in cut and not [r for r in cut if r[0] == "3"] and len(cut) == 112
+    with pytest.raises(Exception, match="(?i)malformed"):
+        _rows(spark, tmp_path / "w.csv", mode="strict")
+    folder = tmp_path / "many"
+    folder.mkdir()
+    write(folder, "a.csv", 'id,t,n\n1,"a\nb",c\n')
+    write(folder, "b.csv", "id,t,n\n2,plain,c\n")
+    write(folder, "c.csv", 'id,t,n\r3,"d\re",f\r4,g,h\r')
+    got = _rows(spark, folder)
+    assert [r[0] for r in got] == ["1", "2", "3", "4"] and got[0][1] == "a\nb" and got[2][2] == "f"
+    frames, errors = I.read_batch(spark, str(folder))
+    assert not errors and sum(f.count() for f in frames) == 4 and all("source_name" in f.columns for f in frames)
+
+
+def test_a_quote_that_never_closes(spark, tmp_path):
+    write(tmp_path, "o.csv", 'id,t,n\n1,"open,2\n3,b,4\n')
+    assert _rows(spark, tmp_path / "o.csv", sep=",") == _rows(spark, tmp_path / "o.csv", sep=",", multi_line=True)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from clearwell.operators import duplicates as D
 from clearwell.operators import filters as L
 from clearwell.operators.profile import null_profile
 from clearwell.plans import analysis as A
+from clearwell.plans import expectations as X
 from clearwell.plans import findings as N
 from clearwell.plans.report import report_tables
 
@@ -241,3 +244,61 @@ def report_no_findings(spark, d):
        "FROM (SELECT count(*) AS n FROM v GROUP BY ALL)").replace("GROUP BY ALL", "GROUP BY id, fecha_inicio, fecha_fin, activo, total").replace("sum(n) AS rows", "CAST(sum(n) AS BIGINT) AS rows").replace("sum(n - 1) AS duplicate_rows", "CAST(sum(n - 1) AS BIGINT) AS duplicate_rows"))
 def report_duplicates(spark, d):
     return report_tables(A.analyze(source(spark, d, "dirty_orders"), settled=False))["duplicates"]
+
+
+# --- many sources, whole results --------------------------------------------------------------
+
+def _summary_sql(name, mode="direct"):
+    return f"""
+SELECT b.source_name, b.status, '' AS error, '' AS sheet_name, '{mode}' AS analysis_mode, false AS approximate_statistics, b.rows, b.columns, b.total_null_cells,
+       b.null_percent_overall, b.duplicate_rows, round(100.0 * b.duplicate_rows / b.rows, 6) AS duplicate_percent,
+       i.critical_issues, i.severe_issues, i.warning_issues
+FROM ({_batch_sql(name)}) AS b, (SELECT CAST(count(*) FILTER (level = 'critical') AS BIGINT) AS critical_issues,
+     CAST(count(*) FILTER (level = 'severe') AS BIGINT) AS severe_issues, CAST(count(*) FILTER (level = 'warnings') AS BIGINT) AS warning_issues FROM ({_issues(name)})) AS i"""
+
+
+_BROKEN = ("SELECT 'broken' AS source_name, 'error' AS status, 'no such file' AS error, '' AS sheet_name, '' AS analysis_mode, false AS approximate_statistics, "
+           "CAST(0 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS columns, CAST(0 AS BIGINT) AS total_null_cells, CAST(0 AS DOUBLE) AS null_percent_overall, "
+           "CAST(0 AS BIGINT) AS duplicate_rows, CAST(0 AS DOUBLE) AS duplicate_percent, CAST(0 AS BIGINT) AS critical_issues, CAST(0 AS BIGINT) AS severe_issues, "
+           "CAST(0 AS BIGINT) AS warning_issues FROM part HAVING count(*) > 0")
+
+
+def _sources(spark, d, names=_VIEWS):
+    def broken(_):
+        raise OSError("no such file")
+
+    middle = len(names) // 2
+    items = [(n, lambda s, n=n: source(s, d, n)) for n in names]
+    return dict([*items[:middle], ("broken", broken), *items[middle:]])
+
+
+def _exact(df):
+    return r6(df, "null_percent_overall", "duplicate_percent")
+
+
+@query("\nUNION ALL\n".join([*(f"SELECT * FROM ({_summary_sql(n)})" for n in _VIEWS), _BROKEN]))
+def batch_summary_all_columns(spark, d):
+    """All columns of the summary, with a source in the middle that cannot be read."""
+    return _exact(A.summarize_batch(spark, _sources(spark, d)))
+
+
+@query("\nUNION ALL\n".join([*(f"SELECT * FROM ({_summary_sql(n, 'grouped')})" for n in _VIEWS), _BROKEN]))
+def analyze_many_summary(spark, d):
+    return _exact(A.analyze_many(spark, _sources(spark, d)).summary)
+
+
+@query("\nUNION ALL\n".join(f"SELECT '{n}' AS source_name, category, action, column_name, severity FROM ({_advice(n)})" for n in _VIEWS))
+def analyze_many_recommendations(spark, d):
+    """The recommendations of every source, from passes that sources of one layout share."""
+    return A.analyze_many(spark, _sources(spark, d)).analysis.recommendations.drop("detail")
+
+
+# --- expectations that the data meets -----------------------------------------------------------
+
+@query(with_source("dirty_customer", "SELECT CAST(sum((non_null = rows)::INT + (uniques = non_null AND non_null > 0)::INT) AS BIGINT) AS expectations, CAST(0 AS BIGINT) AS failed FROM ("
+       + union_columns("dirty_customer", "SELECT count(*) AS rows, count({c}) AS non_null, count(DISTINCT {c}) AS uniques FROM v") + ")"))
+def default_expectations_hold(spark, d):
+    """The expectations that a table meets today, fed back as a configuration: none fails."""
+    m = A.collect_metrics(source(spark, d, "dirty_customer"))
+    checked = X.check_expectations(m, X.as_config(X.default_expectations(m)))
+    return checked.agg(F.count(F.lit(1)).alias("expectations"), F.count_if(~F.col("passed")).alias("failed"))

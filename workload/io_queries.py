@@ -114,6 +114,53 @@ def malformed_sample(spark, d):
     return first.agg(F.max("lines").alias("lines"), F.max("expected_columns").alias("expected_columns"), F.max("actual_columns").alias("actual_columns"))
 
 
+@query("""SELECT part, line AS line_number, 4 AS expected_columns, 5 AS actual_columns, content FROM (
+SELECT *, row_number() OVER (PARTITION BY part ORDER BY line) AS n FROM (
+SELECT o_orderkey % 10 AS last, CAST(o_orderkey // 4000 AS BIGINT) AS part, row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) + 1 AS line,
+       concat_ws(',', o_orderkey, o_orderstatus, o_orderpriority, 'x,y') AS content FROM orders) WHERE last = 0) WHERE n <= 5""")
+def export_bad_lines(spark, d):
+    """The first broken lines of each file, with their numbers and contents, exported as CSV and read back."""
+    part = F.floor(F.col("o_orderkey") / 4000)
+    tail = F.when(F.col("o_orderkey") % 10 == 0, "x,y").otherwise("x")
+    line = F.concat_ws(",", "o_orderkey", "o_orderstatus", "o_orderpriority", tail).alias("o_orderkey,o_orderstatus,o_orderpriority,mark")
+    df = source(spark, d, "orders").select("o_orderkey", part.alias("part"), line)
+    path = scratch_path(spark, "numbered")
+    ordered = df.repartition("part").sortWithinPartitions("part", "o_orderkey").drop("o_orderkey")
+    ordered.write.partitionBy("part").options(header=True, sep="\u0001", quote="").csv(path)
+    _, sample = I.malformed_rows(spark, path, ",")
+    out = scratch_path(spark, "bad-lines")
+    sinks.export_csv(sample.withColumn("part", F.regexp_extract("path", "part=([0-9]+)", 1).cast("bigint")).drop("path"), out)
+    return spark.read.csv(out, header=True, schema="line_number bigint, expected_columns int, actual_columns int, content string, part bigint")
+
+
+@query("SELECT 'loaded' AS state, CAST(5 AS BIGINT) AS columns, count(*) AS rows FROM customer UNION ALL SELECT 'loaded', 4, count(*) FROM supplier "
+       "UNION ALL SELECT 'no separator gives two columns', 1, count(*) FROM part")
+def read_batch_failures(spark, d):
+    """A source without a separator in the middle of a batch is named as a failure; the others are loaded."""
+    paths = {
+        "a": _written(spark, source(spark, d, "customer"), "a", sep=";"),
+        "odd": _written(spark, source(spark, d, "part").select("p_partkey").repartition(1), "odd"),
+        "b": _written(spark, source(spark, d, "supplier"), "b", sep="|"),
+    }
+    frames, failures = I.read_batch(spark, list(paths.values()))
+    rows = [f.agg(F.lit("loaded").alias("state"), F.lit(len(f.columns) - 1).cast("bigint").alias("columns"), F.count(F.lit(1)).alias("rows")) for f in frames]
+    for path, reason in failures.items():
+        lines = I.read_lines(spark, path)
+        rows.append(lines.agg(F.lit(reason).alias("state"), F.lit(1).cast("bigint").alias("columns"), (F.count(F.lit(1)) - 1).alias("rows")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents")
+def read_quoted_strict(spark, d):
+    """Quoted line breaks in strict mode, cut into blocks like any other file."""
+    path = _written(spark, source(spark, d, "documents"), "texts", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    read = I.read_delimited(spark, path, sep=",", infer=False, mode="strict")
+    return read.select(F.col("doc_id").cast("bigint"), F.md5("text").alias("digest"), "lang", "source", F.col("n_chars").cast("bigint"))
+
+
 @query("""SELECT CAST(count(*) FILTER (p_partkey % 3 = 0) AS BIGINT) AS null_names, CAST(count(*) FILTER (p_partkey % 5 = 0) AS BIGINT) AS null_brands, count(*) AS rows FROM part""")
 def null_tokens(spark, d):
     df = source(spark, d, "part").select(
@@ -184,6 +231,35 @@ def write_pair(spark, d):
     return first.unionByName(state("APPEND"))
 
 
+@query(with_source("dirty_orders", f"SELECT 'first' AS step, 1 AS version, {big(f'count(*) FILTER ({_OK})')} AS clean_rows, {big(f'count(*) FILTER (NOT ({_OK}))')} AS rejected_rows FROM v "
+       f"UNION ALL SELECT 'broken', 1, {big(f'count(*) FILTER ({_OK})')}, {big(f'count(*) FILTER (NOT ({_OK}))')} FROM v "
+       f"UNION ALL SELECT 'again', 2, {big(f'2 * count(*) FILTER ({_OK})')}, {big(f'2 * count(*) FILTER (NOT ({_OK}))')} FROM v"))
+def commit_pair(spark, d):
+    """A load whose second write breaks leaves both tables as they were; the same run loaded twice counts once."""
+    df = source(spark, d, "dirty_orders")
+    clean, rejected = C.clean_and_quarantine(df, _types(df))
+    rejected = rejected.select("row_json", "column_name")
+    root = scratch_path(spark, "pair")
+
+    def state(step, version):
+        good, bad = sinks.read_pair(spark, root)
+        entries = bad.groupBy("row_json").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("column_name").alias("columns"))
+        rows = entries.agg(F.coalesce(F.sum(F.col("entries") / F.col("columns")), F.lit(0)).cast("bigint").alias("rejected_rows"))
+        kept = good.agg(F.count(F.lit(1)).alias("clean_rows"))
+        return kept.crossJoin(rows).select(F.lit(step).alias("step"), F.lit(version).alias("version"), "clean_rows", "rejected_rows")  # one row each
+
+    steps = [state("first", sinks.commit_pair(clean, rejected, root, run_id="a"))]
+    broken = rejected.withColumn("row_json", F.when(F.col("row_json").isNotNull(), F.raise_error(F.lit("disk full"))).otherwise(F.col("row_json")).cast("string"))
+    try:
+        version = sinks.commit_pair(clean.limit(1), broken, root, "REPLACE", run_id="b")
+    except (PySparkException, Py4JJavaError):
+        version = 1
+    steps.append(state("broken", version))
+    sinks.commit_pair(clean, rejected, root, "APPEND", run_id="c")
+    steps.append(state("again", sinks.commit_pair(clean, rejected, root, "APPEND", run_id="c")))
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
 @query("SELECT count(*) AS rows, count(DISTINCT o_custkey) AS keys, CAST(8 AS BIGINT) AS buckets FROM orders")
 def bucketed_table(spark, d):
     """Saved as a catalog table with buckets on the business key."""
