@@ -139,9 +139,11 @@ def top_values(df: DataFrame, k: int = 3, columns=None, by: Sequence[str] = ())
     """The ``k`` most frequent values of each column; ties go to the lower value.
 
     Values are counted by key and by the first ``PREFIX`` characters, which sort
-    as the values do as far as they differ there. Only texts that can still be
-    among the first ``k`` are then read whole: those whose rank by count and
-    prefix, ties included, is at most ``k``.
+    as the values do as far as they differ there. Values of one count and prefix
+    form a class; the classes that reach the first ``k`` are at most ``k`` a
+    column, and no task ranks more than ``k`` of them for each that it read. Only
+    texts of these classes are read whole, and where a class has more values
+    than are wanted of it, its lowest ones are ranked, again ``k`` a task at most.
     """
     by = as_list(by)
     group = [*by, "column_name"]
@@ -149,18 +151,23 @@ def top_values(df: DataFrame, k: int = 3, columns=None, by: Sequence[str] = ())
     fields = profiled_fields(df, columns, by)
     cells = long_form(df, fields, by).withColumn("value_key", value_key("value"))
     counts = cells.groupBy(*keys, "value_key", F.substring("value", 1, PREFIX).alias("prefix")).agg(F.count(F.lit(1)).alias("cnt"))
-    near = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "prefix")
-    candidates = counts.withColumn("__rank", F.rank().over(near)).where(F.col("__rank") <= k).drop("__rank")
-    whole = F.col("value_key") == F.col("prefix")
-    values = candidates.where(whole).select(*keys, "value_key", "cnt", F.col("prefix").alias("value"))
-    if any(not _always_short(f) for f in fields):
-        wanted = candidates.where(~whole).select(*keys, "value_key", "cnt")
-        same = reduce(lambda a, b: a & b, [F.col(f"c.{quoted(g)}").eqNullSafe(F.col(f"w.{quoted(g)}")) for g in [*group, "value_key"]])
-        long_cells = long_form(df, [f for f in fields if not _always_short(f)], by)
-        long_cells = long_cells.where((F.length("value") > PREFIX) | (F.octet_length("value") > KEY_BYTES))
-        found = long_cells.withColumn("value_key", value_key("value")).alias("c").join(wanted.alias("w"), same)
-        columns_ = [F.col(f"c.{quoted(g)}") for g in [*group, "value_key"]]
-        values = values.unionByName(found.groupBy(*columns_, F.col("w.cnt").alias("cnt")).agg(F.first("c.value").alias("value")))
+    whole = (F.col("value_key") == F.col("prefix")).alias("whole")
+    classes = counts.groupBy(*keys, "cnt", "prefix", whole).agg(F.count(F.lit(1)).alias("ties"))
+    # A value that is its own prefix comes before the longer ones.
+    order = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "prefix", F.desc("whole"))
+    near = classes.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k)
+    before = F.coalesce(F.sum("ties").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = near.withColumn("wanted", F.lit(k) - before).where(F.col("wanted") > 0)
+    values = near.where("whole").select(*keys, "cnt", F.col("prefix").alias("value"))
+    long = [f for f in fields if not _always_short(f)]
+    if long:
+        classes_ = near.where(~F.col("whole")).select(*[col(g).alias(f"__g{i}") for i, g in enumerate(group)], "prefix", F.col("cnt").alias("__cnt"), "wanted")
+        here = reduce(lambda a, b: a & b, [col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)], F.substring("value", 1, PREFIX) == F.col("prefix"))
+        texts = long_form(df, long, by).where((F.length("value") > PREFIX) | (F.octet_length("value") > KEY_BYTES))
+        found = texts.join(classes_, here).groupBy(*keys, "prefix", "__cnt", "wanted", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        lowest = Window.partitionBy(*keys, "prefix", "__cnt").orderBy("value")
+        found = found.where(F.col("cnt") == F.col("__cnt")).withColumn("__rank", F.row_number().over(lowest)).where(F.col("__rank") <= k)
+        values = values.unionByName(found.where(F.col("__rank") <= F.col("wanted")).select(*keys, "cnt", "value"))
     last = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "value")
     return values.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select(*keys, "rank", "value", "cnt")
 

@@ -178,3 +178,23 @@ def test_top_values_order_by_the_values_themselves(spark):
     both = df.withColumn("g", F.when(F.col("v") < "b", None).otherwise("x"))
     got = [(r["g"], r["value"]) for r in Q.top_values(both, 1, by="g").orderBy("g").collect()]
     assert got == [(None, "a" * 70), ("x", "b" * 70)]
+
+
+def test_top_values_among_many_ties(spark):
+    """Thousands of texts of one count and one prefix: the lowest are found, and tasks rank k rows of them at most."""
+    from collections import Counter
+
+    long = "p" * 70
+    rows = [(f"{long}{i:06d}", f"u{i}", "g" if i % 2 else None) for i in range(4000)]
+    rows += [(long, "u1", "g"), (long[:60], "u2", None), ("é" * 40, "u3", "g"), ("a" * 200, "x", "g"), ("a" * 200, "x", "g"), (None, None, "g")]
+    df = spark.createDataFrame(rows, "t string, u string, s string").repartition(8)
+    for by in ((), ("s",)):
+        got = Q.top_values(df, 4, ["t", "u"], by=by).collect()
+        for c, place in (("t", 0), ("u", 1)):
+            for group in ([None, "g"] if by else ["all"]):
+                values = Counter(r[place] for r in rows if r[place] is not None and (not by or r[2] == group))
+                want = sorted(values.items(), key=lambda x: (-x[1], x[0]))[:4]
+                mine = sorted((r["rank"], r["value"], r["cnt"]) for r in got if r["column_name"] == c and (not by or r["s"] == group))
+                assert mine == [(i + 1, *w) for i, w in enumerate(want)]
+    plan = Q.top_values(df, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4  # before and after the exchange, of classes and of tied texts
