@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import written
+from .components import MOST_IDS, written
 from .words import small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,7 +98,11 @@ def _segments(rows: DataFrame, rounds: int) -> list[DataFrame]:
 
 
 def prefix_names(rows: DataFrame, lengths: DataFrame, rounds: int) -> DataFrame:
-    """``conv, depth, name``: for every prefix of every conversation, down to the empty one, the smallest conversation that begins so."""
+    """``conv, depth, name``: for every prefix of every conversation, down to the empty one, the smallest conversation that begins so.
+
+    A prefix of one conversation is named by it; the names of the others are
+    counted and broadcast, or joined by shuffle beyond ``MOST_IDS`` of them.
+    """
     least = lengths.agg(F.min("conv").alias("name"))
     known = [written(lengths.join(F.broadcast(least)).select("conv", F.lit(0).cast("long").alias("depth"), "name"), "names")]  # one row
     segments = _segments(rows, rounds)
@@ -106,9 +110,10 @@ def prefix_names(rows: DataFrame, lengths: DataFrame, rounds: int) -> DataFrame:
         # From each cut that has a name, the next 2**j turns, where the conversation has them: the cut in the middle.
         cuts = reduce(DataFrame.unionByName, known).join(segments[j].withColumnRenamed("at", "depth"), ["conv", "depth"])
         key = ["name", "depth", "digest"]
-        smallest = cuts.groupBy(key).agg(F.min("conv").alias("smallest"))
-        found = cuts.join(smallest, key).select("conv", (F.col("depth") + (1 << j)).alias("depth"), F.col("smallest").alias("name"))
-        known.append(written(found, "names"))
+        several = cuts.groupBy(key).agg(F.min("conv").alias("smallest"), F.count("*").alias("n")).where("n > 1").drop("n")
+        several = written(several, "shared")  # apart from the join, so that Spark can split a prefix of many conversations there
+        found = cuts.join(F.broadcast(several) if several.count() <= MOST_IDS else several, key, "left")
+        known.append(written(found.select("conv", (F.col("depth") + (1 << j)).alias("depth"), F.coalesce("smallest", "conv").alias("name")), "names"))
     return reduce(DataFrame.unionByName, known)
 
 
