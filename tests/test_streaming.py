@@ -62,3 +62,57 @@ def test_stream_is_split(spark, tmp_path):
     types = [ColumnType("id", TEXT), ColumnType("v", TEXT), ColumnType("fecha", DATE)]
     T.start_clean(T.file_stream(spark, path, df.schema, 2), types, good, bad, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(good).count() == 666 and spark.read.parquet(bad).count() == 334
+
+
+def _numbers(spark):
+    df = spark.range(1000).selectExpr(
+        "id", "if(id % 9 = 0, null, 1e6 + id * 0.25) AS x", "if(id % 10 = 0, double('nan'), cast(id % 13 as double)) AS y", "cast(null as int) AS none", "if(id % 4 = 0, ' ', 'v') AS t")
+    return df
+
+
+def _check_totals(df, found, rows):
+    whole = {r["column_name"]: r for r in column_profile(df).collect()}
+    got = {r["column_name"]: r for r in found.collect()}
+    assert set(got) == set(whole)
+    for c, w in whole.items():
+        g = got[c]
+        assert (g["rows"], g["null_count"], g["blank_count"], g["min"], g["max"]) == (rows, w["null_count"], w["blank_count"] or 0, w["min"], w["max"])
+        for m in ("mean", "std"):
+            assert g[m] == w[m] or g[m] == pytest.approx(w[m], rel=1e-9)
+        assert w["median"] is None and g["approx_median"] is None or abs(g["approx_median"] - w["median"]) <= 0.02 * (w["max"] - w["min"])
+    return got
+
+
+def test_running_state_equals_the_whole_table(spark, tmp_path):
+    df = _numbers(spark)
+    path, out = str(tmp_path / "in"), tmp_path / "out"
+    df.repartition(7).write.parquet(path)
+    T.start_running_profile(T.file_stream(spark, path, df.schema, 1), str(out), str(tmp_path / "cp")).awaitTermination()
+    got = _check_totals(df, T.running_totals(spark, str(out)), 1000)
+    assert got["id"]["complete_rows"] == 0
+    assert len(list(out.rglob("*.parquet"))) == 2  # seven batches came
+
+
+def test_running_state_of_batches_run_again(spark, tmp_path):
+    df, out = _numbers(spark), str(tmp_path / "out")
+    write = T.running_writer(out)
+    with pytest.raises(ValueError):
+        T.running_totals(spark, out)
+    for batch_id in (0, 1, 1, 2, 2, 3):
+        write(df.where(f"id % 4 = {batch_id}"), batch_id)
+    _check_totals(df, T.running_totals(spark, out), 1000)
+    # The write of a batch breaks off: the state before it is still there, and the batch can run again.
+    for f in (tmp_path / "out" / "state" / "slot=0").glob("*"):
+        f.unlink()
+    _check_totals(df, T.running_totals(spark, out), 1000)
+    write(df, 4)
+    assert T.running_totals(spark, out).first()["rows"] == 2000
+
+
+def test_states_merge_in_any_grouping(spark):
+    df = _numbers(spark)
+    parts = [T.batch_state(df.where(f"id % 3 = {i}")) for i in range(3)]
+    left = T.merge_states(T.merge_states(parts[0].union(parts[1])).union(parts[2]))
+    right = T.merge_states(parts[0].union(T.merge_states(parts[1].union(parts[2]))))
+    keep = lambda d: {r["column_name"]: (r["rows"], r["non_null"], r["min"], r["max"], r["mean"] and round(r["mean"], 6), r["squares"] and round(r["squares"], 3)) for r in d.collect()}
+    assert keep(left) == keep(right) == keep(T.batch_state(df))

@@ -339,6 +339,21 @@ def incremental_table(spark, d):
     return r6(T.table_totals(spark, out), "complete_percent").drop("batches")
 
 
+_MOMENTS = """SELECT {i} AS position, '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS null_count, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
+round(CAST(avg({c}) AS DOUBLE), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM events"""
+
+
+@query(" UNION ALL ".join(_MOMENTS.format(i=i, c=c) for i, (c, k) in enumerate(SCHEMAS["events"]) if k == "n"))
+def running_profile(spark, d):
+    """Extremes, mean and deviation kept over micro-batches in one state equal those of the whole table."""
+    df = source(spark, d, "events")
+    out = scratch_path(spark, "running-profile")
+    stream = T.file_stream(spark, _drops(spark, df, "events"), df.schema, files_per_batch=1)
+    _run(T.start_running_profile(stream, out, scratch_path(spark, "checkpoint")))
+    found = T.running_totals(spark, out).where(F.col("mean").isNotNull())
+    return r6(found, "mean", "std").select("position", "column_name", "rows", "null_count", "min", "max", "mean", "std")
+
+
 @query(with_source("dirty_orders", "SELECT DISTINCT * FROM v"))
 def streaming_duplicates(spark, d):
     """Rows seen in an earlier file are dropped."""
