@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -52,8 +53,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+LONG_WORD = 64  # bytes
+
+
 def symbols(raw: bytes) -> np.ndarray:
-    """One 64-bit symbol for each word, equal for equal words."""
+    """One 64-bit symbol for each word, equal for equal words.
+
+    Words of more than ``LONG_WORD`` bytes are hashed by XXH64: sums modulo a
+    power of two do not tell certain words of a thousand bytes apart.
+    """
     data = np.frombuffer(raw, dtype=np.uint8)
     if not len(data):
         return np.empty(0, dtype=np.uint64)
@@ -62,7 +70,10 @@ def symbols(raw: bytes) -> np.ndarray:
     up, down = _OF_BYTES.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    found = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        found[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]])
+    return found
 
 
 def ngrams(symbols_: np.ndarray, n: int) -> np.ndarray:
