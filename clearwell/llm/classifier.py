@@ -72,6 +72,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 6000,
     ``quality``. At most ``sample`` labelled rows that are ``usable`` are taken,
     those with the smallest hash of their id: that bound is what makes the
     broadcast small (``sample * rank + 2008 * rank`` floats) at any input size.
+    Where ``docs`` has several rows of one id, the text of the smallest hash
+    stands for it.
     """
     spark = docs.sparkSession
     chosen = (
@@ -91,7 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 6000,
         return [batch.column(0), pa.array([p.tobytes() for p in present], pa.binary()), pa.array(values, pa.binary())]
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = map_batches(source.join(F.broadcast(picked), "doc_id").select("quality", "text"), per_batch, "quality int, present binary, terms binary")
+    texts = source.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = map_batches(texts.select("quality", "text"), per_batch, "quality int, present binary, terms binary")
     got = sorted((bytes(r["present"]), bytes(r["terms"]), r["quality"]) for r in rows.collect())
     if not got:
         return empty
