@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from clearwell.llm import classifier, interpolation, pivots, simhash, suffix_trees, templates
 from clearwell.llm.components import components
+from clearwell.llm.suffix_trees import digests, without_repeats
+from clearwell.llm.words import symbols
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -294,3 +296,41 @@ def test_quality_classifier(spark):
     nothing = classifier.fit(docs, labels.limit(0), usable=F.lit(True))
     assert {r["score"] for r in classifier.score(docs, nothing).collect()} == {0.5}
     assert classifier.score(docs.limit(0), space).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    """Parts of an item in several rows of one id are no leak, and a clean row beside a leaking one stays."""
+    item = "the quick brown fox jumps over the lazy dog again and then it sleeps under a tall tree"
+    words = item.split()
+    parts = [" ".join(words[i : i + 7]) + f" end{i}" for i in (0, 3, 6, 9, 11)]
+    bench = spark.createDataFrame([(8, item)], "item_id long, text string")
+    rows = [(None, p) for p in parts] + [(5, p) for p in parts] + [(6, f"so {item} it goes"), (6, "nothing of it here"), (None, f"and {item}"), (None, None), (7, item), (7, item)]
+    docs = spark.createDataFrame([(*r, 1, "clash") for r in rows], "doc_id long, text string, of int, item_id string")
+    got = Counter((r["doc_id"], r["contaminated"]) for r in templates.decontaminate(docs, bench).collect())
+    assert got == Counter({(None, False): 6, (None, True): 1, (5, False): 5, (6, True): 1, (6, False): 1, (7, True): 2})
+    kept = templates.without_leaks(docs, bench)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([r for r in rows if item not in (r[1] or "")])
+    assert templates.without_leaks(docs, bench.limit(0)).count() == len(rows) and templates.without_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_long_words_that_sums_do_not_tell_apart(spark):
+    """A word of 2,048 letters and its complement, of which polynomial sums modulo 2**64 are equal."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert len(set(symbols(f"{word} {other} {word}".encode()).tolist())) == 2
+    shared = " ".join(f"w{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, f"{shared} {word}"), (2, f"{shared} {other}"), (3, f"{shared} {word}")], "doc_id long, text string")
+    removed = {r["doc_id"]: r["n_removed"] for r in digests(without_repeats(docs)).collect()}
+    assert removed == {1: 0, 2: 0, 3: 50}
+
+
+def test_the_fit_is_bounded_where_ids_repeat(spark):
+    """Thousands of rows of one id are one labelled row, and their order does not matter."""
+    rows = [(1, f"good text {i % 7} of words") for i in range(3000)] + [(i, f"bad {i} !!") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 12)] + [(1, 1)], "doc_id long, quality int")
+    space = classifier.fit(docs.repartition(5), labels, F.lit(True), sample=6)
+    assert len(space.labels) <= 6
+    whole = classifier.fit(docs.repartition(3), labels, F.lit(True), sample=100)
+    assert len(whole.labels) == 11 and whole.labels.sum() == 1
