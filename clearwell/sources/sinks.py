@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..columns import col
+from ..columns import as_list, col, is_text
 from ..operators.cleaning import business_keys
 
 _MODES = {"APPEND": "append", "REPLACE": "overwrite"}
@@ -93,6 +95,72 @@ def save_pair(clean: DataFrame, quarantine: DataFrame, clean_table: str, quarant
     quarantine.write.mode(mode).saveAsTable(quarantine_table)
 
 
+_BITS = 6  # of the place of a value among the quantiles of its key
+
+
+def _ordered(field) -> Column:
+    """A number that grows with a value: the value itself, or the first bytes of a text."""
+    c = col(field.name)
+    if is_text(field):
+        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0")
+        return F.when(c.isNotNull(), F.conv(head, 16, 10).cast("double"))
+    if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return c.cast("double")
+
+
+def _curve(places: list[Column], bits: int) -> Column:
+    """The bits of several places in turn, highest first: rows near in every key are near in this number."""
+    z = F.lit(0).cast("bigint")
+    for bit in reversed(range(bits)):
+        for place in places:
+            z = F.shiftleft(z, 1) + F.shiftright(place, bit).bitwiseAND(1)
+    return z
+
+
+def write_clustered(df: DataFrame, path: str, keys=None, files: int | None = None, mode: str = "overwrite",
+                    row_group: int = 64 << 20, page_rows: int = 20_000) -> None:
+    """Write rows so that a condition on any one of several keys reads few files, row groups and pages.
+
+    Each key is cut at its quantiles (one aggregate finds them for all keys),
+    and rows are dealt by ranges of the places' interleaved bits; the hash of a
+    row and its place divides places that hold too much, so a value of a third of all rows
+    fills many files like any other rows. Inside a file rows are sorted, and
+    Parquet keeps the least and greatest value of each row group and page.
+    ``keys`` are the business keys by default; nulls come first.
+    """
+    keys = as_list(keys) or business_keys(df)
+    if not keys:
+        raise ValueError("the table has no business key; name the keys")
+    fields = {f.name: f for f in df.schema.fields}
+    if unknown := [k for k in keys if k not in fields]:
+        raise ValueError(f"unknown columns: {unknown}")
+    cuts = [i / (1 << _BITS) for i in range(1, 1 << _BITS)]
+    bounds = df.agg(*[F.percentile_approx(_ordered(fields[k]), cuts, 10_000).alias(f"q{i}") for i, k in enumerate(keys)]).first()
+    places = []
+    for i, key in enumerate(keys):
+        cut = sorted(set(bounds[i] or []))
+        passed = reduce(lambda a, b: a + b, [(_ordered(fields[key]) >= F.lit(float(b))).cast("bigint") for b in cut], F.lit(0).cast("bigint"))
+        # Few different values are spread over all bits.
+        places.append(F.coalesce(F.floor(passed * F.lit(((1 << _BITS) - 1) / max(len(cut), 1))).cast("bigint"), F.lit(0).cast("bigint")))
+    dealt = df.withColumns({"__curve": _curve(places, _BITS), "__row": F.xxhash64(*[col(c) for c in df.columns], F.monotonically_increasing_id())})
+    order = ["__curve", *[col(k) for k in keys], "__row"]
+    ranged = dealt.repartitionByRange(files, *order) if files else dealt.repartitionByRange(*order)
+    laid_out = ranged.sortWithinPartitions(*order).drop("__curve", "__row")
+    laid_out.write.mode(mode).option("parquet.block.size", row_group).option("parquet.page.row.count.limit", page_rows).parquet(path)
+
+
+def files_to_read(spark: SparkSession, path: str, column: str, values: DataFrame) -> DataFrame:
+    """``value, files, of``: for each value of the one column of ``values`` how many of a table's files can hold it, by their ranges."""
+    table = spark.read.parquet(path)
+    ranges = table.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(col(column)).alias("low"), F.max(col(column)).alias("high"))
+    wanted = values.toDF("value").distinct()
+    total = ranges.agg(F.count(F.lit(1)).alias("of"))
+    # A row for each file, which the driver lists anyway.
+    held = wanted.join(F.broadcast(ranges), F.col("value").between(F.col("low"), F.col("high")), "left").groupBy("value").agg(F.count("file").alias("files"))
+    return held.crossJoin(F.broadcast(total))  # one row
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """A small report as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)

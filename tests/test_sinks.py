@@ -40,3 +40,23 @@ def test_an_empty_load_keeps_its_columns(spark, tmp_path):
     sinks.commit_pair(empty, empty, root)
     clean, bad = sinks.read_pair(spark, root)
     assert clean.columns == ["a", "b"] and clean.count() == bad.count() == 0
+
+
+def test_clustered_files_can_be_skipped_by_any_key(spark, tmp_path):
+    rows = [(i, (i * 7919) % 2000, f"k{(i * 31) % 50:02d}", None if i % 11 == 0 else "h") for i in range(4000)] + [(7, 7, "k07", "hot")] * 2000
+    df = spark.createDataFrame(rows, "a int, b long, c string, d string").repartition(5)
+    path = str(tmp_path / "t")
+    sinks.write_clustered(df, path, ["a", "b"], files=16)
+    back = spark.read.parquet(path)
+    assert back.columns == df.columns and sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    for key in ("a", "b"):
+        held = sinks.files_to_read(spark, path, key, df.where("a != 7").select(key)).agg(F.avg(F.col("files") / F.col("of"))).first()[0]
+        assert held < 0.5, (key, held)
+    sizes = [r["n"] for r in back.groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 12 and max(sizes) < 2.5 * sum(sizes) / len(sizes)  # the hot key is dealt out
+    sinks.write_clustered(df, path, "c", files=8)
+    assert sinks.files_to_read(spark, path, "c", df.select("c")).agg(F.avg("files")).first()[0] < 4
+    sinks.write_clustered(df.limit(0), path, ["a", "d"])
+    assert spark.read.parquet(path).count() == 0
+    with pytest.raises(ValueError):
+        sinks.write_clustered(df, path, "zz")

@@ -272,6 +272,24 @@ def bucketed_table(spark, d):
     return counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"), F.lit(int(buckets[0])).cast("bigint").alias("buckets"))
 
 
+@query("SELECT 'l_partkey' AS key, count(*) AS rows, count(DISTINCT l_partkey) AS keys, true AS few_files FROM lineitem "
+       "UNION ALL SELECT 'l_shipdate', count(*), count(DISTINCT l_shipdate), true FROM lineitem "
+       "UNION ALL SELECT 'l_returnflag', count(*), count(DISTINCT l_returnflag), true FROM lineitem")
+def clustered_table(spark, d):
+    """A table laid out by three keys at once: a value of a selective key can lie in less than half of the 32 files, and no row is lost."""
+    df = source(spark, d, "lineitem")
+    path = scratch_path(spark, "clustered")
+    keys = ["l_partkey", "l_shipdate", "l_returnflag"]
+    sinks.write_clustered(df, path, keys, files=32)
+    read = spark.read.parquet(path)
+    rows = []
+    for key, share in zip(keys, (0.5, 0.5, 0.8), strict=True):
+        held = sinks.files_to_read(spark, path, key, read.select(key))
+        found = held.agg(F.count(F.lit(1)).alias("keys"), (F.avg(F.col("files") / F.col("of")) < share).alias("few_files"))
+        rows.append(read.agg(F.lit(key).alias("key"), F.count(F.lit(1)).alias("rows")).crossJoin(found))  # one row each
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("SELECT 'run-1' AS run_id, count(*) AS columns FROM (" + union_columns("dirty_nulls", "SELECT '{c}' AS c FROM (SELECT count(*) FROM part)") + ") UNION ALL SELECT 'run-2', count(*) FROM ("
        + union_columns("dirty_nulls", "SELECT '{c}' AS c FROM (SELECT count(*) FROM part)") + ")")
 def report_sink(spark, d):
