@@ -302,3 +302,45 @@ def default_expectations_hold(spark, d):
     m = A.collect_metrics(source(spark, d, "dirty_customer"))
     checked = X.check_expectations(m, X.as_config(X.default_expectations(m)))
     return checked.agg(F.count(F.lit(1)).alias("expectations"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+# --- values of report sections --------------------------------------------------------------------
+
+@query(with_source("dirty_nulls", "SELECT column_name, utilization_percent, CASE WHEN utilization_percent < 50 THEN 'CRÍTICO' WHEN utilization_percent < 80 THEN 'BAJO' ELSE 'ACEPTABLE' END AS status FROM ("
+       + union_columns("dirty_nulls", "SELECT '{c}' AS column_name, round(100.0 * count({c}) / count(*), 2) AS utilization_percent FROM v") + ")"))
+def report_utilization(spark, d):
+    return report_tables(A.analyze(source(spark, d, "dirty_nulls"), settled=False))["rows_and_utilization"]
+
+
+_NULLS_IN_ROW = " + ".join(f"({c} IS NULL)::INT" for c, _ in SCHEMAS["dirty_nulls"])
+
+
+@query(with_source("dirty_nulls", f"SELECT count(*) AS rows, {big('count(*) FILTER (k = 0)')} AS complete_rows, round(100.0 * count(*) FILTER (k = 0) / count(*), 2) AS complete_percent, "
+       f"{big('count(*) FILTER (k > 0)')} AS rows_with_nulls FROM (SELECT {_NULLS_IN_ROW} AS k FROM v)"))
+def report_completeness(spark, d):
+    return report_tables(A.analyze(source(spark, d, "dirty_nulls"), settled=False))["row_completeness"]
+
+
+@query(with_source("dirty_nulls", f"SELECT count(*) AS rows, {big(len(SCHEMAS['dirty_nulls']))} AS columns, '{', '.join(c for c, _ in SCHEMAS['dirty_nulls'])}' AS column_names FROM v"))
+def report_general_info(spark, d):
+    return report_tables(A.analyze(source(spark, d, "dirty_nulls"), settled=False))["general_info"]
+
+
+@query(with_source("dirty_nulls", union_columns("dirty_nulls", """
+SELECT '{c}' AS column_name, count({c}) AS non_null, count(*) - count({c}) AS null_count, round(100.0 * (count(*) - count({c})) / count(*), 2) AS null_percent,
+       count(DISTINCT {c}) AS unique_count, round(100.0 * (count(DISTINCT {c}) + (count(*) > count({c}))::INT) / count(*), 2) AS cardinality_percent FROM v""")))
+def report_column_profile(spark, d):
+    found = report_tables(A.analyze(source(spark, d, "dirty_nulls"), settled=False))["column_profile"]
+    return found.select("column_name", "non_null", "null_count", "null_percent", "unique_count", "cardinality_percent")
+
+
+@query("SELECT 'issues' AS section, level AS a, type AS b, column_name FROM (" + _issues("dirty_customer") + ") UNION ALL SELECT category, action, severity, column_name FROM ("
+       + _advice("dirty_customer") + ") UNION ALL SELECT 'filters', category, type, column_name FROM (" + _filters("dirty_customer") + ")")
+def report_findings(spark, d):
+    """The sections of findings, row by row; a section without findings says so in one row of nulls, which is left out here."""
+    found = report_tables(A.analyze(source(spark, d, "dirty_customer")))
+    rows = found["issues"].select(F.lit("issues").alias("section"), F.col("level").alias("a"), F.col("type").alias("b"), "column_name")
+    for category in N.CATEGORIES:
+        rows = rows.union(found[category].select(F.lit(category), "action", "severity", "column_name"))
+    rows = rows.union(found["filters"].select(F.lit("filters"), "category", "type", "column_name"))
+    return rows.where("a IS NOT NULL")
