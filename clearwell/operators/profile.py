@@ -61,7 +61,8 @@ def _measures(field, approx: bool, which: set[str]) -> dict[str, Column]:
 def _column_scan(df: DataFrame, fields, by: Sequence[str], which: set[str], approx=False) -> DataFrame:
     """``by..., position, column_name, dtype, rows, <metrics>``, one row per column.
 
-    With ``"table"`` each row also carries the table's null cells and complete rows.
+    With ``"table"`` the row of position 0 also carries the table's null cells
+    and complete rows; the scans of further columns need not read all of them.
     """
     parts = []
     table = {}
@@ -75,12 +76,12 @@ def _column_scan(df: DataFrame, fields, by: Sequence[str], which: set[str], appr
         measures = {i: _measures(f, approx, which) for i, f in chunk}
         wide = df.groupBy(*[col(b) for b in by]).agg(
             F.count(F.lit(1)).alias("__rows"),
-            *[m.alias(f"__{name}") for name, m in table.items()],
+            *[m.alias(f"__{name}") for name, m in table.items() if not start],
             *[m.alias(f"__{i}_{name}") for i, ms in measures.items() for name, m in ms.items()],
         )
         rows = ", ".join(
             f"named_struct('position', {i}, 'column_name', {sql_text(f.name)}, 'dtype', {sql_text(dtype_label(f))}, "
-            + "'rows', __rows, " + "".join(f"'{name}', __{name}, " for name in table)
+            + "'rows', __rows, " + "".join(f"'{name}', {'CAST(NULL AS BIGINT)' if start else f'__{name}'}, " for name in table)
             + ", ".join(f"'{name}', __{i}_{name}" for name in measures[i]) + ")"
             for i, f in chunk
         )

@@ -134,3 +134,17 @@ def test_many_sources_all_broken(spark):
     assert found.analysis is None and found.summary.first()["status"] == "error"
     with pytest.raises(ValueError):
         A.analyze_many(spark, {})
+
+
+def test_wide_tables_take_a_wide_scan_for_each_group_of_columns(spark, tmp_path):
+    df = spark.range(40).select(*[F.when(F.col("id") % (i + 2) != 0, F.col("id")).alias(f"c{i}") for i in range(70)])
+    path = str(tmp_path / "wide")
+    df.write.parquet(path)
+    read = spark.read.parquet(path)
+    scans = shared_scans(read, approx=True)
+    leaves = scans.wide._jdf.queryExecution().sparkPlan().collectLeaves()
+    widths = [leaves.apply(i).output().size() for i in range(leaves.size())]
+    assert widths == [70, 10]
+    m = scans.metrics()
+    _same(m.table.drop("duplicate_rows", "duplicate_percent"), P.row_completeness(read))
+    assert m.columns.count() == 70 and m.unsafe.count() == 70
