@@ -54,8 +54,9 @@ class _Both:
     def pieces(self, text: str) -> list[str]:
         return cut(text) if self.cuts else [text]
 
-    def ids(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [self.a.piece(p) for p in pieces], self.b.encode(pieces, num_threads=1)
+    def ids(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For either side all ids, one piece after the other, and how many each has."""
+        return [self.a.pieces(pieces), _flat(self.b.encode(pieces, num_threads=1))]
 
 
 class _Ragged:
@@ -78,6 +79,13 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((x for one in lists for x in one), np.int64, int(sizes.sum())), sizes
 
 
+def _pieces_of(side: _Ragged, ids: np.ndarray, per_piece: np.ndarray) -> list[bytes]:
+    """The bytes of each piece."""
+    data = side.take(ids).tobytes()
+    after = np.concatenate(([0], np.cumsum(side.size[ids])))[np.cumsum(per_piece)].tolist()
+    return [data[i:j] for i, j in zip([0, *after], after, strict=False)]
+
+
 # --- groups -------------------------------------------------------------------------
 def terminals(starts_a: np.ndarray, ends_a: np.ndarray, starts_b: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
     """For each token of A and then of B the last token of its group, by pointer jumping.
@@ -101,15 +109,14 @@ class Aligned:
     """What a list of pieces has in common: numbers for each piece, its groups as text, its links as codes ``a << 32 | b``."""
 
     def __init__(self, both: _Both, pieces: list[str]):
-        lists = both.ids(pieces)
-        (a, per_a), (b, per_b) = map(_flat, lists)
+        (a, per_a), (b, per_b) = both.ids(pieces)
         text = [f" {p}".encode() for p in pieces]
         size = np.fromiter(map(len, text), np.int64, len(text))
         bytes_a, bytes_b = both.bytes[0].take(a), both.bytes[1].take(b)
         line = np.frombuffer(b"".join(text), np.uint8)
         self.good = np.ones(len(pieces), bool)
         if not (np.array_equal(bytes_a, line) and np.array_equal(bytes_b, line)):
-            decoded = [[b"".join(bytes(side.data[side.start[i] : side.start[i] + side.size[i]]) for i in ids) for ids in one] for side, one in zip(both.bytes, lists, strict=True)]
+            decoded = [_pieces_of(side, ids, per) for side, ids, per in zip(both.bytes, (a, b), (per_a, per_b), strict=True)]
             self.good = np.array([x == y == z for x, y, z in zip(text, *decoded, strict=True)], bool)
         # Pieces whose bytes differ have no tokens; the others keep theirs.
         keep_a, keep_b = np.repeat(self.good, per_a), np.repeat(self.good, per_b)

@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,35 +33,74 @@ from .pieces import cut
 from .words import small_batches
 
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 1000  # bytes, bytes, documents
-KEPT_BYTES = 48 << 20  # of each of two generations of pieces
+KEPT_PIECES = 500_000  # in each worker, besides those of a batch
 _ENCODERS: dict = {}  # of this worker
-
-
-class _Ids(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers, kept in two generations of bounded size."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.encoder, self.older, self.size = PieceEncoder(path), {}, 0
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = np.array(self.encoder.piece(piece), "<u4").tobytes()
-        if len(piece) <= 256:
-            if self.size > KEPT_BYTES:
-                self.older, self.size = dict(self), 0
-                self.clear()
-            self.size += 160 + len(piece) + len(ids)  # with what two small objects take
-            self[piece] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        if any(s in text for s in self.encoder.special):
-            return np.array(self.encoder.text(text), "<u4").tobytes()
-        first, *rest = cut(text)
-        head = np.array(self.encoder.text(first), "<u4").tobytes() if first else b""
-        return head + b"".join(map(self.__getitem__, rest))
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # what Python calls so
+#: Where a space or line feed does not stand between two characters that are no white space.
+_TROUBLE = rf"^[ \n]|[ \n]$|{_SPACE}[ \n]|\n{_SPACE}"
+
+
+class _Ids:
+    """Ids of texts, piece by piece. A batch's distinct pieces are looked up, the new ones encoded together and kept while there is room."""
+
+    def __init__(self, path: str, room: int = KEPT_PIECES):
+        self.encoder, self.room = PieceEncoder(path), room
+        self.place: dict[str, int] = {}
+        self.start, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        places = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(places < 0)
+        if len(at):
+            new = [pieces[i] for i in at.tolist()]
+            ids, start, size = self.encoder.coded(new, lines=True)
+            self.start, self.size, self.ids = (np.concatenate(x) for x in ((self.start, len(self.ids) + start), (self.size, size), (self.ids, ids.astype(np.uint32))))
+            places[at] = np.arange(len(self.place), len(self.place) + len(new))
+            self.place.update(zip(new, places[at].tolist(), strict=True))
+        if len(self.place) > self.room:  # go on with what this batch has
+            start, self.size = self.start[places], self.size[places]
+            ends = np.cumsum(self.size)
+            self.ids = self.ids[np.repeat(start - (ends - self.size), self.size) + np.arange(int(ends[-1]))]
+            self.start = ends - self.size
+            places = np.arange(len(pieces))
+            self.place = dict(zip(pieces, places.tolist(), strict=True))
+        return places
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.encoder.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; nulls are empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _TROUBLE)
+        for string in self.encoder.special:
+            odd = pc.or_(odd, pc.match_substring(texts, string))
+        found: list = [None] * len(texts)
+        # A space or line feed alone between other characters begins a pre-token: there the text is cut.
+        # Texts with special strings, or with other white space beside these, are cut by the careful rule or not at all.
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        careful = texts.take(pa.array(at)).to_pylist()
+        whole = [i for i, t in enumerate(careful) if " \n" in t or any(s in t for s in self.encoder.special)]
+        for i, ids in zip(whole, self._whole([careful[i] for i in whole]), strict=True):
+            found[at[i]] = ids
+        cuts = [(at[i], cut(t)) for i, t in enumerate(careful) if found[at[i]] is None]
+        even = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(even)), "\n", " \n"), " ")
+        bounds = np.concatenate((lists.offsets.to_numpy().astype(np.int64), len(lists.values) + np.cumsum([len(c) for _, c in cuts], dtype=np.int64)))
+        flat = pa.concat_arrays([lists.values, pa.array([p for _, c in cuts for p in c], lists.values.type)])
+        order = [*even.tolist(), *(i for i, _ in cuts)]
+        # Behind the first piece of a text, every piece follows a space or begins with a line feed.
+        coded = flat.dictionary_encode()
+        place = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        size, start = self.size[place], self.start[place]
+        heads = flat.take(pa.array(bounds[:-1])).to_pylist()
+        size[bounds[:-1]] = 0
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        after = np.concatenate(([0], ends))[bounds]
+        for i, head, low, high in zip(order, self._whole(heads), after.tolist(), after[1:].tolist(), strict=False):
+            found[i] = np.concatenate((head, ids[low:high]))
+        return found
 
 
 def write_tokens(
@@ -80,7 +121,7 @@ def write_tokens(
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.asc_nulls_first("text")]
     dealt = (source.repartitionByRange(files, *order[:2]) if files else source.repartitionByRange(*order[:2])).sortWithinPartitions(*order)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], np.uint32)
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,16 +130,18 @@ def write_tokens(
             known = _ENCODERS[tokenizer] = _Ids(tokenizer)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            found = [known.text(text or "") + end for text in batch.column(1).to_pylist()]
-            sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+            if not batch.num_rows:
+                continue
+            found = known.texts(batch.column(1))
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) + len(end)
             ends = np.cumsum(np.concatenate(([0], sizes)))
-            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+            ids = np.concatenate([x for one in found for x in (one, end)]).astype(np.uint32).view(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             part_col = pa.array(np.full(len(found), part, np.int32))
             yield pa.RecordBatch.from_arrays([part_col, batch.column(0), pa.array(before + ends[:-1]), pa.array(sizes), lists], names=["part", "doc_id", "offset", "n_tokens", "ids"])
             before += int(ends[-1])
 
-    rows = small_batches(dealt, rows=500).mapInArrow(encode, f"part int, doc_id {kind}, offset long, n_tokens long, ids array<int>")
+    rows = small_batches(dealt, rows=10_000, megabytes=12).mapInArrow(encode, f"part int, doc_id {kind}, offset long, n_tokens long, ids array<int>")
     (
         rows.write.option("compression", "zstd").option("parquet.writer.version", "v2")
         .option("parquet.block.size", row_group).option("parquet.page.size", page).option("parquet.page.row.count.limit", page_rows)

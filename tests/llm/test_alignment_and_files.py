@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -182,7 +183,24 @@ def test_token_files_round_trip(spark, tmp_path):
 def test_pieces_get_the_library_s_ids():
     encoder = PieceEncoder(A)
     pieces = ["word", "Größe,", "x.", "..", "ok,", "é", "it's", "日本", "A1", "ŉ", "ɏ", "mid.dle", "."]
-    assert [encoder.piece(p) for p in pieces] == [encoder.text(f" {p}") for p in pieces]
+    flat, sizes = encoder.pieces(pieces)
+    ends = sizes.cumsum().tolist()
+    assert [flat[i:j].tolist() for i, j in zip([0, *ends], ends, strict=False)] == [encoder.text(f" {p}") for p in pieces]
+    assert [len(x) for x in encoder.pieces([])] == [0, 0]
+    pieces += ["\nWord,", "\n", "\nañb", "\n3.", "\n\nx"]
+    ids, start, size = encoder.coded(pieces, lines=True)
+    assert [ids[i : i + n].tolist() for i, n in zip(start, size, strict=True)] == [encoder.text(p if p[0] == "\n" else f" {p}") for p in pieces]
+
+
+def test_ids_of_texts_with_little_room_for_pieces():
+    rng = random.Random(8)
+    letters = ["a", "b", "th", "er", " ", " ", " ", "  ", "\n", ".", "é", "\u00a0", "\u2003", "\x1c", "\x85", "日", "<|endoftext|>", "'s", "7"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(600)] + TEXTS
+    known = token_files._Ids(A, room=50)
+    for i in range(0, len(texts), 100):
+        part = texts[i : i + 100]
+        assert [x.tolist() for x in known.texts(pa.array(part, pa.string()))] == [x[:-1] for x in _ids(part)]
+    assert len(known.place) < 2000
 
 
 def test_token_files_null_and_repeated_ids(spark, tmp_path):

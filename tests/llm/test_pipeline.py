@@ -61,3 +61,45 @@ def test_rows_without_ids_stay_either_way(spark):
     gone = spark.createDataFrame([(2, 5), (2, 6), (None, 7), (9, 8)], "doc_id long, n int")
     for most in (1_000_000, 0):  # broadcast, and by shuffle
         assert sorted((r["text"], r["n"]) for r in without(docs, gone, "gone", most).collect()) == [("a", "x"), ("c", "x")]
+
+
+def _odd(spark):
+    """Rows of every awkward kind, with columns whose names stages use themselves."""
+    plain = "the people of the town said that they would come again in the morning and that all was well with them "
+    rows = [
+        (None, plain * 3), (None, None), (1, plain * 3), (2, ""), (3, None), (4, " \n\t "), (5, plain * 3 + "x"), (5, plain + "y"), (6, plain), (6, plain),
+        (7, plain * 400), (None, "password = hunter22secret and AKIA" + "Z" * 16), (8, "a" * 5000),
+    ]
+    return spark.createDataFrame(
+        [(i, t, "en", "s", len(t or ""), "clash", 1, 0.5) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, item_id string, of int, score double",
+    )
+
+
+def test_stages_take_awkward_rows(spark):
+    docs = _odd(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if stage is corpus_pipeline.tokens:
+            assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.collect())
+            assert {r["n_tokens"] for r in rows if r["doc_id"] in (2, 3)} == {0}
+            continue
+        assert out.columns == docs.columns, name
+        texts = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+        if stage is corpus_pipeline.mask_secrets:
+            assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.collect())
+            assert not any("hunter22secret" in (r["text"] or "") or "AKIAZ" in (r["text"] or "") for r in rows)
+            assert all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] is not None)
+        else:
+            assert not Counter((r["doc_id"], r["text"]) for r in rows) - texts, name
+            if stage is not corpus_pipeline.quality:
+                assert sum(r["doc_id"] is None for r in rows) == 3, name  # rows without an id are no copies, and these leak nothing
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = _odd(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+        assert stage is corpus_pipeline.tokens or out.columns == docs.columns
