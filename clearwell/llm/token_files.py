@@ -33,7 +33,7 @@ from .pieces import cut
 from .words import small_batches
 
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 1000  # bytes, bytes, documents
-KEPT_PIECES = 500_000  # in each worker, besides those of a batch
+KEPT_PIECES = 300_000  # in each worker, besides those of a batch
 _ENCODERS: dict = {}  # of this worker
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # what Python calls so
 #: Where a space or line feed does not stand between two characters that are no white space.
@@ -96,7 +96,8 @@ class _Ids:
         heads = flat.take(pa.array(bounds[:-1])).to_pylist()
         size[bounds[:-1]] = 0
         ends = np.cumsum(size)
-        ids = self.ids[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        shift = (start - (ends - size)).astype(np.int32)
+        ids = self.ids[np.repeat(shift, size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
         after = np.concatenate(([0], ends))[bounds]
         for i, head, low, high in zip(order, self._whole(heads), after.tolist(), after[1:].tolist(), strict=False):
             found[i] = np.concatenate((head, ids[low:high]))
@@ -141,7 +142,7 @@ def write_tokens(
             yield pa.RecordBatch.from_arrays([part_col, batch.column(0), pa.array(before + ends[:-1]), pa.array(sizes), lists], names=["part", "doc_id", "offset", "n_tokens", "ids"])
             before += int(ends[-1])
 
-    rows = small_batches(dealt, rows=10_000, megabytes=12).mapInArrow(encode, f"part int, doc_id {kind}, offset long, n_tokens long, ids array<int>")
+    rows = small_batches(dealt, rows=10_000, megabytes=8).mapInArrow(encode, f"part int, doc_id {kind}, offset long, n_tokens long, ids array<int>")
     (
         rows.write.option("compression", "zstd").option("parquet.writer.version", "v2")
         .option("parquet.block.size", row_group).option("parquet.page.size", page).option("parquet.page.row.count.limit", page_rows)
