@@ -66,3 +66,15 @@ def test_duplicates_lie_within_their_error(spark, skewed):
         assert abs(mine["duplicate_values"] - r["duplicate_values"]) <= mine["max_error"]
     empty = S.value_sketches(spark.createDataFrame([], "a int, b string"))
     assert S.frequent_values(empty).count() == 0 and {r["duplicate_values"] for r in S.approx_duplicates(empty).collect()} == {0}
+
+
+@pytest.mark.parametrize("by", [(), "g"])
+@pytest.mark.parametrize("tracked", [12, 48, 1000])
+def test_settled_counts_are_exact_whatever_is_tracked(skewed, tracked, by):
+    # u: more values than are tracked, none frequent, ties everywhere. v: skewed. t: few frequent values, a long one among them.
+    df = skewed.withColumn("u", F.pmod(F.xxhash64("v", "t", "g"), F.lit(700)))
+    key = lambda r: (str(by and r["g"]), r["column_name"], r["rank"], r["value"], r["cnt"])
+    want = sorted(map(key, Q.top_values(df, 3, ["u", "v", "t"], by=by).collect()))
+    assert sorted(map(key, S.approx_top_values(df, 3, ["u", "v", "t"], by=by, tracked=tracked, exact=True).collect())) == want
+    parts = [S.value_sketches(df.where(F.col("v") % 2 == i), ["u", "v", "t"], by, tracked) for i in range(2)]
+    assert sorted(map(key, S.settled_values(df, S.merge_sketches(parts[0].union(parts[1]), by, tracked), 3, by, tracked).collect())) == want
