@@ -103,3 +103,12 @@ def test_stages_take_an_empty_table(spark):
         out = stage(spark, docs, SF)
         assert out.count() == 0, name
         assert stage is corpus_pipeline.tokens or out.columns == docs.columns
+
+
+def test_the_last_stage_keeps_few_pieces_in_its_workers(spark, monkeypatch):
+    """Worker caches stay while the other stages run, so they are a small part of an executor's memory."""
+    given = []
+    encode = corpus_pipeline.encode
+    monkeypatch.setattr(corpus_pipeline, "encode", lambda *args, **more: given.append(more.get("room", 500_000)) or encode(*args, **more))
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    assert corpus_pipeline.tokens(spark, docs, "").count() == 2 and max(given) <= 100_000
