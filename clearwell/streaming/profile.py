@@ -55,21 +55,24 @@ def batch_table(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def _read_once(batch: DataFrame):
-    """A micro-batch that two sinks need is read and parsed once; lost blocks are read again."""
-    batch.persist(StorageLevel.MEMORY_AND_DISK)
+    """A micro-batch that two sinks need is read and parsed once; lost blocks are read again.
+
+    Its rows are dealt over all cores: a large file of few row groups would keep as few busy.
+    """
+    dealt = batch.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield
+        yield dealt
     finally:
-        batch.unpersist()
+        dealt.unpersist()
 
 
 def profile_writer(path: str):
     """``foreachBatch`` function that writes the metrics of one micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        with _read_once(batch):
-            batch_columns(batch).write.mode("overwrite").parquet(f"{path}/{COLUMNS}/batch_id={batch_id}")
-            batch_table(batch).write.mode("overwrite").parquet(f"{path}/{TABLE}/batch_id={batch_id}")
+        with _read_once(batch) as rows:
+            batch_columns(rows).write.mode("overwrite").parquet(f"{path}/{COLUMNS}/batch_id={batch_id}")
+            batch_table(rows).write.mode("overwrite").parquet(f"{path}/{TABLE}/batch_id={batch_id}")
 
     return write
 
@@ -224,9 +227,9 @@ def start_clean(stream: DataFrame, types: list[ColumnType], clean_path: str, qua
     """Split a stream into clean and quarantined rows; a repeated batch overwrites its own folder."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        with _read_once(batch):
-            clean_rows(batch, types).write.mode("overwrite").parquet(f"{clean_path}/batch_id={batch_id}")
-            quarantine_rows(batch, types).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
+        with _read_once(batch) as rows:
+            clean_rows(rows, types).write.mode("overwrite").parquet(f"{clean_path}/batch_id={batch_id}")
+            quarantine_rows(rows, types).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -116,3 +116,9 @@ def test_states_merge_in_any_grouping(spark):
     right = T.merge_states(parts[0].union(T.merge_states(parts[1].union(parts[2]))))
     keep = lambda d: {r["column_name"]: (r["rows"], r["non_null"], r["min"], r["max"], r["mean"] and round(r["mean"], 6), r["squares"] and round(r["squares"], 3)) for r in d.collect()}
     assert keep(left) == keep(right) == keep(T.batch_state(df))
+
+
+def test_a_batch_of_one_large_file_is_dealt_over_the_cores(spark):
+    from clearwell.streaming.profile import _read_once
+    with _read_once(spark.range(0, 2_000_000, 1, 1)) as rows:
+        assert rows.rdd.getNumPartitions() > 1 and rows.count() == 2_000_000
