@@ -95,6 +95,8 @@ def save_pair(clean: DataFrame, quarantine: DataFrame, clean_table: str, quarant
     quarantine.write.mode(mode).saveAsTable(quarantine_table)
 
 
+FILE_BYTES = 128 << 20  # of values before they are encoded, which a task sorts for a file of a clustered table
+
 _BITS = 6  # of the place of a value among the quantiles of its key
 
 
@@ -109,6 +111,14 @@ def _ordered(field) -> Column:
     return c.cast("double")
 
 
+def _width(field) -> Column:
+    """About the bytes of a value in a row."""
+    c = col(field.name)
+    if isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(8).cast("bigint")
+    return F.coalesce(F.octet_length(c if isinstance(field.dataType, T.BinaryType) else c.cast("string")), F.lit(0)).cast("bigint") + 16
+
+
 def _curve(places: list[Column], bits: int) -> Column:
     """The bits of several places in turn, highest first: rows near in every key are near in this number."""
     z = F.lit(0).cast("bigint")
@@ -119,7 +129,7 @@ def _curve(places: list[Column], bits: int) -> Column:
 
 
 def write_clustered(df: DataFrame, path: str, keys=None, files: int | None = None, mode: str = "overwrite",
-                    row_group: int = 64 << 20, page_rows: int = 20_000) -> None:
+                    row_group: int = 64 << 20, page_rows: int = 20_000, file_bytes: int = FILE_BYTES) -> None:
     """Write rows so that a condition on any one of several keys reads few files, row groups and pages.
 
     Each key is cut at its quantiles (one aggregate finds them for all keys),
@@ -127,7 +137,9 @@ def write_clustered(df: DataFrame, path: str, keys=None, files: int | None = Non
     row and its place divides places that hold too much, so a value of a third of all rows
     fills many files like any other rows. Inside a file rows are sorted, and
     Parquet keeps the least and greatest value of each row group and page.
-    ``keys`` are the business keys by default; nulls come first.
+    ``keys`` are the business keys by default; nulls come first. There are
+    ``files`` files, or more where one would hold over ``file_bytes`` of values,
+    as a task sorts what it writes to a file.
     """
     keys = as_list(keys) or business_keys(df)
     if not keys:
@@ -136,7 +148,11 @@ def write_clustered(df: DataFrame, path: str, keys=None, files: int | None = Non
     if unknown := [k for k in keys if k not in fields]:
         raise ValueError(f"unknown columns: {unknown}")
     cuts = [i / (1 << _BITS) for i in range(1, 1 << _BITS)]
-    bounds = df.agg(*[F.percentile_approx(_ordered(fields[k]), cuts, 10_000).alias(f"q{i}") for i, k in enumerate(keys)]).first()
+    size = F.sum(reduce(lambda a, b: a + b, [_width(f) for f in fields.values()])).alias("size")
+    bounds = df.agg(*[F.percentile_approx(_ordered(fields[k]), cuts, 10_000).alias(f"q{i}") for i, k in enumerate(keys)], size).first()
+    needed = -(-(bounds["size"] or 0) // file_bytes)
+    if files or needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        files = max(files or 1, needed)
     places = []
     for i, key in enumerate(keys):
         cut = sorted(set(bounds[i] or []))

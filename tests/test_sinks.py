@@ -60,3 +60,11 @@ def test_clustered_files_can_be_skipped_by_any_key(spark, tmp_path):
     assert spark.read.parquet(path).count() == 0
     with pytest.raises(ValueError):
         sinks.write_clustered(df, path, "zz")
+
+
+def test_a_clustered_file_is_bounded_by_its_bytes(spark, tmp_path):
+    df = spark.range(4000).select("id", F.repeat(F.lit("x"), F.lit(84)).alias("t"))  # 108 bytes a row
+    path = str(tmp_path / "t")
+    sinks.write_clustered(df, path, "id", files=2, file_bytes=36_000)
+    sizes = [r["n"] for r in spark.read.parquet(path).groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 10 and max(sizes) < 1000

@@ -276,7 +276,7 @@ def bucketed_table(spark, d):
        "UNION ALL SELECT 'l_shipdate', count(*), count(DISTINCT l_shipdate), true FROM lineitem "
        "UNION ALL SELECT 'l_returnflag', count(*), count(DISTINCT l_returnflag), true FROM lineitem")
 def clustered_table(spark, d):
-    """A table laid out by three keys at once: a value of a selective key can lie in less than half of the 32 files, and no row is lost."""
+    """A table laid out by three keys at once: a value of a selective key can lie in less than half of the files (32, or more of a large table), and no row is lost."""
     df = source(spark, d, "lineitem")
     path = scratch_path(spark, "clustered")
     keys = ["l_partkey", "l_shipdate", "l_returnflag"]
