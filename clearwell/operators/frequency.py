@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import as_list, as_text, col, is_text, long_form, order_key, present, profiled_fields, quoted
+from ..columns import as_list, as_text, col, is_temporal, is_text, long_form, order_key, present, profiled_fields, quoted
 from ..functions import trim_space, value_key
 from ..functions.text import KEY_BYTES, value_type_of
+from .validation import content_marks, validator_fields
 
 
 #: Characters of a value that are ranked before whole values are read.
@@ -67,24 +68,30 @@ def distinct_counts(df: DataFrame, columns=None, by=()) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-#: The column number of whole rows in :func:`value_groups`.
+#: The column number of whole rows in :func:`value_groups`; further columns that are no text count down from below it.
 WHOLE_ROW = -1
 
 
 def value_groups(df: DataFrame, by=(), distinct: bool = True) -> DataFrame:
-    """Distinct values by column and type, and repeated rows, in one pass and one shuffle.
-
-    ``by..., position, value_type, distinct_values, cells``: of each column how
-    many distinct values look like which type (null for columns that are no
-    text) and how many cells hold them; nulls are no value. The position
-    ``WHOLE_ROW`` counts whole rows in the same way, told apart by the SHA-256
-    of all their values. Values are counted before the shuffle. Whole numbers,
-    dates and times travel as 8 bytes. Without ``distinct`` only text columns
-    and whole rows are counted.
+    """Distinct values by column and looks, and repeated rows, in one pass and one shuffle.
+
+    ``by..., position, value_type, <content_marks>, distinct_values, cells``: of
+    each column how many distinct values look like what (nulls for columns that
+    are no text) and how many cells hold them; nulls are no value. The position
+    ``WHOLE_ROW`` counts whole rows in the same way, told apart by all their
+    values, or the SHA-256 of these where they are long. Values are counted before the shuffle and looked at
+    behind it, so that each distinct value is looked at once; texts that travel
+    as digests are looked at before. Whole numbers, dates and times travel as 8
+    bytes. Without ``distinct`` only text columns and whole rows are counted.
+
+    Columns that are no text, but have the name of one that validators look at,
+    have a further position, ``WHOLE_ROW - 1`` less their own, which counts
+    their cells by looks alone.
     """
     by = as_list(by)
     fields = profiled_fields(df, None, by)
-    entries, texts = [], []
+    looked_at = {f.name for f in validator_fields(df, None, by)}
+    entries, texts, others, natives = [], [], [], []
 
     def entry(position, whole=None, fraction=None, text=None):
         kinds = (("whole", whole, "bigint"), ("fraction", fraction, "double"), ("text", text, "string"))
@@ -104,19 +111,29 @@ def value_groups(df: DataFrame, by=(), distinct: bool = True) -> DataFrame:
             entries.append(entry(i, whole=F.unix_micros(col(f.name))))
         elif distinct:
             entries.append(entry(i, text=as_text(f)))
+        if f.name in looked_at and not is_text(f):
+            others.append(WHOLE_ROW - 1 - i)
+            natives += others[-1:] if is_temporal(f) else []
+            entries.append(entry(others[-1], text=as_text(f)))
     marked = [F.coalesce(F.concat(F.length(as_text(f)).cast("string"), F.lit(":"), as_text(f)), F.lit("-")) for f in fields]
-    entries.append(entry(WHOLE_ROW, text=F.sha2(F.concat(F.lit(""), *marked), 256)))
+    entries.append(entry(WHOLE_ROW, text=F.concat(F.lit(""), *marked)))
     cells = df.select(*[col(b).alias(f"__b{i}") for i, b in enumerate(by)], F.inline(F.array(*entries)))
     cells = cells.where("whole IS NOT NULL OR fraction IS NOT NULL OR text IS NOT NULL")
-    kind = value_type_of("text", trim_space("text"))
-    typed = cells.select(
-        *[F.col(f"__b{i}") for i in range(len(by))], "position", "whole", "fraction", value_key("text").alias("key"),
-        F.when(F.col("position").isin(texts), kind).alias("value_type") if texts else F.lit(None).cast("string").alias("value_type"),
+    among = lambda places: F.col("position").isin(places) if places else F.lit(False)
+    looks = lambda value: F.struct(
+        F.when(~among(others), value_type_of(value, "__v")).alias("value_type"),
+        *[m.alias(n) for n, m in content_marks(value, "__v", among(others), among(natives)).items()],
     )
-    keys = [*[F.col(f"__b{i}") for i in range(len(by))], F.col("position"), F.col("value_type")]
-    counted = typed.groupBy(*keys, "whole", "fraction", "key").agg(F.count(F.lit(1)).alias("cnt"))
-    return counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("cnt").alias("cells")).withColumnsRenamed(
-        {f"__b{i}": b for i, b in enumerate(by)}
+    keys = [*[F.col(f"__b{i}") for i in range(len(by))], F.col("position")]
+    early = cells.withColumn("early", among(others) | (among(texts) & (F.octet_length("text") > KEY_BYTES)))
+    typed = early.withColumn("__v", F.when(F.col("early") & ~among(natives), trim_space("text"))).select(
+        *keys, "whole", "fraction", F.when(~among(others), value_key("text")).alias("key"), F.when(F.col("early"), looks("text")).alias("looks"),
+    )
+    counted = typed.groupBy(*keys, "whole", "fraction", "key", "looks").agg(F.count(F.lit(1)).alias("cnt"))
+    late = among(texts) & F.col("looks").isNull()
+    seen = counted.withColumn("__v", F.when(late, trim_space("key"))).withColumn("looks", F.coalesce("looks", F.when(late, looks("key"))))
+    return seen.groupBy(*keys, "looks").agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("cnt").alias("cells")).select(
+        *[F.col(f"__b{i}").alias(b) for i, b in enumerate(by)], "position", "looks.*", "distinct_values", "cells",
     )
 
 

@@ -11,10 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import settings as S
 from ..columns import (
-    COLUMNS_PER_AGGREGATE, as_list, as_text, col, dtype_label, is_nested, is_numeric, is_text, no_rows,
+    COLUMNS_PER_AGGREGATE, as_list, as_text, col, dtype_label, is_nested, is_numeric, is_temporal, is_text, no_rows,
     percent, present, profiled_fields, quoted, sql_text,
 )
 from ..functions import has_sql_unsafe_chars, name_hint_column, trim_space
@@ -45,7 +46,9 @@ def _measures(field, approx: bool, which: set[str]) -> dict[str, Column]:
         out["negative_count"] = F.lit(None).cast("bigint") if numeric is None else F.count_if(numeric < 0)
         out["zero_count"] = F.lit(None).cast("bigint") if numeric is None else F.count_if(numeric == 0)
     if "unsafe" in which:
-        out["unsafe_count"] = F.count_if(has_sql_unsafe_chars(as_text(field)))
+        # Numbers, dates and booleans are written without any of these characters.
+        plain = is_numeric(field) or is_temporal(field) or isinstance(field.dataType, T.BooleanType)
+        out["unsafe_count"] = F.count_if(F.lit(False) if plain else has_sql_unsafe_chars(as_text(field)))
     if approx:
         # A 16,384-bucket sketch: about 0.8 percent standard error, one binary buffer.
         # It is fed hashes, so that no value has to be turned into text.

@@ -69,8 +69,25 @@ def detect_content_types(df: DataFrame, columns=None, by=(), sample: int | None
     return counts.withColumn("content_type", _winner("total_values"))
 
 
+def content_marks(value: str, trimmed: str, other: Column | None = None, native: Column | None = None) -> dict[str, Column]:
+    """What is counted of a value, given its trimmed text: content type, ambiguity, date format and what :func:`validate_text` looks for.
+
+    ``other``: whether it comes from a column that is no text; ``native``: from one of dates, where ``trimmed`` may be null.
+    """
+    content, label = content_type_of(trimmed), date_format_label(trimmed)
+    if other is not None:
+        content = F.when(other, "other").otherwise(content)
+    if native is not None:
+        written = F.when(F.length(value) == 10, S.DATE_FORMATS[0]).otherwise(S.OTHER_DATE_FORMAT)
+        label = F.when(native, written).otherwise(label)
+    return {
+        "content": content, "ambiguous": F.coalesce(is_ambiguous_date(trimmed), F.lit(False)), "format": label,
+        "special": has_special_chars(value), "edge": has_edge_spaces(value), "long": F.length(value) > S.LONG_TEXT,
+    }
+
+
 def _classified(df: DataFrame, fields, by, keys) -> DataFrame:
-    """Long form with, per value, its content type, date format and ambiguity.
+    """Long form with, per value, its :func:`content_marks`.
 
     Values of columns that are no text fail the text validators, as they did not
     come from a text; date and timestamp columns hold dates by definition.
@@ -79,24 +96,14 @@ def _classified(df: DataFrame, fields, by, keys) -> DataFrame:
     name = F.col("column_name")
     not_text = [f.name for f in fields if not is_text(f)]
     temporal = [f.name for f in fields if is_temporal(f)]
-    content = content_type_of("__v")
-    if not_text:
-        content = F.when(name.isin(not_text), "other").otherwise(content)
+    native = name.isin(temporal) if temporal else None
     # Nothing has to be read where the type already says what the value is.
-    text = F.when(~name.isin(temporal), trim_space("value")) if temporal else trim_space("value")
-    read = (
-        cells.withColumn("__v", text).withColumn("content", content)
-        .withColumn("ambiguous", F.coalesce(is_ambiguous_date("__v"), F.lit(False)))
-        .withColumn("format", date_format_label("__v")).drop("__v")
-    )
-    if temporal:
-        native = name.isin(temporal)
-        written = F.when(F.length("value") == 10, S.DATE_FORMATS[0]).otherwise(S.OTHER_DATE_FORMAT)
-        read = read.withColumn("format", F.when(native, written).otherwise(F.col("format")))
-    return read
+    text = F.when(~native, trim_space("value")) if temporal else trim_space("value")
+    marks = content_marks("value", "__v", name.isin(not_text) if not_text else None, native)
+    return cells.withColumn("__v", text).withColumns(marks).drop("__v")
 
 
-def _validator_fields(df, columns, by):
+def validator_fields(df, columns, by):
     return [
         f for f in profiled_fields(df, columns, by)
         if is_text(f) or any(named_like(f.name, v) for v in VALIDATORS)
@@ -114,15 +121,20 @@ def _text_counts() -> list[Column]:
 def content_counts(df: DataFrame, columns=None, by=(), texts: bool = False) -> DataFrame:
     """Per column what its values look like; with ``texts`` also what :func:`validate_text` counts, in the same pass."""
     by = as_list(by)
-    fields = _validator_fields(df, columns, by)
-    group = [*by, "column_name"]
-    counts = _classified(df, fields, by, ()).groupBy(*[col(g) for g in group]).agg(
-        F.count(F.lit(1)).alias("total"),
-        *_content_counts(),
-        F.expr("count(format) AS n_dates"),
-        F.expr("count_if(ambiguous) AS n_ambiguous"),
-        *[F.expr(f"count_if(format = '{f}') AS f_{i}") for i, f in enumerate(_FORMATS)],
-        *(_text_counts() if texts else []),
+    fields = validator_fields(df, columns, by)
+    return tallied_contents(_classified(df, fields, by, ()), fields, by, texts)
+
+
+def tallied_contents(marked: DataFrame, fields, by=(), texts: bool = False, cells: str = "1") -> DataFrame:
+    """:func:`content_counts` from rows of ``by..., column_name`` and :func:`content_marks`, each of which stands for ``cells`` values."""
+    count = lambda test, name: F.expr(f"sum(IF({test}, CAST({cells} AS BIGINT), 0L)) AS {name}")
+    counts = marked.groupBy(*[col(g) for g in [*as_list(by), "column_name"]]).agg(
+        count("true", "total"),
+        *[count(f"content = '{t}'", f"n_{t}") for t in CONTENT_TYPES],
+        count("format IS NOT NULL", "n_dates"),
+        count("ambiguous", "n_ambiguous"),
+        *[count(f"format = '{f}'", f"f_{i}") for i, f in enumerate(_FORMATS)],
+        *([count("special", "special_chars_count"), count("edge", "edge_spaces_count"), count("long", "long_values_count")] if texts else []),
     )
     not_text = [f.name for f in fields if not is_text(f)]
     winner = _winner("total")

@@ -24,7 +24,7 @@ def table_metrics(df: DataFrame, by=()) -> DataFrame:
 
 
 def collect_metrics(df: DataFrame, by=(), approx: bool = False, settled: bool = True) -> Metrics:
-    """All metric tables, from three passes over the table and those of the medians.
+    """All metric tables, from two passes over the table and those of the medians.
 
     The passes run at once and leave a few rows for each column in the
     checkpoint folder; ``settled=False`` keeps them lazy, and every table that is
@@ -59,8 +59,7 @@ class Analysis:
 def analyze(df: DataFrame, by=(), approx: bool = False, settled: bool = True) -> Analysis:
     """Profile, validate, classify and advise.
 
-    The table is read three times, whatever the number of metric tables, and by
-    the steps of the exact medians (``approx`` has none). What the passes leave
+    The table is read twice, whatever the number of metric tables, and by the steps of the exact medians (``approx`` has none). What the passes leave
     is small and read by many reports, so it is written to the checkpoint folder
     once; the table itself is never cached.
     """

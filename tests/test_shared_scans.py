@@ -148,3 +148,30 @@ def test_wide_tables_take_a_wide_scan_for_each_group_of_columns(spark, tmp_path)
     m = scans.metrics()
     _same(m.table.drop("duplicate_rows", "duplicate_percent"), P.row_completeness(read))
     assert m.columns.count() == 70 and m.unsafe.count() == 70
+
+
+# --- texts are looked at once a distinct value ------------------------------------------
+def test_settled_passes_classify_without_a_scan_of_their_own(spark, table, tmp_path):
+    path = str(tmp_path / "t")
+    table.write.parquet(path)
+    ran = []
+    shared_scans(spark.read.parquet(path)).settled(lambda df: ran.append(_scans(df)) or spark.createDataFrame(df.collect(), df.schema))
+    assert sorted(ran) == [0, 1, 1]
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_contents_summed_from_groups_equal_those_of_the_scan(spark, by):
+    rows = [(
+        "ab"[i % 2], dt.date(2024, 1, 1 + i % 3) if i % 5 else None, dt.datetime(2024, 1, 1, i % 24, 0, i % 2), 20240100 + i % 40 if i % 4 else None, 5551230 + i % 3,
+        [f"u{i % 3}@{'x' * 70}.com", "ab@c.de", " " + "y " * 40, "03/04/2024", "31-12-2023", "", "<%>", "2024-01-20" + " " * 70, None, "ñ" * 250][i % 10], [" sha256:1", None, "x.y"][i % 3],
+        Decimal(i % 3) if i % 2 else None, f"{i % 2 or ''} ",
+    ) for i in range(97)]
+    df = spark.createDataFrame(rows, "g string, fecha_alta date, hora timestamp, fecha_n int, telefono bigint, email string, web string, date_dec decimal(10,0), `a``b` string")
+    for full in (True, False):
+        lazy = shared_scans(df, by, full=full)
+        settled = lazy.settled()
+        _same(settled.classified.select(lazy.classified.columns), lazy.classified)
+        _same(settled.contents(), V.validate_contents(df, by=by))
+        _same(settled.types(), Q.mixed_types(Q.type_counts(df, by=by), by))
+        assert settled.table().agg(F.sum("duplicate_rows")).first() == D.duplicate_rows(df, by=by).agg(F.sum("duplicate_rows")).first()
+    _same(A.collect_metrics(df, by).text, V.validate_text(df, by=by))
