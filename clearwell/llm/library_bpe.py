@@ -17,6 +17,7 @@ _LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
 _SIGNS = r"[!-&(-/:-@\[-`{-~]+"
 _WORD, _SIGNED, _LINE = rf"^{_LETTERS}[.,]?$", rf"^{_LETTERS}{_SIGNS}$", rf"^\n{_LETTERS}(?:{_SIGNS})?$"
 _MARKS = ".,"
+_SIGN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # the characters of _SIGNS
 _RUN = re.compile(_SIGNS)
 _JOINED = 1000  # words that are given to the library as one string
 
@@ -109,6 +110,45 @@ class PieceEncoder:
         ends = np.cumsum(size)
         return ids[np.repeat(start - (ends - size), size) + np.arange(len(ids))], size
 
+    def parted(self, pieces: pa.StringArray) -> tuple[pa.StringArray, pa.BooleanArray]:
+        """Pieces without the marks behind their letters, and whether a piece is of letters and marks. A line feed may come first."""
+        if not self.direct:
+            return pieces, pa.array(np.zeros(len(pieces), bool))
+        feed = r"\n?" if len(self.feed) == 1 else ""
+        word = pc.match_substring_regex(pieces, rf"^{feed}{_LETTERS}(?:{_SIGNS})?$")
+        return pc.if_else(word, pc.utf8_rtrim(pieces, _SIGN), pieces), word
+
+    def parts(self, parts: pa.StringArray, word: pa.BooleanArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`coded` for parts that :meth:`parted` gave: ids in any order, where those of each begin and how many there are."""
+        word = word.to_numpy(zero_copy_only=False)
+        order = np.argsort(~word, kind="stable")
+        words, others = parts.filter(pa.array(word)), parts.filter(pa.array(~word)).to_pylist()
+        ids, sizes = self._letters(words) if len(words) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        rest = [x.ids for x in self.whole.encode_batch_fast([p if p[:1] == "\n" else f" {p}" for p in others], add_special_tokens=False)]
+        sizes = np.concatenate((sizes, np.array([len(x) for x in rest], np.int64)))
+        size, start = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        size[order], start[order] = sizes, np.cumsum(sizes) - sizes
+        return np.concatenate((ids, np.array([x for one in rest for x in one], np.int64))), start, size
+
+    def marks(self, run: str) -> list[int]:
+        """The ids of marks behind letters."""
+        return self.words.encode(run, add_special_tokens=False).ids
+
+    def _letters(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        feed = pc.starts_with(words, "\n")
+        lines = pc.binary_join_element_wise(pc.if_else(feed, "", " "), pc.utf8_ltrim(words, "\n"), "\n", "")
+        ends = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+        data, cuts = memoryview(lines.buffers()[2]), [*ends[:-1:_JOINED].tolist(), int(ends[-1])]
+        batch = [codecs.charmap_decode(data[a : b - 1], "strict", self.shown)[0] for a, b in zip(cuts, cuts[1:], strict=False)]
+        flat = np.concatenate([np.array(x.ids, np.int64) for x in self.words.encode_batch_fast(batch, add_special_tokens=False)])
+        # A byte is one letter of the vocabulary, and a line's last byte is its line feed.
+        upto = np.searchsorted(np.cumsum(self.letters[flat]), np.cumsum(np.diff(ends) - 1)) + 1
+        sizes, at = np.diff(upto, prepend=0), np.flatnonzero(feed.to_numpy(zero_copy_only=False))
+        if len(at):
+            flat = np.insert(flat, (upto - sizes)[at], self.feed)
+            sizes[at] += 1
+        return flat, sizes
+
     def _words(self, words: list[str], ascii: bool, lead: str = " ", runs: bool = False) -> tuple[np.ndarray, np.ndarray]:
         batch, length = [], []
         for i in range(0, len(words), _JOINED):

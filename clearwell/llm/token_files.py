@@ -33,39 +33,100 @@ from .pieces import cut
 from .words import small_batches
 
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 1000  # bytes, bytes, documents
-KEPT_PIECES = 300_000  # in each worker, besides those of a batch
+KEPT_PIECES = 300_000  # in each worker, without the marks behind them, besides those of a batch
 _ENCODERS: dict = {}  # of this worker
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # what Python calls so
 #: Where a space or line feed does not stand between two characters that are no white space.
 _TROUBLE = rf"^[ \n]|[ \n]$|{_SPACE}[ \n]|\n{_SPACE}"
 
 
+def _bounds(texts: pa.StringArray) -> np.ndarray:
+    if not len(texts):
+        return np.zeros(1, np.int32)
+    return np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the spans of ``size`` numbers from ``start``, one span after the other."""
+    ends = np.cumsum(size)
+    shift = (start - (ends - size)).astype(np.int32)
+    return np.repeat(shift, size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+
+
 class _Ids:
-    """Ids of texts, piece by piece. A batch's distinct pieces are looked up, the new ones encoded together and kept while there is room."""
+    """Ids of texts, piece by piece.
+
+    A batch's distinct pieces are parted from the marks behind them, what is
+    left is looked up, and what is new is encoded together and kept while there
+    is room.
+    """
 
     def __init__(self, path: str, room: int = KEPT_PIECES):
         self.encoder, self.room = PieceEncoder(path), room
-        self.place: dict[str, int] = {}
+        self.place = pa.array([], pa.string())  # what is kept; a part's place is its row
         self.start, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.run: dict[str, int] = {}  # of marks
+        self.run_start, self.run_size, self.run_ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32)
 
-    def _places(self, pieces: list[str]) -> np.ndarray:
-        places = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+    def _places(self, parts: pa.StringArray, word: pa.BooleanArray) -> np.ndarray:
+        found = pc.index_in(parts, value_set=self.place)
+        new = pc.is_null(found)
+        places = pc.fill_null(found, -1).to_numpy().astype(np.int64)
         at = np.flatnonzero(places < 0)
         if len(at):
-            new = [pieces[i] for i in at.tolist()]
-            ids, start, size = self.encoder.coded(new, lines=True)
+            ids, start, size = self.encoder.parts(parts.filter(new), word.filter(new))
             self.start, self.size, self.ids = (np.concatenate(x) for x in ((self.start, len(self.ids) + start), (self.size, size), (self.ids, ids.astype(np.uint32))))
-            places[at] = np.arange(len(self.place), len(self.place) + len(new))
-            self.place.update(zip(new, places[at].tolist(), strict=True))
+            places[at] = np.arange(len(self.place), len(self.place) + len(at))
+            self.place = pa.concat_arrays([self.place, parts.filter(new)])
         if len(self.place) > self.room:  # go on with what this batch has
             start, self.size = self.start[places], self.size[places]
-            ends = np.cumsum(self.size)
-            self.ids = self.ids[np.repeat(start - (ends - self.size), self.size) + np.arange(int(ends[-1]))]
-            self.start = ends - self.size
-            places = np.arange(len(pieces))
-            self.place = dict(zip(pieces, places.tolist(), strict=True))
+            self.ids, self.start = self.ids[_spans(start, self.size)], np.cumsum(self.size) - self.size
+            places, self.place = np.arange(len(parts)), parts
         return places
 
+    def _runs(self, pieces: pa.StringArray, parts: pa.StringArray) -> np.ndarray:
+        """The number of the marks that each piece has behind its part; 0 is none."""
+        ends = _bounds(pieces)[1:]
+        lost = np.diff(_bounds(pieces)) - np.diff(_bounds(parts))
+        found = np.zeros(len(pieces), np.int64)
+
+        def number(run: str) -> int:
+            if run not in self.run:
+                self.run[run] = len(self.run_size)
+                ids = self.encoder.marks(run)
+                self.run_start, self.run_size = np.append(self.run_start, len(self.run_ids)), np.append(self.run_size, len(ids))
+                self.run_ids = np.append(self.run_ids, np.array(ids, np.uint32))
+            return self.run[run]
+
+        if len(self.run) > self.room:  # runs of marks are few in any but made-up texts
+            self.run, self.run_start, self.run_size, self.run_ids = {}, self.run_start[:1], self.run_size[:1], self.run_ids[:0]
+        one, more = np.flatnonzero(lost == 1), np.flatnonzero(lost > 1)
+        if len(one):
+            last = np.frombuffer(pieces.buffers()[2], np.uint8)[ends[one] - 1]
+            table = np.zeros(256, np.int64)
+            for byte in np.unique(last).tolist():
+                table[byte] = number(chr(byte))
+            found[one] = table[last]
+        for i, piece in zip(more.tolist(), pieces.take(pa.array(more)).to_pylist(), strict=True):
+            found[i] = number(piece[-int(lost[i]) :])
+        return found
+
+    def _pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each piece where its ids begin and how many there are."""
+        parts, word = self.encoder.parted(pieces)
+        coded = parts.dictionary_encode()
+        index = coded.indices.to_numpy()
+        kinds = np.zeros(len(coded.dictionary), bool)
+        kinds[index] = word.to_numpy(zero_copy_only=False)
+        place = self._places(coded.dictionary, pa.array(kinds))[index]
+        run = self._runs(pieces, parts)
+        size, more = self.size[place], self.run_size[run]
+        start = np.cumsum(size + more) - (size + more)
+        ids = np.empty(int((size + more).sum()), np.uint32)
+        ids[_spans(start, size)] = self.ids[_spans(self.start[place], size)]
+        ids[_spans(start + size, more)] = self.run_ids[_spans(self.run_start[run], more)]
+        return ids, start, size + more
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.encoder.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -91,13 +152,13 @@ class _Ids:
         order = [*even.tolist(), *(i for i, _ in cuts)]
         # Behind the first piece of a text, every piece follows a space or begins with a line feed.
         coded = flat.dictionary_encode()
-        place = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
-        size, start = self.size[place], self.start[place]
+        known, start, size = self._pieces(coded.dictionary)
+        place = coded.indices.to_numpy()
+        size, start = size[place], start[place]
         heads = flat.take(pa.array(bounds[:-1])).to_pylist()
         size[bounds[:-1]] = 0
         ends = np.cumsum(size)
-        shift = (start - (ends - size)).astype(np.int32)
-        ids = self.ids[np.repeat(shift, size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
+        ids = known[_spans(start, size)]
         after = np.concatenate(([0], ends))[bounds]
         for i, head, low, high in zip(order, self._whole(heads), after.tolist(), after[1:].tolist(), strict=False):
             found[i] = np.concatenate((head, ids[low:high]))

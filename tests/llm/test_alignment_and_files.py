@@ -203,6 +203,24 @@ def test_ids_of_texts_with_little_room_for_pieces():
     assert len(known.place) < 2000
 
 
+def test_pieces_that_differ_in_marks_are_kept_once():
+    """A word is merged once, whatever marks follow it; marks, line feeds and other scripts have the library's ids."""
+    known = token_files._Ids(A)
+    text = "x " + " ".join(w + m for w in ("Größe", "word", "ñu") for m in ("", ".", ",", "!", '")', "...", "?!", "]", "--", "`"))
+    assert [x.tolist() for x in known.texts(pa.array([text, None, ""]))] == [x[:-1] for x in _ids([text, None, ""])]
+    assert len(known.place) == 5  # the words and the first pieces of the texts
+    rng = random.Random(9)
+    words = ["a", "Ab", "zzyzx", "Größe", "日本", "ŉ", "7", "it's", "don", "x1", "", "é"]
+    runs = ["", "", ".", ",", "...", "'", "--", "!?", '")', "[]", "\\", "~", "—", "s", "\n", "\n\n", "@x.com", "_", "^`", "…"]
+    texts = [" ".join(rng.choice(["", "", "\n", "("]) + rng.choice(words) + rng.choice(runs) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    for room in (40, 10_000):
+        known = token_files._Ids(A, room=room)
+        for i in range(0, len(texts), 300):
+            part = pa.array(texts, pa.string()).slice(i, 300)
+            assert [x.tolist() for x in known.texts(part)] == [x[:-1] for x in _ids(texts[i : i + 300])]
+    assert [len(x) for x in token_files._Ids(A).texts(pa.array(["<|endoftext|>", None, ""], pa.string()))] == [1, 0, 0]
+
+
 def test_token_files_null_and_repeated_ids(spark, tmp_path):
     rows = [(None, "b"), (None, "a"), (3, "same"), (3, "same"), (3, None), (1, "one two")]
     path = _written(spark, tmp_path, [(*r, "clash", 1) for r in rows], "doc_id long, text string, ids string, part int", files=3)
